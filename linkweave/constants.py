@@ -116,6 +116,10 @@ MSG_CHANNEL_REQUIRED = "Channel ID is required"
 MSG_TOO_MANY_TAGS = "Too many manual tags (max 10)"
 MSG_EMPTY_TAG = "Empty tags are not allowed"
 MSG_LONG_TAG = "Tag too long (max 50 characters)"
+MSG_TAGS_FAILED = "Failed to generate tags"
+MSG_ID = "Bookmark with ID "
+MSG_NOT_FOUND = " not found"
+MSG_NOT_OWNED = " not found or not owned by user"
 DEFAULT_TITLE = "Untitled"
 UNPARSABLE_URL_TITLE = "Untitled Bookmark"
 

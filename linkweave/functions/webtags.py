@@ -6,11 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linkweave import constants as C
+from linkweave.functions import json_text
 from linkweave.functions.html import meta_pattern
-from linkweave.functions.text import js_slice_end, trim_ws, utf16_length
-
-_STRINGS = "array<string>"
-
+from linkweave.functions.tagging import add_up_to, high_scorers
+from linkweave.functions.text import trim_ws, utf16_length
 
 def _cleaned(tags: Column, low: int = 1, high: int = C.MAX_PAGE_TAG_LENGTH) -> Column:
     return F.filter(
@@ -35,30 +34,18 @@ def article_tags(html: Column) -> Column:
     return _cleaned(F.regexp_extract_all(html, F.lit(meta_pattern("name", "article:tag")), F.lit(1)))
 
 
-def _variant_strings(array_of_variant: Column) -> Column:
-    """The members that are JSON strings, as strings."""
-    strings = F.filter(array_of_variant, lambda v: F.schema_of_variant(v) == "STRING")
-    return F.transform(strings, lambda v: v.cast("string"))
-
-
-def _as_variants(value: Column) -> Column:
-    """The members of a JSON array; empty for anything else."""
-    is_array = F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
-    return F.when(is_array, value.cast("array<variant>")).otherwise(F.array().cast("array<variant>"))
-
-
 def _item_tags(item: Column) -> Column:
     words = F.try_variant_get(item, "$.keywords", "variant")
     is_text = F.coalesce(F.schema_of_variant(words) == "STRING", F.lit(False))
     listed = F.when(
         is_text, F.transform(F.split(words.cast("string"), ","), trim_ws)
-    ).otherwise(_variant_strings(_as_variants(words)))
-    tags = _variant_strings(_as_variants(F.try_variant_get(item, "$.tags", "variant")))
+    ).otherwise(json_text.strings(json_text.members(words)))
+    tags = json_text.strings(json_text.members(F.try_variant_get(item, "$.tags", "variant")))
     about = F.transform(
-        _as_variants(F.try_variant_get(item, "$.about", "variant")),
+        json_text.members(F.try_variant_get(item, "$.about", "variant")),
         lambda a: F.try_variant_get(a, "$.name", "variant"),
     )
-    names = _variant_strings(F.filter(about, lambda v: v.isNotNull()))
+    names = json_text.strings(about)
     return F.concat(listed, tags, names)
 
 
@@ -66,7 +53,7 @@ def json_ld_tags(html: Column) -> Column:
     """Keywords, tags and topics of every JSON-LD block; blocks that are not JSON are passed over."""
     pattern = C.JSON_LD_PATTERN.format(ws=C.WS_CLASS)
     blocks = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-    parsed = F.filter(F.transform(blocks, F.try_parse_json), lambda v: v.isNotNull())
+    parsed = F.filter(F.transform(blocks, json_text.parse_strict), lambda v: v.isNotNull())
     items = F.flatten(
         F.transform(
             parsed,
@@ -122,21 +109,6 @@ def scored_page_tags(tags: Column, title: Column, description: Column) -> Column
     return F.filter(scored, lambda s: s["score"] >= C.MIN_PAGE_TAG_SCORE)
 
 
-def high_scorers(scored: Column, threshold: int, present: Column) -> Column:
-    """Tags at or above the threshold that are not present yet, best first, ties in given order."""
-    keyed = F.transform(
-        scored, lambda s, i: F.struct((-s["score"]).alias("k"), i.alias("i"), s["tag"].alias("tag"))
-    )
-    wanted = F.filter(keyed, lambda s: (s["k"] <= -threshold) & ~F.array_contains(present, s["tag"]))
-    return F.transform(F.array_sort(wanted), lambda s: s["tag"])
-
-
-def add_up_to(current: Column, extra: Column, limit: int = C.MAX_TAGS) -> Column:
-    """Append leading extras up to the limit; beyond the limit the count is negative and cuts from the end."""
-    n = js_slice_end(F.lit(limit) - F.size(current), F.size(extra))
-    return F.concat(current, F.slice(extra, F.lit(1), n))
-
-
 def include_existing_and_page_tags(current: Column, existing: Column, page: Column) -> Column:
     """Strong vocabulary matches first, then strong page tags that are not among them."""
     strong_existing = high_scorers(existing, C.HIGH_SCORE, current)
