@@ -257,8 +257,9 @@ related as (select distinct team_id, keyword, tag from word_forms join tag_forms
 close as materialized (
   select w.team_id, w.keyword, t.tag, w.cw, t.ct from words w join tagset t using (team_id)
   where w.cw <> '' and t.ct <> '' and abs(length(w.cw) - length(t.ct)) * 200 <= 41 * (length(w.cw) + length(t.ct))
-    and levenshtein(w.cw, t.ct) * 200 <= 41 * (length(w.cw) + length(t.ct))),
-similar as materialized (
+    and levenshtein(w.cw, t.ct) * 200 <= 41 * (length(w.cw) + length(t.ct))  -- counts bytes, of which a character has up to four
+      * case when strlen(w.cw) = length(w.cw) and strlen(t.ct) = length(t.ct) then 1 else 4 end),
+alike as materialized (
   select team_id, keyword, tag, case when cw = ct then 100
     else floor(200.0::double * {lcs('cw', 'ct')} / (length(cw) + length(ct)) + 0.5)::bigint end as similarity
   from close),
@@ -268,7 +269,7 @@ pairs as materialized (
       when length(t.tag) > 2 and contains(w.keyword, t.tag) then 5 else 0 end as boost
   from words w join tagset t using (team_id)
     left join related r on r.team_id = w.team_id and r.keyword = w.keyword and r.tag = t.tag
-    left join similar s on s.team_id = w.team_id and s.keyword = w.keyword and s.tag = t.tag and s.similarity >= 80
+    left join alike s on s.team_id = w.team_id and s.keyword = w.keyword and s.tag = t.tag and s.similarity >= 80
   where r.tag is not null or s.tag is not null or contains(t.tag, w.keyword) or (length(t.tag) > 2 and contains(w.keyword, t.tag))),
 hits as (select o.link_id, o.pos, p.* from occ o join pairs p on p.team_id = o.team_id and p.keyword = o.keyword),
 sums as (
@@ -628,8 +629,8 @@ def page_score(tag: str, title: str, description: str) -> str:
       + case when not contains({name}, ' ') and length({name}) > 2 then 1 else 0 end)::bigint"""
 
 
-oracle("page_tag_scores", f"""with {LINKS}, t as (select id, title, description, unnest(tags) as tag, generate_subscripts(tags, 1) - 1 as pos from links),
-s as (select id, pos::bigint as pos, tag, {page_score('tag', 'title', 'description')} as score from t)
+oracle("page_tag_scores", f"""with {LINKS}, t as (select id, title, description, unnest(tags) as tag from links),
+s as (select id, tag, {page_score('tag', 'title', 'description')}::double as score from t)
 select * from s where score >= {C.MIN_PAGE_TAG_SCORE}""")
 oracle("include_page_tags", f"""with {PROMPTED}, {ALL_FOUND},
 page_scored as (

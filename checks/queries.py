@@ -317,9 +317,13 @@ def generate_tags(spark, sf):
     return GEN.generate_tags(targets, _vocabulary(spark, sf), _lemmas(spark, sf), _stored_replies(targets))
 
 
-def word_model(batch: pd.DataFrame) -> pd.Series:
-    """A stand-in model: the first word of the content as the only tag."""
-    return batch["content"].map(lambda text: f'["{text.split()[0]}"]' if text.split() else "[]")
+def word_model():
+    """A stand-in model: the first word of the content as the only tag.  Local, so that it travels with the plan."""
+
+    def model(batch: pd.DataFrame) -> pd.Series:
+        return batch["content"].map(lambda text: f'["{text.split()[0]}"]' if text.split() else "[]")
+
+    return model
 
 
 @query
@@ -327,7 +331,7 @@ def model_replies(spark, sf):
     asked = _targets(spark, sf).select(
         "link_id", F.lit("").alias("prompt"), G.prompt_content(F.col("title"), F.col("description")).alias("content")
     )
-    return GEN.ask(asked, word_model)
+    return GEN.ask(asked, word_model())
 
 
 # ---- lookups and searches --------------------------------------------------------------------
@@ -553,11 +557,8 @@ _page_tag_query("page_tags", WT.page_tags)
 @query
 def page_tag_scores(spark, sf):
     """The tags of every stored link, scored against its own title and description."""
-    scored = WT.page_tag_score(F.col("tag"), F.col("title"), F.col("description"))
-    return (
-        I.links(spark, sf).select("id", "title", "description", F.posexplode("tags").alias("pos", "tag"))
-        .select("id", "pos", "tag", scored.alias("score")).filter(F.col("score") >= C.MIN_PAGE_TAG_SCORE)
-    )
+    scored = WT.scored_page_tags(F.col("tags"), F.col("title"), F.col("description"))
+    return I.links(spark, sf).select("id", F.inline(scored))
 
 
 @query

@@ -53,6 +53,9 @@ HTML_ENTITIES = {
 
 # Word separators of the keyword splitter.  "/-_" is a range (U+002F to U+005F).
 KEYWORD_SEPARATORS = "[" + WS_CLASS + r"/-_.,!?():]+"
+# The same for texts without white space beyond ASCII, and the characters that make the full form necessary.
+KEYWORD_SEPARATORS_ASCII = r"[ \t\n\x0B\f\r/-_.,!?():]+"
+BEYOND_ASCII_SPACE = r"[\u00A0\u1680-\uFFFF]"
 KEYWORD_MIN_LENGTH = 3
 
 # Page patterns.  ws stands for the white-space class above.

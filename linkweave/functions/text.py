@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from linkweave import constants as C
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once; inside a lambda a plain column is computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(col: Column) -> Column:
     """Trim every Unicode white-space character, not only U+0020."""
     return F.btrim(col, F.lit(C.WS_CHARS))
@@ -41,14 +48,19 @@ def utf16_length(col: Column) -> Column:
 
 
 def keywords(col: Column) -> Column:
-    """Lower-case words in text order, repeats kept, short and stop words dropped."""
-    words = F.split(F.lower(col), C.KEYWORD_SEPARATORS)
-    stop = F.array(*[F.lit(w) for w in C.STOP_WORDS])
+    """Lower-case words in text order, repeats kept, words of under three UTF-16 units and stop words dropped.
+
+    Digits are separators, so no word can be a number.  The short form of the separators splits a
+    text without wider white space the same way, several times faster.
+    """
+    lower = F.lower(col)
+    words = F.when(col.rlike(C.BEYOND_ASCII_SPACE), F.split(lower, C.KEYWORD_SEPARATORS)).otherwise(
+        F.split(lower, C.KEYWORD_SEPARATORS_ASCII)
+    )
     return F.filter(
         words,
-        lambda w: (utf16_length(w) >= C.KEYWORD_MIN_LENGTH)
-        & ~F.array_contains(stop, w)
-        & ~w.rlike(r"^[0-9]+\z"),
+        lambda w: ((F.length(w) >= C.KEYWORD_MIN_LENGTH) | ((F.length(w) == 2) & w.rlike(ASTRAL)))
+        & ~w.isin(*C.STOP_WORDS),
     )
 
 

@@ -11,13 +11,16 @@ from linkweave import constants as C
 # a URL are ignored, and a backslash counts as a slash.
 _AUTHORITY = r"^(?i:https?|ftp|wss?):[/\\]*(?:[^/\\?#]*@)?"
 _HOST = _AUTHORITY + r"(\[[0-9A-Fa-f:.]+\]|[^/\\?#@:]*)"
-_PORT = _HOST + r":([0-9]*)(?=[/\\?#]|\z)"
-_WELL_FORMED = _HOST + r"(?::[0-9]*)?(?=[/\\?#]|\z)"
 _PATH = _AUTHORITY + r"[^/\\?#]*([^?#]*)"
-_BAD_HOST_CHARS = r"[\x00-\x20\x7F<>^|%\[\]]"
-_NUMERIC_HOST = r"(?:^|\.)[0-9]+\.?\z"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_IPV4 = rf"^(?:{_OCTET}\.){{3}}{_OCTET}\.?\z"
+_IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}\.?(?=[:/\\?#]|\z)"
+_IPV6 = r"\[[0-9A-Fa-f:.]+\]"
+# A name whose last label is a number would be read as an IPv4 address.
+_NAME = r"(?!(?:[^/\\?#:@]*\.)?[0-9]+\.?(?:[:/\\?#]|\z))[^\x00-\x20\x7F/\\?#:@<>^|%\[\]]+"
+_PORT = (
+    r"(?::0*(?:[0-9]{0,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5]))?"
+)
+_ABSOLUTE = _AUTHORITY + f"(?:{_IPV6}|{_IPV4}|{_NAME})" + _PORT + r"(?=[/\\?#]|\z)"
 # Characters of a path that are shown as they are; all others are shown percent-encoded.
 _PLAIN_PATH_CHAR = r"""^[!$-;=@-\[\]_a-z|~\\]\z"""
 
@@ -25,23 +28,17 @@ _PLAIN_PATH_CHAR = r"""^[!$-;=@-\[\]_a-z|~\\]\z"""
 def _cleaned(url: Column) -> Column:
     """Leading and trailing control characters and spaces, and all tabs and line breaks, do not count."""
     edges = F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
-    return F.translate(edges, "\t\n\r", "")
+    return F.when(url.rlike(r"[\x00-\x20]"), F.translate(edges, "\t\n\r", "")).otherwise(url)
 
 
-def _host_ok(url: Column) -> Column:
-    host = F.regexp_extract(url, _HOST, 1)
-    port = F.regexp_extract(url, _PORT, 2)
-    literal_v6 = host.startswith("[")
-    port_number = F.regexp_replace(port, "^0+", "")
-    port_ok = (F.length(port_number) < 5) | ((F.length(port_number) == 5) & (port_number <= "65535"))
-    name_ok = ~host.rlike(_BAD_HOST_CHARS) & (~host.rlike(_NUMERIC_HOST) | host.rlike(_IPV4))
-    return url.rlike(_WELL_FORMED) & (host != "") & (literal_v6 | name_ok) & port_ok
+def _is_absolute(clean_url: Column) -> Column:
+    return F.coalesce(clean_url.rlike(_ABSOLUTE), F.lit(False))
 
 
 def is_valid_url(url: Column) -> Column:
     """An absolute URL that starts with a lower-case http:// or https://."""
     return F.coalesce(
-        (url.startswith("http://") | url.startswith("https://")) & _host_ok(_cleaned(url)),
+        (url.startswith("http://") | url.startswith("https://")) & _is_absolute(_cleaned(url)),
         F.lit(False),
     )
 
@@ -81,7 +78,7 @@ def title_from_url(url: Column) -> Column:
     segments = F.filter(_resolved_segments(F.regexp_extract(clean, _PATH, 1)), lambda p: p != "")
     last = F.element_at(segments, -1)
     return (
-        F.when(~F.coalesce(_host_ok(clean), F.lit(False)), F.lit(C.UNPARSABLE_URL_TITLE))
+        F.when(~_is_absolute(clean), F.lit(C.UNPARSABLE_URL_TITLE))
         .when(F.size(segments) == 0, host)
         .otherwise(F.concat(_percent_encode(last), F.lit(" - "), host))
     )

@@ -9,7 +9,7 @@ from linkweave import constants as C
 from linkweave.functions import json_text
 from linkweave.functions.html import meta_pattern
 from linkweave.functions.tagging import add_up_to, high_scorers
-from linkweave.functions.text import trim_ws, utf16_length
+from linkweave.functions.text import bind, trim_ws, utf16_length
 
 def _cleaned(tags: Column, low: int = 1, high: int = C.MAX_PAGE_TAG_LENGTH) -> Column:
     return F.filter(
@@ -80,31 +80,42 @@ def page_tags(html: Column) -> Column:
     return F.slice(F.array_distinct(found), 1, C.MAX_PAGE_TAGS)
 
 
-def page_tag_score(tag: Column, title: Column, description: Column) -> Column:
-    content = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit(""))))
-    content_words = F.split(content, f"[{C.WS_CLASS}]+")
-    name = F.lower(trim_ws(tag))
-    tag_words = F.split(name, rf"[{C.WS_CLASS}\-_]+")
-    matching = F.size(F.filter(tag_words, lambda w: F.array_contains(content_words, w)))
+def _points(condition: Column, n: int) -> Column:
+    return F.when(condition, F.lit(n)).otherwise(F.lit(0))
+
+
+def _content(title: Column, description: Column) -> Column:
+    """struct<text, words> of a link's lower-cased title and description."""
+    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit(""))))
+    return F.struct(text.alias("text"), F.split(text, f"[{C.WS_CLASS}]+").alias("words"))
 
-    def points(condition: Column, n: int) -> Column:
-        return F.when(condition, F.lit(n)).otherwise(F.lit(0))
 
+def _score(tag: Column, content: Column) -> Column:
+    name = F.lower(trim_ws(tag))
+    tag_words = F.split(name, rf"[{C.WS_CLASS}\-_]+")
+    matching = F.size(F.filter(tag_words, lambda w: F.array_contains(content["words"], w)))
     return (
         F.lit(5)
-        + points(F.contains(content, name), 8)
+        + _points(F.contains(content["text"], name), 8)
         + matching * 2
-        + points(utf16_length(name) > 20, -3)
-        + points(name.rlike("[0-9]"), -2)
-        + points(~F.contains(name, F.lit(" ")) & (utf16_length(name) > 2), 1)
+        + _points(utf16_length(name) > 20, -3)
+        + _points(name.rlike("[0-9]"), -2)
+        + _points(~F.contains(name, F.lit(" ")) & (utf16_length(name) > 2), 1)
     )
 
 
+def page_tag_score(tag: Column, title: Column, description: Column) -> Column:
+    """Points of one tag a page declares, by how well it fits the title and description."""
+    return bind(_content(title, description), lambda content: _score(tag, content))
+
+
 def scored_page_tags(tags: Column, title: Column, description: Column) -> Column:
     """array<struct<tag, score>> of the tags that reach the minimum score."""
-    scored = F.transform(
-        tags,
-        lambda t: F.struct(t.alias("tag"), page_tag_score(t, title, description).cast("double").alias("score")),
+    scored = bind(
+        _content(title, description),
+        lambda content: F.transform(
+            tags, lambda t: F.struct(t.alias("tag"), _score(t, content).cast("double").alias("score"))
+        ),
     )
     return F.filter(scored, lambda s: s["score"] >= C.MIN_PAGE_TAG_SCORE)
 

@@ -21,6 +21,7 @@ from linkweave import constants as C
 from linkweave.functions import similarity as S
 from linkweave.functions.text import ASTRAL, blank_to_null, link_keywords, utf16_length
 from linkweave.operators.skew import hot_keys, join_split_hot
+from linkweave.session import written
 
 # Longest substring used as a join key; beyond it the key is a prefix and the match is verified.
 KEY_LENGTH = 50
@@ -40,6 +41,12 @@ def _lengths(df: DataFrame, length: Column) -> Column:
     return df.agg(F.array_sort(F.collect_set(length)).alias("lengths")).scalar()
 
 
+def _tasks(df: DataFrame) -> int:
+    """Enough tasks for rows that are small but take long: many keys are made from each word."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def _key_length(col: Column) -> Column:
     return F.least(F.length(col), F.lit(KEY_LENGTH))
 
@@ -120,21 +127,21 @@ def _grammatical(words: DataFrame, tags: DataFrame, lemmas: DataFrame) -> DataFr
 def _fuzzy(words: DataFrame, tags: DataFrame) -> DataFrame:
     w = words.select("team_id", "keyword", S.comparable(F.col("keyword")).alias("_w")).filter("_w <> ''")
     t = tags.withColumn("_t", S.comparable(F.col("tag"))).filter("_t <> ''")
-    word_keys = w.withColumn("_lengths", _lengths(t, F.length("_t"))).select(
-        "team_id", "keyword", "_w",
-        F.explode(S.segment_keys(F.col("_w"), F.length("_w"), F.col("_lengths"))).alias("_key"),
-    )
-    tag_keys = t.withColumn("_lengths", _lengths(w, F.length("_w"))).select(
-        "team_id", "tag", "tag_rank", "_t",
-        F.explode(S.probe_keys(F.col("_t"), F.length("_t"), F.col("_lengths"))).alias("_key"),
-    )
-    score = S.similarity(F.col("_w"), F.col("_t"))
+    word_pieces = S.piece_table(w, "_w", _lengths(t, F.length("_t")), S.segment_pieces)
+    tag_pieces = S.piece_table(t, "_t", _lengths(w, F.length("_w")), S.probe_pieces)
+
+    def keyed(df: DataFrame, text: str, pieces: Column) -> DataFrame:
+        df = df.withColumn("_pieces", pieces)
+        keys = S.hashed_keys(F.col(text), F.try_element_at("_pieces", F.length(text)))
+        return df.withColumn("_key", F.explode(keys)).drop("_pieces")
+
     return (
-        word_keys.join(tag_keys, ["team_id", "_key"])
+        keyed(w, "_w", word_pieces)
+        .join(keyed(t, "_t", tag_pieces), ["team_id", "_key"])
         .filter((F.col("keyword") != F.col("tag")) & S.maybe_similar(F.col("_w"), F.col("_t")))
         .select("team_id", "keyword", "tag", "tag_rank", "_w", "_t")
         .distinct()
-        .withColumn("similarity", score)
+        .withColumn("similarity", S.similarity(F.col("_w"), F.col("_t")))
         .filter(S.similar_enough(F.col("similarity")))
         .select(*_pair(F.lit(0), F.col("similarity")))
     )
@@ -165,7 +172,11 @@ def match_tags(
     links: link_id, team_id, title, description.  candidates: team_id, tag, tag_rank.
     """
     occurrences = keyword_occurrences(links)
-    words = occurrences.groupBy("team_id", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    tasks = _tasks(links)
+    words = written(
+        occurrences.groupBy("team_id", "keyword").agg(F.count(F.lit(1)).alias("n")).repartition(tasks), "words"
+    )
+    candidates = written(candidates.select("team_id", "tag", "tag_rank").repartition(tasks), "candidates")
     pairs = word_pairs(words.select("team_id", "keyword"), candidates, lemmas)
     keys = ["team_id", "keyword"]
     hits = join_split_hot(occurrences, pairs, keys, hot_keys(words, keys, "n", **hot_options), ["link_id"])

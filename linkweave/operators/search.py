@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,15 +35,48 @@ def like_pattern(query: str) -> str:
     return re.sub(r"\\([^%_\\])", r"\1", f"%{query}%", flags=re.S)
 
 
+def _pieces(pattern: str) -> list[str] | None:
+    """The regexes between the % signs of a pattern that starts and ends with one; None for other patterns."""
+    pieces, piece, i = [], "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            i += 1
+            piece += re.escape(pattern[i])
+        elif c == "%":
+            pieces.append(piece)
+            piece = ""
+        else:
+            piece += "." if c == "_" else re.escape(c)
+        i += 1
+    return pieces[1:] if piece == "" and pieces[0] == "" else None
+
+
+def like_matcher(query: str) -> Callable[[Column], Column]:
+    """Case-insensitive %query% as a condition on a text column.
+
+    Each piece between % signs is searched once, after the piece before it; the first place it
+    occurs is always good enough, so long texts take time in proportion to their length.
+    """
+    pattern = like_pattern(query)
+    pieces = _pieces(pattern.lower())
+    if pieces is None:
+        return lambda text: text.ilike(pattern)
+    wanted = [p for p in pieces if p]
+    if len(wanted) == 1 and not re.search(r"[%_\\]", query):
+        return lambda text: F.contains(F.lower(text), F.lit(query.lower()))
+    in_order = "(?s)^" + "".join(f"(?>.*?{p})" for p in wanted)
+    return lambda text: F.lower(text).rlike(in_order)
+
+
 def text_condition(query: str | None) -> Column:
     """Title, description, URL or the tags as text contain the query; true without a query."""
     if not query:
         return F.lit(True)
-    pattern = like_pattern(query)
-    places = [F.col("title"), F.col("description"), F.col("url"), tags_text(F.col("tags"))]
+    matches = like_matcher(query)
     found = F.lit(False)
-    for place in places:
-        found = found | F.coalesce(place.ilike(pattern), F.lit(False))
+    for place in (F.col("title"), F.col("description"), F.col("url"), tags_text(F.col("tags"))):
+        found = found | F.coalesce(matches(place), F.lit(False))
     return found
 
 

@@ -100,11 +100,13 @@ def test_segment_join_finds_every_similar_pair(spark):
     left = sorted({word() for _ in range(300)})
     right = sorted({word() for _ in range(150)} | {w[:-1] + "d" + w[-1] for w in left[::3]})
     wanted = {(a, b): models.ratio(a, b) for a in left for b in right if models.ratio(a, b) >= 80}
-    lengths = [F.array(*[F.lit(n) for n in sorted({len(w) for w in side})]) for side in (left, right)]
-    a = spark.createDataFrame([(w,) for w in left], "a string").withColumn(
-        "k", F.explode(S.segment_keys(F.col("a"), F.length("a"), lengths[1])))
-    b = spark.createDataFrame([(w,) for w in right], "b string").withColumn(
-        "k", F.explode(S.probe_keys(F.col("b"), F.length("b"), lengths[0])))
+    a = spark.createDataFrame([(w,) for w in left], "a string")
+    b = spark.createDataFrame([(w,) for w in right], "b string")
+    a_lengths, b_lengths = M._lengths(a, F.length("a")), M._lengths(b, F.length("b"))
+    a_pieces = S.piece_table(a, "a", b_lengths, S.segment_pieces)
+    b_pieces = S.piece_table(b, "b", a_lengths, S.probe_pieces)
+    a = a.withColumn("p", a_pieces).select("a", F.explode(S.hashed_keys(F.col("a"), F.try_element_at("p", F.length("a")))).alias("k"))
+    b = b.withColumn("p", b_pieces).select("b", F.explode(S.hashed_keys(F.col("b"), F.try_element_at("p", F.length("b")))).alias("k"))
     pairs = a.join(b, "k").filter(S.maybe_similar(F.col("a"), F.col("b"))).select("a", "b").distinct()
     got = pairs.withColumn("s", S.similarity(F.col("a"), F.col("b"))).filter(S.similar_enough(F.col("s"))).collect()
     assert {(r.a, r.b): r.s for r in got} == wanted
