@@ -263,14 +263,17 @@ alike as materialized (
   select team_id, keyword, tag, case when cw = ct then 100
     else floor(200.0::double * {lcs('cw', 'ct')} / (length(cw) + length(ct)) + 0.5)::bigint end as similarity
   from close),
+candidate_pairs as (
+  select team_id, keyword, tag from related union select team_id, keyword, tag from alike where similarity >= 80
+  union select w.team_id, w.keyword, t.tag from words w join tagset t using (team_id)
+    where contains(t.tag, w.keyword) or (length(t.tag) > 2 and contains(w.keyword, t.tag))),
 pairs as materialized (
-  select w.team_id, w.keyword, t.tag, t.tag_rank, s.similarity,
-    case when w.keyword = t.tag then 15 when r.tag is not null then 12 when contains(t.tag, w.keyword) then 8
-      when length(t.tag) > 2 and contains(w.keyword, t.tag) then 5 else 0 end as boost
-  from words w join tagset t using (team_id)
-    left join related r on r.team_id = w.team_id and r.keyword = w.keyword and r.tag = t.tag
-    left join alike s on s.team_id = w.team_id and s.keyword = w.keyword and s.tag = t.tag and s.similarity >= 80
-  where r.tag is not null or s.tag is not null or contains(t.tag, w.keyword) or (length(t.tag) > 2 and contains(w.keyword, t.tag))),
+  select c.team_id, c.keyword, c.tag, t.tag_rank, s.similarity,
+    case when c.keyword = t.tag then 15 when r.tag is not null then 12 when contains(t.tag, c.keyword) then 8
+      when length(t.tag) > 2 and contains(c.keyword, t.tag) then 5 else 0 end as boost
+  from candidate_pairs c join tagset t on t.team_id = c.team_id and t.tag = c.tag
+    left join related r on r.team_id = c.team_id and r.keyword = c.keyword and r.tag = c.tag
+    left join alike s on s.team_id = c.team_id and s.keyword = c.keyword and s.tag = c.tag and s.similarity >= 80),
 hits as (select o.link_id, o.pos, p.* from occ o join pairs p on p.team_id = o.team_id and p.keyword = o.keyword),
 sums as (
   select link_id, tag, min(tag_rank) as tag_rank, sum(boost) as points,
@@ -424,9 +427,9 @@ full_requests as materialized (
     channel_id, requested_at from requests)"""
 
 
-def created(validate: bool = True) -> str:
+def created(usage: str = f"{LINKS}, {USAGE}") -> str:
     """The whole save job: check, extract, match, merge replies, resolve."""
-    return f"""{VALIDATED}, {LINKS}, {USAGE}, {PAGE_LINKS}, {FETCHED_METADATA}, {SEED_LEMMAS},
+    return f"""{VALIDATED}, {PAGE_LINKS}, {usage}, {FETCHED_METADATA}, {SEED_LEMMAS},
 good as materialized (
   select seq, url, manual_tags, user_id, coalesce(nullif(team_id, ''), user_id) as team_id, channel_id, requested_at
   from checked where error is null),
@@ -583,6 +586,8 @@ select g.seq, g.url, '{C.CODE_EXTERNAL}', coalesce(d.message, '{C.MSG_TAGS_FAILE
 from new_good g join described d on d.url = g.url and d.team_id = g.team_id left join generated t on t.link_id = d.link_id where t.generated is null""")
 oracle("create_links_usage", f"""with {created()} select team_id, tag as tag_name, count(*) as usage_count, {stamp('max(updated_at)')} as last_used
 from (select team_id, updated_at, unnest(tags) as tag from after) group by 1, 2""")
+STORED_USAGE = f"{SEEDS}, {USAGE.replace('from links', 'from stored')}"
+oracle("stream_create_links", f"with {created(STORED_USAGE)} select {SAVED_COLUMNS} from after")
 oracle("stream_tag_usage", ORACLES["team_tag_usage"])
 
 
@@ -643,4 +648,3 @@ d as (select *, {strong('matches', C.HIGH_SCORE, 'present')} as s1 from c),
 e as (select *, {strong('page_scores', C.HIGH_PAGE_TAG_SCORE, 'list_concat(present, s1)')} as s2 from d),
 f as (select *, list_concat(s1, s2) as extra from e)
 select link_id, {joined(added('present', 'extra'))} as tags from f""")
-ORACLES["stream_create_links"] = ORACLES["create_links"]

@@ -218,8 +218,8 @@ def suffix_lemmas(spark, sf):
 
 @query
 def match_rules(spark, sf):
-    words = M.keyword_occurrences(_targets(spark, sf)).select("team_id", "keyword").distinct()
-    return M.word_pairs(words, _vocabulary(spark, sf), _lemmas(spark, sf)).select(
+    words = written(M.keyword_occurrences(_targets(spark, sf)).select("team_id", "keyword").distinct(), "words")
+    return M.word_pairs(words, written(_vocabulary(spark, sf), "tags"), _lemmas(spark, sf)).select(
         "team_id", "keyword", "tag", "boost",
         F.when(F.col("boost") == 0, F.col("similarity")).alias("similarity"),
     )

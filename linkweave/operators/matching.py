@@ -150,7 +150,8 @@ def _fuzzy(words: DataFrame, tags: DataFrame) -> DataFrame:
 def word_pairs(words: DataFrame, tags: DataFrame, lemmas: DataFrame) -> DataFrame:
     """(team_id, keyword, tag, tag_rank, boost, similarity) of every pair to which some rule applies.
 
-    words: distinct (team_id, keyword).  tags: distinct (team_id, tag) with tag_rank.
+    words: distinct (team_id, keyword).  tags: distinct (team_id, tag) with tag_rank.  Every rule
+    reads both, so give tables that are cheap to read again.
     Points follow rule priority, so the highest points of a pair are those of its first rule.
     """
     hits = (
