@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave import constants as C
+from linkweave.functions.html import raw_title
 from linkweave.functions.text import keywords
 
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
@@ -130,13 +131,9 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lemma_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Every keyword of the collection and of the page titles' texts, as (word)."""
-    from linkweave.functions.html import raw_title
-    from linkweave.functions.text import link_keywords
-
-    in_links = links(spark, sf).select(F.explode(link_keywords(F.col("title"), F.col("description"))).alias("word"))
+    """Every keyword of the page titles and every tag, as (word)."""
     in_pages = pages(spark, sf).select(F.explode(keywords(raw_title(F.col("html")))).alias("word"))
-    return in_links.unionByName(in_pages).distinct()
+    return in_pages.unionByName(tag_words(spark, sf)).distinct()
 
 
 def tag_words(spark: SparkSession, sf: str) -> DataFrame:

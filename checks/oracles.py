@@ -209,8 +209,7 @@ SEED_LEMMAS = "seed_lemmas(word, lemma) as (values " + ", ".join(
     f"({q(w)}, {q(l)})" for w, l in C.SEED_LEMMAS.items()
 ) + ")"
 SUFFIX_LEMMAS = f"""lemma_words as (
-  select distinct unnest({kw("title || ' ' || coalesce(description, '')")}) as word from links
-  union select unnest({kw(trim(TITLE))}) from pages),
+  select distinct unnest(tags) as word from links union select unnest({kw(trim(TITLE))}) from pages),
 tag_words as (select distinct unnest(tags) as word from links),
 rules(ending, base) as (values {", ".join(f"({q(a)}, {q(b)})" for a, b in SUFFIX_RULES)}),
 suffix_lemmas as materialized (

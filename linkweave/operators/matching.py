@@ -131,14 +131,18 @@ def _fuzzy(words: DataFrame, tags: DataFrame) -> DataFrame:
     tag_pieces = S.piece_table(t, "_t", _lengths(w, F.length("_w")), S.probe_pieces)
 
     def keyed(df: DataFrame, text: str, pieces: Column) -> DataFrame:
-        df = df.withColumn("_pieces", pieces)
-        keys = S.hashed_keys(F.col(text), F.try_element_at("_pieces", F.length(text)))
-        return df.withColumn("_key", F.explode(keys)).drop("_pieces")
+        col, size = F.col(text), F.length(text)
+        keys = S.hashed_keys(col, F.try_element_at("_pieces", size))
+        df = df.withColumn("_pieces", pieces).select(*df.columns, size.alias(f"{text}_size"), S.letter_mask(col).alias(f"{text}_mask"), keys.alias("_keys"))
+        return df.withColumn("_key", F.explode("_keys")).drop("_keys")
 
+    passes = S.maybe_similar(
+        F.col("_w"), F.col("_t"), F.col("_w_size"), F.col("_t_size"), F.col("_w_mask"), F.col("_t_mask")
+    )
     return (
         keyed(w, "_w", word_pieces)
         .join(keyed(t, "_t", tag_pieces), ["team_id", "_key"])
-        .filter((F.col("keyword") != F.col("tag")) & S.maybe_similar(F.col("_w"), F.col("_t")))
+        .filter(passes & (F.col("keyword") != F.col("tag")))
         .select("team_id", "keyword", "tag", "tag_rank", "_w", "_t")
         .distinct()
         .withColumn("similarity", S.similarity(F.col("_w"), F.col("_t")))
