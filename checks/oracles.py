@@ -246,8 +246,8 @@ def matching(targets: str = "targets", lemmas: str = "lemmas") -> str:
   select link_id, team_id, unnest(words) as keyword, generate_subscripts(words, 1) - 1 as pos
   from (select link_id, team_id, {kw("coalesce(title, '') || ' ' || coalesce(description, '')")} as words
         from {targets} where coalesce(team_id, '') <> '')),
-words as materialized (select distinct team_id, keyword, {cleaned('keyword')} as cw from occ),
-tagset as materialized (select *, {cleaned('tag')} as ct from vocab),
+words as materialized (select *, strip_accents(cw) as sw from (select distinct team_id, keyword, {cleaned('keyword')} as cw from occ)),
+tagset as materialized (select *, strip_accents(ct) as st from (select *, {cleaned('tag')} as ct from vocab)),
 word_forms as (select team_id, keyword, keyword as lemma from words
   union select w.team_id, w.keyword, l.lemma from words w join {lemmas} l on l.word = w.keyword),
 tag_forms as (select team_id, tag, lower(tag) as lemma from tagset
@@ -256,8 +256,9 @@ related as (select distinct team_id, keyword, tag from word_forms join tag_forms
 close as materialized (
   select w.team_id, w.keyword, t.tag, w.cw, t.ct from words w join tagset t using (team_id)
   where w.cw <> '' and t.ct <> '' and abs(length(w.cw) - length(t.ct)) * 200 <= 41 * (length(w.cw) + length(t.ct))
-    and levenshtein(w.cw, t.ct) * 200 <= 41 * (length(w.cw) + length(t.ct))  -- counts bytes, of which a character has up to four
-      * case when strlen(w.cw) = length(w.cw) and strlen(t.ct) = length(t.ct) then 1 else 4 end),
+    -- without accents strings only get closer; the distance counts bytes, of which a character has up to four
+    and levenshtein(w.sw, t.st) * 200 <= 41 * (length(w.cw) + length(t.ct))
+      * case when strlen(w.sw) = length(w.cw) and strlen(t.st) = length(t.ct) then 1 else 4 end),
 alike as materialized (
   select team_id, keyword, tag, case when cw = ct then 100
     else floor(200.0::double * {lcs('cw', 'ct')} / (length(cw) + length(ct)) + 0.5)::bigint end as similarity
