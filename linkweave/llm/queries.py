@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import bpe, line_dedup
-from linkweave.llm.common import table
+from linkweave.llm import bpe, language_id, line_dedup
+from linkweave.llm.common import held_out, table
 
 
 def bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,13 @@ FROM marked GROUP BY doc_id
 """
 
 
+def language_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs)).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language_of_documents,
     "op5_line_dedup": line_dedup_kept,
     "op10_bpe_codec": bpe_codec,
 }
