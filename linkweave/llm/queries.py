@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import bpe, language_id, line_dedup
+from linkweave.llm import bpe, language_id, line_dedup, simhash
 from linkweave.llm.common import held_out, table
 
 
@@ -54,8 +54,14 @@ def language_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs)).withColumn("held_out", held_out(F.col("doc_id")))
 
 
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_of_documents,
+    "op4_simhash": simhash_components,
     "op5_line_dedup": line_dedup_kept,
     "op10_bpe_codec": bpe_codec,
 }
