@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import bpe, language_id, line_dedup, simhash
+from linkweave.llm import bpe, language_id, line_dedup, simhash, substring
 from linkweave.llm.common import held_out, table
 
 
@@ -59,12 +59,44 @@ def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def substring_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.drop_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+SUBSTRING_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM split
+), windows AS (
+  SELECT doc_id, pos, md5(array_to_string(ws[pos:pos + 34], ' ')) AS hash
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS pos FROM split)
+), repeated AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY hash) > 1 AS hit FROM windows
+), marked AS (
+  SELECT w.doc_id, w.pos, word, coalesce(bool_or(hit) OVER (
+    PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM words w LEFT JOIN repeated r ON w.doc_id = r.doc_id AND w.pos = r.pos
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, sum(CAST(gone AS BIGINT)) AS n_removed,
+    string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_of_documents,
     "op4_simhash": simhash_components,
     "op5_line_dedup": line_dedup_kept,
+    "op9_substring_dedup": substring_kept,
     "op10_bpe_codec": bpe_codec,
 }
 ORACLES: dict[str, str] = {
     "op5_line_dedup": LINE_DEDUP_SQL,
+    "op9_substring_dedup": SUBSTRING_SQL,
 }
