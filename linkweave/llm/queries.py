@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import bpe, html_extract, language_id, line_dedup, simhash, substring
+from linkweave.llm import ann, bpe, html_extract, language_id, line_dedup, simhash, substring
 from linkweave.llm.common import held_out, table
 
 
@@ -94,11 +94,16 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_of_documents,
     "op3_html_extract": page_text,
     "op4_simhash": simhash_components,
     "op5_line_dedup": line_dedup_kept,
+    "op6_learned_partitions": nearest_vectors,
     "op9_substring_dedup": substring_kept,
     "op10_bpe_codec": bpe_codec,
 }
