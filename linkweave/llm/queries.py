@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import ann, bpe, html_extract, language_id, line_dedup, simhash, substring
+from linkweave.llm import ann, bpe, decontaminate, html_extract, language_id, line_dedup, simhash, substring
 from linkweave.llm.common import held_out, table
 
 
@@ -98,12 +98,29 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def leaked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    best = F.get("leaks", F.lit(0))
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.transform("leaks", lambda leak: leak["item_id"]).alias("item_ids"),
+        best["item_id"].alias("best_item"),
+        best["overlap"].alias("overlap"),
+        best["question_overlap"].alias("question_overlap"),
+        best["answer_overlap"].alias("answer_overlap"),
+        best["score"].alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_of_documents,
     "op3_html_extract": page_text,
     "op4_simhash": simhash_components,
     "op5_line_dedup": line_dedup_kept,
     "op6_learned_partitions": nearest_vectors,
+    "op7_decontaminate": leaked_documents,
     "op9_substring_dedup": substring_kept,
     "op10_bpe_codec": bpe_codec,
 }
