@@ -7,13 +7,13 @@ Blocks of items whose maxima already stay below are never scored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +23,10 @@ from linkweave.llm.common import chunks
 SHINGLE = 5
 OVERLAP = 0.8
 K1, B = 1.2, 0.75
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
 SHARD_ITEMS, SHARD_CHARS = 1_000, 4_000_000  # items of one index; more items make more indexes, asked one after another
-WORDS = regex.compile(r"\w+")
-SENTENCES = regex.compile(r"(?<=[.?!])\s+")
+WORDS = re.compile(r"\w+")
+SENTENCES = re.compile(r"(?<=[.?!])\s+")
 ROUNDING = 1e-3
 
 LEAK = T.StructType([
@@ -107,10 +107,17 @@ class BlockMaxIndex:
         halves = -(-(ends - begins) // self.stride)
         text_of = np.repeat(np.arange(len(texts)), halves)
         first = begins[text_of] + (np.arange(len(text_of)) - np.repeat(np.cumsum(halves) - halves, halves)) * self.stride
-        sums = np.add.reduceat(self.maxima[words], first, axis=0)
-        bound = sums.copy()
-        same = np.flatnonzero(text_of[1:] == text_of[:-1])
-        bound[same] += sums[same + 1]  # a passage is two strides long: any run of the longest item's length lies in one
+        # distinct terms of each passage; it is two strides long, so any run of the longest item's length lies in one
+        last = len(self.vocabulary)
+        own_half = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
+        known = words >= 0
+        pairs = own_half[known] * last + words[known]
+        earlier = pairs[(own_half[known] > 0) & (text_of[own_half[known]] == text_of[own_half[known] - 1])] - last
+        passages, terms = np.divmod(np.unique(np.concatenate([pairs, earlier])), last)
+        bound = np.zeros((len(first), self.maxima.shape[1]), np.float32)
+        starts = np.flatnonzero(np.diff(passages, prepend=-1))
+        if len(starts):
+            bound[passages[starts]] = np.add.reduceat(self.maxima[terms], starts, axis=0)
         terms_seen = np.zeros(len(self.vocabulary) + 1, bool)
         passage = None
         for at, block in np.argwhere(bound >= 1 - ROUNDING):
