@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import ann, bpe, decontaminate, html_extract, language_id, line_dedup, simhash, substring
+from linkweave.llm import ann, bpe, decontaminate, html_extract, language_id, line_dedup, simhash, substring, toxicity
 from linkweave.llm.common import held_out, table
 
 
@@ -114,8 +114,18 @@ def leaked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.slice("neighbours", 1, 3).alias("nearest_examples"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_of_documents,
+    "op2_toxicity": toxic_documents,
     "op3_html_extract": page_text,
     "op4_simhash": simhash_components,
     "op5_line_dedup": line_dedup_kept,
