@@ -24,8 +24,9 @@ from linkweave.session import written
 LABELLED_ROWS = 20_000  # labelled texts that terms, examples and calibration are fitted on
 MAX_TERMS = 3_000
 MIN_TEXTS = 5
-MIN_LIKELIHOOD_RATIO = 30.0
+MIN_LIKELIHOOD_RATIO = 25.0
 BEGINNINGS = (4, 5, 6)
+REPEATS = (2, 3)
 NEIGHBOURS = 15
 BLOCK = 64
 CALIBRATION_SHARE = 4  # every fourth labelled text calibrates, the others are examples
@@ -38,22 +39,39 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n)]
 
 
+def repeated_terms(counted: dict[str, int]) -> Iterator[str]:
+    """Each term, and once more with its number for each of REPEATS that its count reaches: length of a vector says nothing, so repeats must."""
+    for term, count in counted.items():
+        yield term
+        for least in REPEATS:
+            if count >= least:
+                yield f"{term}#{least}"
+
+
 class TermCounter(dict):
     """Maps a word to the numbers of its known terms, remembering words until there are too many."""
 
     def __init__(self, terms: list[str]):
-        self.terms = {term: i for i, term in enumerate(terms)}
+        self.known: dict[str, int] = {}
+        self.features: list[list[tuple[int, int]]] = []  # of each term without its number: least count and feature
+        for feature, term in enumerate(terms):
+            plain, _, least = term.partition("#")
+            number = self.known.setdefault(plain, len(self.features))
+            if number == len(self.features):
+                self.features.append([])
+            self.features[number].append((int(least or 1), feature))
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
+        found = self[word] = tuple(self.known[t] for t in terms_of(word) if t in self.known)
         return found
 
     def count(self, text: str | None) -> dict[int, int]:
         if not text:
             return {}
-        return Counter(t for found in filter(None, map(self.__getitem__, WORDS.findall(text.lower()))) for t in found)
+        held = Counter(t for found in filter(None, map(self.__getitem__, WORDS.findall(text.lower()))) for t in found)
+        return {feature: count if least == 1 else 1 for t, count in held.items() for least, feature in self.features[t] if count >= least}
 
 
 class BlockMaxIndex:
@@ -134,7 +152,7 @@ def select_terms(sample: DataFrame) -> list[str]:
             texts, labels = (batch.column(i).to_pylist() for i in range(2))
             held, toxic = Counter(), Counter()
             for text, label in zip(texts, labels, strict=True):
-                found = {t for word in set(WORDS.findall((text or "").lower())) for t in terms_of(word)}
+                found = list(repeated_terms(Counter(t for word in WORDS.findall((text or "").lower()) for t in terms_of(word))))
                 held.update(found)
                 if label:
                     toxic.update(found)
