@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import ann, bpe, decontaminate, html_extract, language_id, line_dedup, simhash, substring, toxicity
+from linkweave.llm import ann, bpe, decontaminate, html_extract, language_id, line_dedup, quality, simhash, substring, toxicity
 from linkweave.llm.common import held_out, table
 
 
@@ -123,6 +123,12 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "evidence", "host_posterior", "path_posterior", "quality", "good")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_of_documents,
     "op2_toxicity": toxic_documents,
@@ -131,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": line_dedup_kept,
     "op6_learned_partitions": nearest_vectors,
     "op7_decontaminate": leaked_documents,
+    "op8_quality": document_quality,
     "op9_substring_dedup": substring_kept,
     "op10_bpe_codec": bpe_codec,
 }
