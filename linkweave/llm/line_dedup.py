@@ -9,7 +9,7 @@ shared, or stop being so.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -157,17 +157,18 @@ def probe(entries: DataFrame, filters: DataFrame, load: DataFrame, shards: int)
     return rows.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInPandas(known, f"doc_id {ids}, key binary")
 
 
-def keep_lines(docs: DataFrame, dropped: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row of `docs`: the id, `n_lines`, `n_dropped` and `kept`, its text without the lines whose key is dropped from that document."""
+def keep_lines(docs: DataFrame, dropped: DataFrame, id_column: str = "doc_id", text_column: str = "text", carried: Sequence[str] = ()) -> DataFrame:
+    """Per row of `docs`: the id, the `carried` columns, `n_lines`, `n_dropped` and `kept`, its text without the lines whose key is dropped from that document."""
     marks = dropped.groupBy(F.col("doc_id").alias("marked_id")).agg(F.collect_set("key").alias("marks"))
-    rows = docs.select(F.col(id_column).alias("row_id"), F.col(text_column).alias("row_text"))
-    rows = rows.join(marks, F.col("row_id") == F.col("marked_id"), "left").select("row_id", "row_text", "marks")
+    others = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carried)]
+    rows = docs.select(F.col(text_column).alias("row_text"), F.col(id_column).alias("row_id"), *others)
+    rows = rows.join(marks, F.col("row_id") == F.col("marked_id"), "left").drop("marked_id")
     lower = str.maketrans(UPPER, LOWER)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, str]] = []
-            for text, marked in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, marked in zip(batch.column(0).to_pylist(), batch.column(len(carried) + 2).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 left = lines
                 if marked:
@@ -177,13 +178,12 @@ def keep_lines(docs: DataFrame, dropped: DataFrame, id_column: str = "doc_id", t
                 out.append((len(lines), len(lines) - len(left), "\n".join(left)))
             n_lines, n_dropped, texts = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string())],
-                [id_column, "n_lines", "n_dropped", "kept"],
+                [*batch.columns[1:-1], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string())],
+                [id_column, *carried, "n_lines", "n_dropped", "kept"],
             )
 
-    id_type = docs.schema[id_column].dataType
-    fields = [T.StructField(id_column, id_type), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    return rows.mapInArrow(kept, T.StructType([*fields, T.StructField("kept", T.StringType())]))
+    counts = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+    return rows.mapInArrow(kept, T.StructType([*docs.select(id_column, *carried).schema.fields, *counts, T.StructField("kept", T.StringType())]))
 
 
 class LineIndex:
@@ -263,15 +263,15 @@ def verified(entries: DataFrame, shared: DataFrame) -> DataFrame:
     return entries.join(firsts, "key").where(F.col("doc_id") > F.col("first_doc")).select("doc_id", "key")
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Drop each line whose key an earlier document holds: the id, `n_lines`, `n_dropped` and `kept` (the text left).
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carried: Sequence[str] = ()) -> DataFrame:
+    """Drop each line whose key an earlier document holds: the id, the `carried` columns, `n_lines`, `n_dropped` and `kept` (the text left).
 
     Keys under 10 code points never count. A null or empty text is one empty line. Rows with the same id are one document, each row
-    being kept; a row without an id keeps all its lines and lends none. Only the two named columns are read.
+    being kept; a row without an id keeps all its lines and lends none. Only the named columns are read.
     """
     entries = written(line_keys(docs, id_column, text_column), "line-entries")
     shared = written(references(entries).where("first_doc < last_doc"), "line-references")
     shards = 1 + shared.count() // SHARD_KEYS
     load = entries.groupBy(_shard(shards).alias("shard")).agg(F.count(F.lit(1)).alias("entries"))
     candidates = probe(entries, build_filters(shared, shards), load, shards)
-    return keep_lines(docs, verified(candidates, shared), id_column, text_column)
+    return keep_lines(docs, verified(candidates, shared), id_column, text_column, carried)
