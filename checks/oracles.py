@@ -5,7 +5,6 @@ from __future__ import annotations
 from checks import inputs as I
 from linkweave import constants as C
 from linkweave.operators.lemmas import SUFFIX_RULES
-from linkweave.operators.search import like_pattern
 
 ORACLES: dict[str, str] = {}
 
@@ -538,7 +537,8 @@ from requests r join stored s on s.url = r.url and s.user_id = r.user_id""")
 
 
 def text_match(query: str) -> str:
-    p = q(like_pattern(query))
+    # a backslash before anything but %, _ or itself goes; % and _ stay wildcards
+    p = f"regexp_replace({q('%' + query + '%')}, '\\\\([^%_\\\\])', '\\1', 'g')"
     tags = "'[' || array_to_string(list_transform(tags, lambda t: to_json(t)::varchar), ', ') || ']'"
     return "(" + " or ".join(f"coalesce({x} ilike {p} escape '\\', false)" for x in ("title", "description", "url", tags)) + ")"
 
@@ -586,6 +586,28 @@ select g.seq, g.url, '{C.CODE_EXTERNAL}', coalesce(d.message, '{C.MSG_TAGS_FAILE
 from new_good g join described d on d.url = g.url and d.team_id = g.team_id left join generated t on t.link_id = d.link_id where t.generated is null""")
 oracle("create_links_usage", f"""with {created()} select team_id, tag as tag_name, count(*) as usage_count, {stamp('max(updated_at)')} as last_used
 from (select team_id, updated_at, unnest(tags) as tag from after) group by 1, 2""")
+oracle("create_links_repeated_pages", ORACLES["create_links"])
+oracle("create_links_repeated_requests", f"""with {created()} select r.seq, r.url, r.user_id from ready r join owned o on o.url = r.url
+where o.stored_id is null and r.user_id = o.first_user and r.seq > o.first_seq""")
+oracle("stored_usage", ORACLES["usage_after_save"])
+oracle("store_per_user", ORACLES["save_batch_per_user"].replace("select id, url, title", "select url, title"))
+oracle("usage_after_delete", f"""with {LINKS}, after as (
+  select * from links l where not exists (select 1 from events e where e.event_id = l.id and 'U' || e.user_id % 50 = l.user_id))
+select team_id, tag as tag_name, count(*) as usage_count, {stamp('max(updated_at)')} as last_used
+from (select team_id, updated_at, unnest(tags) as tag from after) group by 1, 2""")
+oracle("read_links", f"with {LINKS} select id, url, title, {joined('tags')} as tags, {stamp('created_at')} as created_at from links")
+oracle("seed_tags", f"""with {LINKS}, used as (select unnest(tags) as tag from links)
+select s.seed_pos::bigint as tag_rank, s.tag, (select count(*) from used u where u.tag = s.tag) as n from seeds s""")
+oracle("long_page_titles", f"""with words as (select url, regexp_replace(html, '[<>&"'']|\\s+', ' ', 'g') as words from pages),
+long as (select url, '<title>T' || words || '</title><meta name="description" content="D' || words || '">' as html from words)
+select url, {PAGE_TITLE} as title, {PAGE_DESCRIPTION} as description from long""")
+oracle("find_by_id", f"with {LINKS} select id, url, title from links where id = (select max(id) // 2 from links)")
+oracle("search_one_user", f"""with {LINKS} select id, url, title from links where user_id = 'U7' and {text_match('an')}
+and {any_tag(C.SEED_TAGS[:30])} order by created_at desc, id desc limit 20 offset 1""")
+oracle("recent_of_one_user", f"with {LINKS} select id, url, {stamp('created_at')} as created_at from links where user_id = 'U7' order by links.created_at desc, id desc limit 5")
+oracle("create_links_unchecked", f"""with {COMMANDS} select seq, url, '{C.CODE_VALIDATION}' as code,
+  case when coalesce(url, '') = '' then '{C.MSG_URL_REQUIRED}' else '{C.MSG_URL_INVALID}' end as message
+from parsed where coalesce(url, '') = '' or not {valid_url('url')}""")
 STORED_USAGE = f"{SEEDS}, {USAGE.replace('from links', 'from stored')}"
 oracle("stream_create_links", f"with {created(STORED_USAGE)} select {SAVED_COLUMNS} from after")
 oracle("stream_tag_usage", ORACLES["team_tag_usage"])

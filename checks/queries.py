@@ -25,6 +25,8 @@ from linkweave.plans import create as P
 from linkweave.plans import lookup as LK
 from linkweave.session import shared_dir, written
 from linkweave.sources.commands import requests_from_commands
+from linkweave.sources import links as LS
+from linkweave.sources import vocabulary as VO
 from linkweave.sources.links import LinkStore
 from linkweave.sources.pages import extract_metadata
 from linkweave.streaming import create as SC
@@ -416,7 +418,7 @@ def upsert_links(spark, sf):
         F.max_by("requested_at", "seq").alias("changed_at"),
     )
     stored = I.page_links(spark, sf)
-    return ST.upsert(stored, ST.changed_rows(stored, latest))
+    return ST.upsert(stored, ST.changed_rows(stored, ST.with_stored(latest, stored)))
 
 
 @query
@@ -458,14 +460,14 @@ def usage_after_save(spark, sf):
 def _page_team_replies(spark, sf, requests: DataFrame) -> DataFrame:
     """One stored reply per stage for every page and team that asks."""
     asking = requests.select("url", F.coalesce("team_id", F.lit("")).alias("team_id")).distinct()
-    keyed = asking.select(P.link_key(F.col("team_id"), F.col("url")).alias("link_key"), "url", F.col("team_id").alias("title"))
-    return _stored_replies(keyed, "link_key")
+    keyed = asking.select(P.link_key(F.col("team_id"), F.col("url")).alias("link_id"), "url", F.col("team_id").alias("title"))
+    return _stored_replies(keyed)
 
 
-def _create(spark, sf, validate: bool = True) -> P.CreateResult:
+def _create(spark, sf, validate: bool = True, pages: DataFrame | None = None) -> P.CreateResult:
     requests = written(requests_from_commands(I.commands(spark, sf)), "requests")
     return P.create_links(
-        requests, I.page_links(spark, sf), I.fetched_pages(spark, sf), L.seed_lemmas(spark),
+        requests, written(I.page_links(spark, sf), "stored"), I.fetched_pages(spark, sf) if pages is None else pages, L.seed_lemmas(spark),
         _page_team_replies(spark, sf, requests.withColumn("team_id", V.team_or_user(F.col("team_id"), F.col("user_id")))),
         usage=TG.team_tag_usage(I.links(spark, sf)), validate=validate,
     )
@@ -486,6 +488,107 @@ def create_links_usage(spark, sf):
     return _create(spark, sf).usage_after()
 
 
+@query
+def create_links_repeated_pages(spark, sf):
+    """The same with every page listed twice: the later fetch counts."""
+    fetched = I.fetched_pages(spark, sf)
+    later = fetched.withColumn("fetched_at", F.lit("2024-01-02").cast("timestamp"))
+    earlier = fetched.withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp")).withColumn("html", F.lit("<title>old api react</title>"))
+    return _create(spark, sf, pages=earlier.unionByName(later)).links_after()
+
+
+@query
+def create_links_repeated_requests(spark, sf):
+    """Requests by the owner of a link that the same batch created."""
+    return _create(spark, sf).repeated.select("seq", "url", "user_id")
+
+
+def _in_batches(spark, sf, key: tuple[str, ...] = ("url",)) -> LinkStore:
+    """Requests with content, in four slices as files of a stream, saved micro-batch by micro-batch."""
+    folder = written(spark.range(1), "stream").inputFiles()[0].rsplit("/", 1)[0]
+    requests = written(_request_content(I.requests(spark, sf)), "requests")
+    ends = requests.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    step = (ends["high"] - ends["low"]) // 4 + 1
+    for i in range(4):
+        low = ends["low"] + i * step
+        requests.filter((F.col("seq") >= low) & (F.col("seq") < low + step)).repartition(2).write.parquet(f"{folder}-in/slice={i}")
+    store = LinkStore(spark, f"{folder}-store", buckets=8, key=key)
+    store.create(written(I.page_links(spark, sf), "stored"))
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}-in")
+    running = stream.drop("slice").writeStream.foreachBatch(lambda batch, number: SC.save_requests(batch, number, store))
+    running.option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store
+
+
+@query
+def stored_usage(spark, sf):
+    """Tag usage that the store keeps over several micro-batches."""
+    return _in_batches(spark, sf).usage()
+
+
+@query
+def store_per_user(spark, sf):
+    """Links kept per user, after several micro-batches."""
+    return _in_batches(spark, sf, ("url", "user_id")).links().drop("id")
+
+
+@query
+def usage_after_delete(spark, sf):
+    """Tag usage that the store keeps after a batch of deletions."""
+    folder = written(spark.range(1), "stream").inputFiles()[0].rsplit("/", 1)[0]
+    store = LinkStore(spark, f"{folder}-store", buckets=8)
+    store.create(I.links(spark, sf))
+    store.delete(_to_delete(spark, sf), 0)
+    return store.usage()
+
+
+@query
+def read_links(spark, sf):
+    """A links table written and read back with the fixed schema."""
+    table = written(I.links(spark, sf), "links")
+    return LS.read_links(spark, table.inputFiles()[0].rsplit("/", 1)[0]).select("id", "url", "title", "tags", "created_at")
+
+
+@query
+def seed_tags(spark, sf):
+    """How many links use each seed tag."""
+    used = I.links(spark, sf).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return VO.seed_tags(spark).join(used, "tag", "left").select("tag_rank", "tag", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query
+def long_page_titles(spark, sf):
+    """Titles and descriptions longer than what is stored: the page's whole words, many times over."""
+    words = F.regexp_replace(F.col("html"), r"[<>&\"']|\s+", " ")
+    html = F.concat(F.lit("<title>T"), words, F.lit('</title><meta name="description" content="D'), words, F.lit('">'))
+    return extract_metadata(I.pages(spark, sf).withColumn("html", html)).select("url", "title", "description")
+
+
+@query
+def find_by_id(spark, sf):
+    """The link with the middle id."""
+    links = I.links(spark, sf)
+    middle = links.agg((F.max("id") / 2).cast("long").alias("id")).first()["id"]
+    return S.find_by_id(links, middle).select("id", "url", "title")
+
+
+@query
+def search_one_user(spark, sf):
+    return S.search(I.links(spark, sf), "U7", query="an", tags=C.SEED_TAGS[:30], limit=20, offset=1).links.select("id", "url", "title")
+
+
+@query
+def recent_of_one_user(spark, sf):
+    return S.recent(I.links(spark, sf), "U7", 5).select("id", "url", "created_at")
+
+
+@query
+def create_links_unchecked(spark, sf):
+    """Requests that are set aside when only the URL is checked."""
+    requests = requests_from_commands(I.commands(spark, sf))
+    return P.split_valid_url(requests)[1].select("seq", "url", "code", "message")
+
+
 # ---- streams ---------------------------------------------------------------------------------
 
 @query
@@ -503,7 +606,7 @@ def stream_create_links(spark, sf):
 
     requests = requests_from_commands(I.commands(spark, sf))
     replies = written(_page_team_replies(spark, sf, requests.withColumn("team_id", V.team_or_user(F.col("team_id"), F.col("user_id")))), "replies")
-    fetched = I.fetched_pages(spark, sf)
+    fetched = written(extract_metadata(I.fetched_pages(spark, sf)), "metadata")
 
     def each(batch: DataFrame, number: int) -> None:
         commands = I.commands_from_events(batch.withColumn("page_id", F.pmod("event_id", n)).join(all_pages, "page_id"))

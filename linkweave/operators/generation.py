@@ -35,8 +35,8 @@ def ask(prompts: DataFrame, model: Model) -> DataFrame:
 
 
 def _replies(prompts: DataFrame, stage: str, model: Model | DataFrame) -> DataFrame:
-    if isinstance(model, DataFrame):
-        return model.filter(F.col("stage") == stage).select("link_id", "reply")
+    if isinstance(model, DataFrame):  # of several stored replies to one prompt the greatest text counts
+        return model.filter(F.col("stage") == stage).groupBy("link_id").agg(F.max("reply").alias("reply"))
     return written(ask(prompts, model), f"replies-{stage}")
 
 

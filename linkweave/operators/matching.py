@@ -51,15 +51,17 @@ def _key_length(col: Column) -> Column:
     return F.least(F.length(col), F.lit(KEY_LENGTH))
 
 
-def _substrings(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of the given lengths, three UTF-16 units at least."""
-    shortest = F.when(text.rlike(ASTRAL), F.lit(2)).otherwise(F.lit(3))
-    fitting = F.filter(lengths, lambda n: (n >= shortest) & (n <= F.length(text)))
-    pieces = F.transform(
-        fitting,
-        lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)),
-    )
-    return F.array_distinct(F.flatten(pieces))
+def _substrings(df: DataFrame, text: str, lengths: Column) -> DataFrame:
+    """`df` with `_key`: substrings of the given lengths, three UTF-16 units at least, one row each.
+
+    Rows go by start first and then by length, so that no row ever holds all substrings of a long word.
+    """
+    shortest = F.when(F.col(text).rlike(ASTRAL), F.lit(2)).otherwise(F.lit(3))
+    starts = df.withColumn("_least", shortest).withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(text))))
+    room = F.length(text) - F.col("_at") + 1
+    fitting = F.filter(F.col("_lengths"), lambda n: (n >= F.col("_least")) & (n <= room))
+    sized = starts.withColumn("_lengths", lengths).withColumn("_size", F.explode(fitting))
+    return sized.withColumn("_key", F.substring(F.col(text), F.col("_at"), F.col("_size"))).select(*df.columns, "_key")
 
 
 def _pair(boost: Column, similarity: Column | None = None) -> list[Column]:
@@ -76,9 +78,8 @@ def _pair(boost: Column, similarity: Column | None = None) -> list[Column]:
 def _tag_in_keyword(words: DataFrame, tags: DataFrame) -> DataFrame:
     """Equal words, and tags that are part of a keyword."""
     long_tags = tags.filter(utf16_length(F.col("tag")) > 2)
-    pieces = words.withColumn("_lengths", _lengths(long_tags, _key_length(F.col("tag")))).select(
-        "team_id", "keyword", F.explode(_substrings(F.col("keyword"), F.col("_lengths"))).alias("_key")
-    )
+    lengths = _lengths(long_tags, _key_length(F.col("tag")))
+    pieces = _substrings(words.select("team_id", "keyword").filter("keyword <> ''"), "keyword", lengths)
     keyed = long_tags.withColumn("_key", F.substring("tag", 1, KEY_LENGTH))
     return (
         pieces.join(keyed, ["team_id", "_key"])
@@ -92,9 +93,8 @@ def _tag_in_keyword(words: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def _keyword_in_tag(words: DataFrame, tags: DataFrame) -> DataFrame:
-    pieces = tags.withColumn("_lengths", _lengths(words, _key_length(F.col("keyword")))).select(
-        "team_id", "tag", "tag_rank", F.explode(_substrings(F.col("tag"), F.col("_lengths"))).alias("_key")
-    )
+    lengths = _lengths(words, _key_length(F.col("keyword")))
+    pieces = _substrings(tags.select("team_id", "tag", "tag_rank").filter("tag <> ''"), "tag", lengths)
     keyed = words.select("team_id", "keyword", F.substring("keyword", 1, KEY_LENGTH).alias("_key"))
     return (
         pieces.join(keyed, ["team_id", "_key"])
@@ -130,11 +130,11 @@ def _fuzzy(words: DataFrame, tags: DataFrame) -> DataFrame:
     word_pieces = S.piece_table(w, "_w", _lengths(t, F.length("_t")), S.segment_pieces)
     tag_pieces = S.piece_table(t, "_t", _lengths(w, F.length("_w")), S.probe_pieces)
 
-    def keyed(df: DataFrame, text: str, pieces: Column) -> DataFrame:
+    def keyed(df: DataFrame, text: str, pieces: DataFrame) -> DataFrame:
         col, size = F.col(text), F.length(text)
-        keys = S.hashed_keys(col, F.try_element_at("_pieces", size))
-        df = df.withColumn("_pieces", pieces).select(*df.columns, size.alias(f"{text}_size"), S.letter_mask(col).alias(f"{text}_mask"), keys.alias("_keys"))
-        return df.withColumn("_key", F.explode("_keys")).drop("_keys")
+        df = df.select(*df.columns, size.alias(f"{text}_size"), S.letter_mask(col).alias(f"{text}_mask"))
+        joined = df.join(pieces, F.col(f"{text}_size") == F.col("n"))
+        return joined.withColumn("_key", S.hashed_key(col)).drop(*pieces.columns)
 
     passes = S.maybe_similar(
         F.col("_w"), F.col("_t"), F.col("_w_size"), F.col("_t_size"), F.col("_w_mask"), F.col("_t_mask")
@@ -176,15 +176,17 @@ def match_tags(
 
     links: link_id, team_id, title, description.  candidates: team_id, tag, tag_rank.
     """
-    occurrences = keyword_occurrences(links)
+    occurrences = written(keyword_occurrences(links), "occurrences")
     tasks = _tasks(links)
     words = written(
         occurrences.groupBy("team_id", "keyword").agg(F.count(F.lit(1)).alias("n")).repartition(tasks), "words"
     )
     candidates = written(candidates.select("team_id", "tag", "tag_rank").repartition(tasks), "candidates")
-    pairs = word_pairs(words.select("team_id", "keyword"), candidates, lemmas)
+    pairs = written(word_pairs(words.select("team_id", "keyword"), candidates, lemmas), "pairs")
     keys = ["team_id", "keyword"]
-    hits = join_split_hot(occurrences, pairs, keys, hot_keys(words, keys, "n", **hot_options), ["link_id"])
+    partners = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("tags"))
+    made = words.join(partners, keys).select(*keys, (F.col("n") * F.col("tags")).alias("n"))  # rows the join makes of a keyword
+    hits = join_split_hot(occurrences, pairs, keys, hot_keys(made, keys, "n", **hot_options), ["link_id"])
     return rank_matches(hits, limit)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # No more than this many keys are ever treated as hot, so their table may be broadcast.
 MAX_HOT_KEYS = 10_000
-# Keys below this many rows are never worth splitting.
+# Rows that one task may get for a key: a larger key is split into so many of them.  Small inputs have none; the plan is the same.
 MIN_HOT_ROWS = 1_000_000
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions.text import blank_to_null, trim_ws
 from linkweave.schemas import LINKS
+from linkweave.session import written
 
 COLUMNS = LINKS.fieldNames()
 CONTENT = ["title", "description", "tags", "manual_tags"]
@@ -24,11 +25,17 @@ def split_existing(requests: DataFrame, links: DataFrame) -> tuple[DataFrame, Da
     return new_work, returned.select("seq", *COLUMNS)
 
 
+def with_stored(rows: DataFrame, links: DataFrame, key: tuple[str, ...] = ("url",)) -> DataFrame:
+    """The rows with the `stored` link of their key, or null."""
+    return rows.join(links.select(*key, F.struct(*COLUMNS).alias("stored")), list(key), "left")
+
+
 def resolve_batch(requests: DataFrame, links: DataFrame, key: tuple[str, ...] = ("url",)) -> DataFrame:
     """What an ordered batch leaves behind: one row per key, as if requests ran one by one.
 
     requests: seq, url, user_id, team_id, channel_id, requested_at and a `content` struct; none by
-    a stored row's owner.  Result: the key, `first` (identity of a new row), `content`, updated_at.
+    a stored row's owner.  Result: the key, `first` (identity of a new row), `content`, changed_at and the
+    `stored` row, null for a new key.
 
     The owner is the first saver; repeats by the owner change nothing, so the content is that of
     the last request by anybody else, or the first request's.  Requests collapse per (key, user)
@@ -41,6 +48,7 @@ def resolve_batch(requests: DataFrame, links: DataFrame, key: tuple[str, ...] =
         F.min_by(F.struct(identity.alias("identity"), F.col("content").alias("content")), "seq").alias("earliest"),
         F.max_by(saved, "seq").alias("latest"),
     )
+    users = written(users, "users")
     newest = W.partitionBy(*key).orderBy(F.desc("latest.seq"))
     oldest = W.partitionBy(*key).orderBy("earliest.identity.seq")
     ends = users.withColumn("_new", F.row_number().over(newest)).filter("_new <= 2").unionByName(
@@ -51,35 +59,37 @@ def resolve_batch(requests: DataFrame, links: DataFrame, key: tuple[str, ...] =
         F.max_by("latest", F.when(F.col("_new") == 1, 1)).alias("last"),
         F.max_by("latest", F.when(F.col("_new") == 2, 1)).alias("before"),
     )
-    stored = links.select(*key, F.col("user_id").alias("_stored_user"))
-    owner = F.coalesce("_stored_user", trim_ws(F.col("earliest.identity.user_id")))
+    owner = F.coalesce("stored.user_id", trim_ws(F.col("earliest.identity.user_id")))
     other = F.when(F.col("last.user_id") != owner, F.col("last")).otherwise(F.col("before"))
     return (
-        per_key.join(stored, list(key), "left")
+        with_stored(per_key, links, key)
         .withColumn("_other", other)
         .select(
             *key,
             F.col("earliest.identity").alias("first"),
             F.coalesce("_other.content", "earliest.content").alias("content"),
             F.coalesce("_other.requested_at", "earliest.identity.requested_at").alias("changed_at"),
+            "stored",
         )
     )
 
 
-def changed_rows(links: DataFrame, resolved: DataFrame, key: tuple[str, ...] = ("url",)) -> DataFrame:
+def changed_rows(
+    links: DataFrame, resolved: DataFrame, key: tuple[str, ...] = ("url",), highest_id: int | None = None
+) -> DataFrame:
     """Full rows of everything the batch inserts or replaces.
 
-    A replaced row keeps id, user, team, channel and created_at.  A new row gets its id from its
-    place in the arrival order: the highest stored id plus the distance from the first request.
+    A replaced row keeps id, user, team, channel and created_at.  A new row gets its id from its place in the arrival
+    order: the highest id ever given plus the distance from the first request.  Without `highest_id` the
+    highest id of `links` counts, so a caller that deletes links must keep it.
     """
-    base = links.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base")).scalar()
+    resolved = written(resolved, "resolved")
+    top = F.lit(highest_id) if highest_id is not None else links.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base")).scalar()
     start = resolved.agg(F.min("first.seq").alias("start")).scalar()
-    touched = links.join(resolved.select(*key), list(key), "left_semi")
-    old = touched.select(*[F.col(c).alias(c if c in key else f"_{c}") for c in COLUMNS if c not in CONTENT])
-    is_old = F.col("_id").isNotNull()
+    is_old = F.col("stored").isNotNull()
     user, team, channel = (trim_ws(F.col(f"first.{c}")) for c in ("user_id", "team_id", "channel_id"))
     new = {
-        "id": base + F.col("first.seq") - start + 1,
+        "id": top + F.col("first.seq") - start + 1,
         "user_id": user,
         "team_id": F.coalesce(blank_to_null(team), user),
         "channel_id": channel,
@@ -95,10 +105,10 @@ def changed_rows(links: DataFrame, resolved: DataFrame, key: tuple[str, ...] = (
         if name == "updated_at":
             return F.col("changed_at").alias(name)
         if name == "url":
-            return F.coalesce("_url", "first.url").alias(name)
-        return F.when(is_old, F.col(f"_{name}")).otherwise(new[name]).alias(name)
+            return F.coalesce("stored.url", "first.url").alias(name)
+        return F.when(is_old, F.col(f"stored.{name}")).otherwise(new[name]).alias(name)
 
-    return resolved.join(old, list(key), "left").select(*[column(c) for c in COLUMNS])
+    return resolved.select(*[column(c) for c in COLUMNS])
 
 
 def upsert(links: DataFrame, changed: DataFrame, key: tuple[str, ...] = ("url",)) -> DataFrame:
@@ -107,10 +117,22 @@ def upsert(links: DataFrame, changed: DataFrame, key: tuple[str, ...] = ("url",)
     return untouched.select(*COLUMNS).unionByName(changed.select(*COLUMNS))
 
 
-def save_batch(links: DataFrame, requests: DataFrame, key: tuple[str, ...] = ("url",)) -> DataFrame:
+def save_batch(
+    links: DataFrame, requests: DataFrame, key: tuple[str, ...] = ("url",), highest_id: int | None = None
+) -> DataFrame:
     """Links after an ordered batch of requests with content."""
-    new_work, _ = split_existing(requests, links)
-    return upsert(links, changed_rows(links, resolve_batch(new_work, links, key), key), key)
+    return upsert(links, saved_rows(links, requests, key, highest_id), key)
+
+
+def saved_rows(
+    links: DataFrame, requests: DataFrame, key: tuple[str, ...] = ("url",), highest_id: int | None = None
+) -> DataFrame:
+    """What save_batch changes.  Only the stored rows with the batch's URLs take part, and are read once."""
+    requests = written(requests, "requests")
+    touched = written(links.join(requests.select("url").distinct(), "url", "left_semi").select(*COLUMNS), "touched")
+    new_work, _ = split_existing(requests, touched)
+    resolved = resolve_batch(new_work, touched, key)
+    return written(changed_rows(links, resolved, key, highest_id), "changed")
 
 
 def delete(links: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkweave import constants as C
+from linkweave.session import written
 
 
 def team_tag_usage(links: DataFrame) -> DataFrame:
@@ -46,19 +47,25 @@ def _seeds_per_team(teams: DataFrame) -> DataFrame:
     return teams.select("team_id").distinct().select("team_id", F.posexplode(seeds).alias("seed_pos", "tag"))
 
 
-def _usage_positions(usage: DataFrame) -> DataFrame:
-    """(team_id, tag, tag_rank) by usage, then name, without sorting a whole team in one task.
+def existing_tags(usage: DataFrame, teams: DataFrame | None = None) -> DataFrame:
+    """(team_id, tag, tag_rank): a team's tags by usage, then the seed tags it does not use yet.
+
+    `teams` lists the teams to answer for, also ones without links; default: teams with usage.
 
-    Tags with equal usage and equal first letters form a block.  Blocks of a team are few and are
-    numbered from their sizes; tags are numbered inside their block.
+    No task sorts a whole team: tags with equal usage and equal first letters form a block, an unused seed tag one of
+    its own.  Blocks of a team are few and are numbered from their sizes; tags are numbered inside their block.
     """
+    usage = written(usage.select("team_id", F.col("tag_name").alias("tag"), "usage_count"), "usage")
+    wanted = usage.select("team_id").distinct() if teams is None else written(teams.select("team_id").distinct(), "teams")
+    used = usage if teams is None else usage.join(wanted, "team_id", "left_semi")
+    seeds = _seeds_per_team(wanted).withColumn("usage_count", F.lit(0).cast("long"))
+    both = used.withColumn("seed_pos", F.lit(None).cast("int")).unionByName(seeds)
+    tags = both.groupBy("team_id", "tag").agg(F.max("usage_count").alias("usage_count"), F.max("seed_pos").alias("seed_pos"))
+    unused = F.col("usage_count") == 0
+    letters = F.when(unused, F.lpad(F.col("seed_pos").cast("string"), 9, "0")).otherwise(F.substring("tag", 1, 3))
+    tags = written(tags.select("team_id", "tag", "usage_count", letters.alias("_letters")), "vocabulary")
     block = ["team_id", "usage_count", "_letters"]
-    tags = usage.select("team_id", F.col("tag_name").alias("tag"), "usage_count").withColumn(
-        "_letters", F.substring("tag", 1, 3)
-    )
-    earlier = W.partitionBy("team_id").orderBy(F.desc("usage_count"), "_letters").rowsBetween(
-        W.unboundedPreceding, -1
-    )
+    earlier = W.partitionBy("team_id").orderBy(F.desc("usage_count"), "_letters").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         tags.groupBy(*block)
         .agg(F.count(F.lit(1)).alias("_size"))
@@ -73,25 +80,6 @@ def _usage_positions(usage: DataFrame) -> DataFrame:
     )
 
 
-def existing_tags(usage: DataFrame, teams: DataFrame | None = None) -> DataFrame:
-    """(team_id, tag, tag_rank): a team's tags by usage, then the seed tags it does not use yet.
-
-    `teams` lists the teams to answer for, also ones without links; default: teams with usage.
-    """
-    teams = usage.select("team_id") if teams is None else teams
-    ranked = _usage_positions(usage)
-    counts = usage.groupBy("team_id").agg(F.count(F.lit(1)).alias("_n"))
-    order = W.partitionBy("team_id").orderBy("seed_pos")
-    unused = (
-        _seeds_per_team(teams)
-        .join(usage.select("team_id", F.col("tag_name").alias("tag")), ["team_id", "tag"], "left_anti")
-        .withColumn("_i", F.row_number().over(order))
-        .join(counts, "team_id", "left")
-        .select("team_id", "tag", (F.coalesce("_n", F.lit(0)) + F.col("_i")).alias("tag_rank"))
-    )
-    return ranked.join(teams.select("team_id").distinct(), "team_id", "left_semi").unionByName(unused)
-
-
 def team_seed_tags(usage: DataFrame, teams: DataFrame | None = None, limit: int = C.SEED_TAG_LIMIT) -> DataFrame:
     """The first `limit` existing tags of each team.
 

@@ -53,10 +53,13 @@ PAGES = T.StructType([
     T.StructField("html", T.StringType()),
     T.StructField("status", T.IntegerType()),
     T.StructField("content_type", T.StringType()),
+    T.StructField("status_text", T.StringType()),
+    T.StructField("n_bytes", T.LongType()),
+    T.StructField("fetched_at", T.TimestampType()),
 ])
 
 REPLIES = T.StructType([
-    T.StructField("link_key", T.StringType()),
+    T.StructField("link_id", T.StringType()),
     T.StructField("stage", T.StringType()),
     T.StructField("reply", T.StringType()),
 ])

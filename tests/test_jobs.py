@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from linkweave.plans.create import create_links, link_key
 from linkweave.sources.commands import read_commands, requests_from_commands, stream_commands
 from linkweave.sources.links import LinkStore, read_links
 from linkweave.sources.pages import read_pages
-from linkweave.streaming.create import start_saving, usage_stream
+from linkweave.session import scratch, written
+from linkweave.streaming.create import save_micro_batch, start_saving, usage_stream
 from tests.test_tables import DAY, link, links_of
 
 PAGES = [
@@ -23,7 +25,7 @@ PAGES = [
 
 
 def pages_of(spark):
-    return spark.createDataFrame(PAGES, schemas.PAGES)
+    return spark.createDataFrame([(*p, None, None, None) for p in PAGES], schemas.PAGES)
 
 
 def requests_frame(spark, rows):
@@ -126,6 +128,45 @@ def write_commands(folder, name, commands):
     (folder / f"{name}.json").write_text("\n".join(json.dumps(c) for c in commands))
 
 
+def requests_json(spark, path):
+    return spark.read.schema(schemas.COMMANDS).json(str(path))
+
+
+def test_a_page_listed_twice_counts_once(spark):
+    twice = spark.createDataFrame(
+        [(u, "<title>Old javascript javascript</title>", 200, "text/html", None, None, DAY) for u, *_ in PAGES]
+        + [(*p, None, None, DAY + dt.timedelta(days=1)) for p in PAGES], schemas.PAGES)
+    rows = [(1, "https://example.com", None, "a", "T1"), (2, "https://gone.org", None, "a", "T1"), (3, "https://example.com", None, "a", "T1")]
+    replies = spark.createDataFrame([("T1", '["one"]'), ("T1", '["one"]')], "team string, reply string").select(
+        link_key(F.col("team"), F.lit("https://example.com")).alias("link_id"), F.lit("tags").alias("stage"), "reply")
+    args = (links_of(spark, []), twice, L.seed_lemmas(spark), replies)
+    result = create_links(requests_frame(spark, rows), *args)
+    assert [(r.title, r.user_id) for r in result.links_after().collect()] == [("Example Tutorial", "a")]
+    assert [(r.seq, r.message) for r in result.rejected.collect()] == [(2, "HTTP 404: ")]
+    saved = result.changed.first()
+    assert [(r.seq, r.id, r.url) for r in result.repeated.collect()] == [(3, saved.id, saved.url)]
+
+
+def test_a_store_per_user_keeps_every_users_link(spark, tmp_path):
+    rows = [link(i, f"https://x.org/{i % 7}", user=f"U{i}", tags=[f"t{i % 3}"]) for i in range(1, 40)]
+    store = LinkStore(spark, str(tmp_path / "store"), buckets=4, key=("url", "user_id"))
+    store.create(links_of(spark, rows))
+    assert store.links().count() == 39
+    store.delete(spark.createDataFrame([(5, "U5"), (6, "U5")], "id long, user_id string"), 0)
+    assert sorted(r.id for r in store.links().collect()) == [i for i in range(1, 40) if i != 5]
+    recount = TG.team_tag_usage(store.links())
+    assert sorted(map(str, store.usage().collect())) == sorted(map(str, recount.collect()))
+    wanted = spark.createDataFrame([("https://x.org/3",)], "url string")
+    assert {r.url for r in store.links(urls=wanted).collect()} == {"https://x.org/3"}
+
+
+def test_scratch_tables_go_with_their_batch(spark):
+    with scratch(spark):
+        path = written(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(os.path.dirname(path))
+
+
 def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     commands = [
         command(1, "https://example.com react", "a"), command(2, "https://other.org/doc.pdf", "b"),
@@ -160,13 +201,15 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     recount = TG.team_tag_usage(store.links())
     assert twice[1] == sorted(map(str, recount.collect()))
 
-    compact = LinkStore(spark, str(tmp_path / "compact"), buckets=2)
-    compact.create(store.links())
+    compact = store.compact(str(tmp_path / "compact"))
     assert sorted(map(str, compact.links().collect())) == twice[0]
     assert sorted(map(str, compact.usage().collect())) == twice[1]
-    store.write_links(store.links().filter("url = 'https://old.org'"), 9, deleted=True)
-    store.refresh_usage(9)
-    assert store.links().count() == 2
+    newest = store.links().orderBy(F.desc("id")).first()
+    store.delete(spark.createDataFrame([(newest.id, newest.user_id), (newest.id, "nobody")], "id long, user_id string"), 9)
+    assert store.links().count() == 2 and store.highest_id() == newest.id
+    write_commands(inbox, "three", [command(8, "https://new.org", "a")])
+    save_micro_batch(requests_json(spark, inbox / "three.json"), 10, store, pages_of(spark), L.seed_lemmas(spark), model_of("[]"))
+    assert store.links().filter("url = 'https://new.org'").first().id > newest.id  # the deleted link's id is not given again
     assert sorted(map(str, store.usage().collect())) == sorted(map(str, TG.team_tag_usage(store.links()).collect()))
 
 

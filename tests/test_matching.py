@@ -105,8 +105,8 @@ def test_segment_join_finds_every_similar_pair(spark):
     a_lengths, b_lengths = M._lengths(a, F.length("a")), M._lengths(b, F.length("b"))
     a_pieces = S.piece_table(a, "a", b_lengths, S.segment_pieces)
     b_pieces = S.piece_table(b, "b", a_lengths, S.probe_pieces)
-    a = a.withColumn("p", a_pieces).select("a", F.explode(S.hashed_keys(F.col("a"), F.try_element_at("p", F.length("a")))).alias("k"))
-    b = b.withColumn("p", b_pieces).select("b", F.explode(S.hashed_keys(F.col("b"), F.try_element_at("p", F.length("b")))).alias("k"))
+    a = a.join(a_pieces, F.length("a") == F.col("n")).select("a", S.hashed_key(F.col("a")).alias("k"))
+    b = b.join(b_pieces, F.length("b") == F.col("n")).select("b", S.hashed_key(F.col("b")).alias("k"))
     pairs = a.join(b, "k").filter(
         S.maybe_similar(F.col("a"), F.col("b"), F.length("a"), F.length("b"), S.letter_mask(F.col("a")), S.letter_mask(F.col("b")))).select("a", "b").distinct()
     got = pairs.withColumn("s", S.similarity(F.col("a"), F.col("b"))).filter(S.similar_enough(F.col("s"))).collect()
