@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave import constants as C
-from linkweave.functions.html import raw_title
-from linkweave.functions.text import keywords
+from linkweave.functions.text import keywords, link_keywords
+from linkweave.sources.pages import extract_metadata
 
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
 
@@ -131,9 +131,12 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lemma_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Every keyword of the page titles and every tag, as (word)."""
-    in_pages = pages(spark, sf).select(F.explode(keywords(raw_title(F.col("html")))).alias("word"))
-    return in_pages.unionByName(tag_words(spark, sf)).distinct()
+    """Every keyword of the titles and descriptions of all pages and documents, and every tag, as (word)."""
+    texts = extract_metadata(pages_with_heads(spark, sf)).select("title", "description").unionByName(
+        links(spark, sf).select("title", "description")
+    )
+    found = texts.select(F.explode(link_keywords(F.col("title"), F.col("description"))).alias("word"))
+    return found.unionByName(tag_words(spark, sf)).distinct()
 
 
 def tag_words(spark: SparkSession, sf: str) -> DataFrame:

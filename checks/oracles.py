@@ -207,8 +207,11 @@ fetched_metadata as materialized (
 SEED_LEMMAS = "seed_lemmas(word, lemma) as (values " + ", ".join(
     f"({q(w)}, {q(l)})" for w, l in C.SEED_LEMMAS.items()
 ) + ")"
-SUFFIX_LEMMAS = f"""lemma_words as (
-  select distinct unnest(tags) as word from links union select unnest({kw(trim(TITLE))}) from pages),
+BOTH_TEXTS = kw("coalesce(title, '') || ' ' || coalesce(description, '')")
+SUFFIX_LEMMAS = f"""lemma_pages as ({HEADED.split(' as (', 1)[1]},
+lemma_words as (
+  select distinct unnest(tags) as word from links union select unnest({BOTH_TEXTS}) from links
+  union select unnest({BOTH_TEXTS}) from (select {PAGE_TITLE} as title, {PAGE_DESCRIPTION} as description from lemma_pages)),
 tag_words as (select distinct unnest(tags) as word from links),
 rules(ending, base) as (values {", ".join(f"({q(a)}, {q(b)})" for a, b in SUFFIX_RULES)}),
 suffix_lemmas as materialized (
@@ -428,7 +431,7 @@ full_requests as materialized (
 
 def created(usage: str = f"{LINKS}, {USAGE}") -> str:
     """The whole save job: check, extract, match, merge replies, resolve."""
-    return f"""{VALIDATED}, {PAGE_LINKS}, {usage}, {FETCHED_METADATA}, {SEED_LEMMAS},
+    return f"""{VALIDATED}, {PAGE_LINKS}, {usage}, {FETCHED_METADATA}, {LEMMAS},
 good as materialized (
   select seq, url, manual_tags, user_id, coalesce(nullif(team_id, ''), user_id) as team_id, channel_id, requested_at
   from checked where error is null),
@@ -438,7 +441,7 @@ described as materialized (
   select a.team_id || chr(31) || a.url as link_id, a.url, a.team_id, m.title, m.description, m.outcome, m.message
   from pairs_asked a join fetched_metadata m using (url)),
 targets as materialized (select * from described where outcome <> 'error'),
-{vocab("select distinct team_id from described")}, {matching("targets", "seed_lemmas")}, {BY_LINK},
+{vocab("select distinct team_id from described")}, {matching()}, {BY_LINK},
 replied as (select *, {I.first_reply('team_id')} as reply1, {I.second_reply()} as reply2 from based),
 asked as materialized (select *, {reply_tags('reply1')} as initial from replied),
 filtered as materialized (
@@ -503,8 +506,8 @@ oracle("suffix_lemmas", f"with {LINKS}, {SUFFIX_LEMMAS} select word, lemma from
 oracle("match_rules", f"with {MATCHED} select team_id, keyword, tag, boost::bigint as boost, case when boost = 0 then similarity end as similarity from pairs")
 oracle("match_pages", f"with {MATCHED} select link_id, match_rank, tag, score, {joined('match_types')} as match_types from best")
 oracle("match_report", f"with {MATCHED} select link_id, match_rank, tag, score, {joined('match_types')} as match_types from ranked")
-oracle("match_documents", f"""with {LINKS}, {USAGE}, {vocab()}, targets as (select id as link_id, team_id, title, description from links), {SEED_LEMMAS},
-{matching('targets', 'seed_lemmas')} select link_id, match_rank, tag, score, {joined('match_types')} as match_types from best""")
+oracle("match_documents", f"""with {LINKS}, {USAGE}, {vocab()}, targets as (select id as link_id, team_id, title, description from links), {LEMMAS},
+{matching()} select link_id, match_rank, tag, score, {joined('match_types')} as match_types from best""")
 
 CONTENT = trim("coalesce(title, '') || ' ' || coalesce(description, '')")
 oracle("tag_prompts", f"""with {PROMPTED} select link_id,
@@ -608,7 +611,7 @@ oracle("recent_of_one_user", f"with {LINKS} select id, url, {stamp('created_at')
 oracle("create_links_unchecked", f"""with {COMMANDS} select seq, url, '{C.CODE_VALIDATION}' as code,
   case when coalesce(url, '') = '' then '{C.MSG_URL_REQUIRED}' else '{C.MSG_URL_INVALID}' end as message
 from parsed where coalesce(url, '') = '' or not {valid_url('url')}""")
-STORED_USAGE = f"{SEEDS}, {USAGE.replace('from links', 'from stored')}"
+STORED_USAGE = f"{LINKS}, {USAGE.replace('from links', 'from stored')}"
 oracle("stream_create_links", f"with {created(STORED_USAGE)} select {SAVED_COLUMNS} from after")
 oracle("stream_tag_usage", ORACLES["team_tag_usage"])
 

@@ -210,7 +210,8 @@ def _vocabulary(spark, sf) -> DataFrame:
 
 
 def _lemmas(spark, sf) -> DataFrame:
-    return L.seed_lemmas(spark).unionByName(L.suffix_lemmas(I.lemma_words(spark, sf), I.tag_words(spark, sf)))
+    table = L.seed_lemmas(spark).unionByName(L.suffix_lemmas(I.lemma_words(spark, sf), I.tag_words(spark, sf)))
+    return written(table, "lemmas")
 
 
 @query
@@ -242,7 +243,7 @@ def match_report(spark, sf):
 def match_documents(spark, sf):
     """Whole documents against the vocabularies of their teams."""
     docs = I.links(spark, sf).select(F.col("id").alias("link_id"), "team_id", "title", "description")
-    return M.match_tags(docs, _vocabulary(spark, sf), L.seed_lemmas(spark))
+    return M.match_tags(docs, _vocabulary(spark, sf), _lemmas(spark, sf))
 
 
 # ---- generation ------------------------------------------------------------------------------
@@ -467,7 +468,7 @@ def _page_team_replies(spark, sf, requests: DataFrame) -> DataFrame:
 def _create(spark, sf, validate: bool = True, pages: DataFrame | None = None) -> P.CreateResult:
     requests = written(requests_from_commands(I.commands(spark, sf)), "requests")
     return P.create_links(
-        requests, written(I.page_links(spark, sf), "stored"), I.fetched_pages(spark, sf) if pages is None else pages, L.seed_lemmas(spark),
+        requests, written(I.page_links(spark, sf), "stored"), I.fetched_pages(spark, sf) if pages is None else pages, _lemmas(spark, sf),
         _page_team_replies(spark, sf, requests.withColumn("team_id", V.team_or_user(F.col("team_id"), F.col("user_id")))),
         usage=TG.team_tag_usage(I.links(spark, sf)), validate=validate,
     )
@@ -607,10 +608,11 @@ def stream_create_links(spark, sf):
     requests = requests_from_commands(I.commands(spark, sf))
     replies = written(_page_team_replies(spark, sf, requests.withColumn("team_id", V.team_or_user(F.col("team_id"), F.col("user_id")))), "replies")
     fetched = written(extract_metadata(I.fetched_pages(spark, sf)), "metadata")
+    lemmas = _lemmas(spark, sf)
 
     def each(batch: DataFrame, number: int) -> None:
         commands = I.commands_from_events(batch.withColumn("page_id", F.pmod("event_id", n)).join(all_pages, "page_id"))
-        SC.save_micro_batch(commands, number, store, fetched, L.seed_lemmas(spark), replies)
+        SC.save_micro_batch(commands, number, store, fetched, lemmas, replies)
 
     running = (
         events.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}-checkpoint")
