@@ -45,8 +45,9 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
 
 HEADS = {
     0: "''",
-    1: """concat('<meta name="description" content="D ', page_id, ' &amp; more">')""",
-    2: """concat('<meta property=\\'og:description\\' content=\\'O ', page_id, '\\'>')""",
+    1: """concat('<meta name="description" content="D ', page_id, ' &amp; more">"""
+    """<script type="application/ld+json">[{"keywords":"One, Two ,,page ', page_id, '"},{"tags":["x"]}]</script>')""",
+    2: """concat('<meta property=\\'og:description\\' content=\\'O ', page_id, '\\'><script type="application/ld+json">{"tags": ["broken"</script>')""",
     3: """concat('<meta name="twitter:description" content="T ', page_id, '">')""",
     4: """concat('<title></title><meta property="og:title" content="OG ', page_id, '">')""",
     5: "'<title> </title>'",
@@ -67,9 +68,9 @@ def pages_with_heads(spark: SparkSession, sf: str) -> DataFrame:
     return pages(spark, sf).withColumn("html", F.concat(F.expr(f"case {cases} end"), "html"))
 
 
-def fetched_pages(spark: SparkSession, sf: str) -> DataFrame:
+def fetched_pages(spark: SparkSession, sf: str, heads: bool = False) -> DataFrame:
     """Every page with a fetch result."""
-    return pages(spark, sf).selectExpr(
+    return (pages_with_heads if heads else pages)(spark, sf).selectExpr(
         "page_id", "url", "case when page_id % 11 = 3 then null else html end as html",
         "case when page_id % 5 = 0 then 404 when page_id % 5 = 1 then 301 else 200 end as status",
         "case when page_id % 3 = 0 then 'text/html; charset=utf-8' when page_id % 3 = 1 then 'text/html' "

@@ -84,8 +84,9 @@ vocab as materialized (
 ALL_TEAMS = "select distinct 'T' || user_id % 9 as team_id from events union select team_id from links"
 
 HEAD_CASES = {
-    1: """'<meta name="description" content="D ' || page_id || ' &amp; more">'""",
-    2: """'<meta property=''og:description'' content=''O ' || page_id || '''>'""",
+    1: """'<meta name="description" content="D ' || page_id || ' &amp; more">"""
+    """<script type="application/ld+json">[{"keywords":"One, Two ,,page ' || page_id || '"},{"tags":["x"]}]</script>'""",
+    2: """'<meta property=''og:description'' content=''O ' || page_id || '''><script type="application/ld+json">{"tags": ["broken"</script>'""",
     3: """'<meta name="twitter:description" content="T ' || page_id || '">'""",
     4: """'<title></title><meta property="og:title" content="OG ' || page_id || '">'""",
     5: "'<title> </title>'",
@@ -630,10 +631,22 @@ ARTICLE = (
     f"lambda t: lower({trim('t')})), lambda t: t <> '' and length(t) <= {C.MAX_PAGE_TAG_LENGTH})"
 )
 LD = f"regexp_extract_all(html, {re2(C.JSON_LD_PATTERN.format(ws=C.WS_CLASS))}, 1)"
-LD_TAGS = f"""list_transform(list_filter(flatten(list_transform({LD}, lambda b: list_concat(
-  list_transform(list_filter(coalesce(try_cast(json_extract(b, '$.keywords') as json[]), []), lambda j: json_type(j) = 'VARCHAR'), lambda j: j ->> '$'),
-  list_transform(list_filter(coalesce(try_cast(json_extract(b, '$.tags') as json[]), []), lambda j: json_type(j) = 'VARCHAR'), lambda j: j ->> '$'),
-  list_filter(list_transform(coalesce(try_cast(json_extract(b, '$.about') as json[]), []), lambda j: j ->> '$.name'), lambda t: t is not null)))),
+LD_ITEMS = f"""flatten(list_transform(list_filter({LD}, lambda b: json_valid(b)),
+  lambda b: case when json_type(b) = 'ARRAY' then try_cast(b::json as json[]) else [b::json] end))"""
+
+
+def json_texts(item: str, member: str) -> str:
+    return (
+        f"list_transform(list_filter(coalesce(try_cast(json_extract({item}, '$.{member}') as json[]), []), "
+        "lambda j: json_type(j) = 'VARCHAR'), lambda j: j ->> '$')"
+    )
+
+
+LD_TAGS = f"""list_transform(list_filter(flatten(list_transform({LD_ITEMS}, lambda i: list_concat(
+  case when json_type(i, '$.keywords') = 'VARCHAR' then list_transform(string_split(i ->> '$.keywords', ','), lambda t: {trim('t')})
+    else {json_texts('i', 'keywords')} end,
+  {json_texts('i', 'tags')},
+  list_filter(list_transform(coalesce(try_cast(json_extract(i, '$.about') as json[]), []), lambda j: j ->> '$.name'), lambda t: t is not null)))),
   lambda t: t <> '' and length(t) <= {C.MAX_PAGE_TAG_LENGTH}), lambda t: lower(t))"""
 TAXONOMY = (
     f"list_filter(list_transform(regexp_extract_all(html, {q(C.TAXONOMY_LINK_PATTERN)}, 1), lambda t: lower({trim('t')})), "
@@ -673,3 +686,28 @@ d as (select *, {strong('matches', C.HIGH_SCORE, 'present')} as s1 from c),
 e as (select *, {strong('page_scores', C.HIGH_PAGE_TAG_SCORE, 'list_concat(present, s1)')} as s2 from d),
 f as (select *, list_concat(s1, s2) as extra from e)
 select link_id, {joined(added('present', 'extra'))} as tags from f""")
+
+
+WITH_PAGE_TAGS = f"""{ALL_FOUND},
+page_scored as (
+  select link_id, list({{'tag': tag, 'score': score}} order by score desc, pos) as page_scores from (
+    select b.link_id, p.tag, p.pos, {page_score('p.tag', 'b.title', 'b.description')} as score
+    from based b join (select url, unnest({PAGE_TAGS}) as tag, generate_subscripts({PAGE_TAGS}, 1) as pos from found) p on p.url = b.url
+    where b.outcome = 'ok')
+  group by 1),
+merging as (select f.*, coalesce(page_scores, []) as page_scores from filtered f left join page_scored using (link_id)),
+merging1 as (select *, {strong('matches', C.HIGH_SCORE, 'kept')} as s1 from merging),
+merging2 as (select *, {strong('page_scores', C.HIGH_PAGE_TAG_SCORE, 'list_concat(kept, s1)')} as s2 from merging1),
+generated as materialized (
+  select *, case when kept is not null then {added('kept', 'list_concat(s1, s2)')} end as generated from merging2),
+ready as"""
+
+
+def created_with_page_tags() -> str:
+    """The save job over pages with heads, their own tags included."""
+    sql = created().replace(FETCHED, f"{HEADED}, {FETCHED.replace('from pages)', 'from headed)')}")
+    before, after = sql.split("generated as materialized (", 1)
+    return before + WITH_PAGE_TAGS + after.split("ready as", 1)[1]
+
+
+oracle("create_links_with_page_tags", f"with {created_with_page_tags()} select {SAVED_COLUMNS} from after")

@@ -465,12 +465,12 @@ def _page_team_replies(spark, sf, requests: DataFrame) -> DataFrame:
     return _stored_replies(keyed)
 
 
-def _create(spark, sf, validate: bool = True, pages: DataFrame | None = None) -> P.CreateResult:
+def _create(spark, sf, validate: bool = True, pages: DataFrame | None = None, **options) -> P.CreateResult:
     requests = written(requests_from_commands(I.commands(spark, sf)), "requests")
     return P.create_links(
         requests, written(I.page_links(spark, sf), "stored"), I.fetched_pages(spark, sf) if pages is None else pages, _lemmas(spark, sf),
         _page_team_replies(spark, sf, requests.withColumn("team_id", V.team_or_user(F.col("team_id"), F.col("user_id")))),
-        usage=TG.team_tag_usage(I.links(spark, sf)), validate=validate,
+        usage=TG.team_tag_usage(I.links(spark, sf)), validate=validate, **options,
     )
 
 
@@ -498,6 +498,12 @@ def create_links_repeated_pages(spark, sf):
     return _create(spark, sf, pages=earlier.unionByName(later)).links_after()
 
 
+@query
+def create_links_with_page_tags(spark, sf):
+    """The same over pages that declare tags themselves, which join the generated ones."""
+    return _create(spark, sf, pages=I.fetched_pages(spark, sf, heads=True), page_tags=True).links_after()
+
+
 @query
 def create_links_repeated_requests(spark, sf):
     """Requests by the owner of a link that the same batch created."""

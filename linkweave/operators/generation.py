@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.functions import tagging as G
+from linkweave.functions.webtags import include_existing_and_page_tags, scored_page_tags
 from linkweave.operators.matching import match_tags, matches_per_link
 from linkweave.session import written
 
@@ -71,7 +72,8 @@ def generate_tags(
 ) -> DataFrame:
     """(link_id, generated): null where the first reply is missing, empty or not JSON.
 
-    links: link_id, url, title, description, team_id.  Manual tags join in later (manual_first).
+    links: link_id, url, title, description, team_id, and page_tags if pages declare tags that are to be included.
+    Manual tags join in later (manual_first).
     """
     base = first_prompts(links, match_tags(links, candidates, lemmas))
     if not isinstance(model, DataFrame):
@@ -79,9 +81,11 @@ def generate_tags(
     replied = base.join(_replies(base, STAGE_TAGS, model), "link_id", "left")
     asked = replied.withColumn("initial", G.reply_tags(F.col("reply"))).drop("reply", "prompt", "content")
     second = _replies(second_prompts(asked), STAGE_SPECIFICITY, model)
-    return asked.join(second, "link_id", "left").select(
-        "link_id",
-        G.add_high_scorers(
-            G.filtered_tags(F.col("initial"), F.col("matched"), F.col("reply")), F.col("matches")
-        ).alias("generated"),
-    )
+    kept = G.filtered_tags(F.col("initial"), F.col("matched"), F.col("reply"))
+    if "page_tags" in links.columns:
+        none = F.array().cast("array<string>")
+        scored = scored_page_tags(F.coalesce("page_tags", none), F.col("title"), F.col("description"))
+        generated = F.when(F.col("kept").isNotNull(), include_existing_and_page_tags(F.col("kept"), F.col("matches"), scored))
+    else:
+        generated = G.add_high_scorers(F.col("kept"), F.col("matches"))
+    return asked.join(second, "link_id", "left").withColumn("kept", kept).select("link_id", generated.alias("generated"))

@@ -66,14 +66,16 @@ def latest_metadata(extracted: DataFrame) -> DataFrame:
     return extracted.groupBy("url").agg(best).select("url", *[F.col(f"best.{c}") for c in (*rest, "fetched_at")])
 
 
-def metadata_for_urls(urls: DataFrame, pages: DataFrame, extracted_at: dt.datetime | None = None) -> DataFrame:
+def metadata_for_urls(
+    urls: DataFrame, pages: DataFrame, extracted_at: dt.datetime | None = None, with_tags: bool = False
+) -> DataFrame:
     """Metadata of each URL; a URL without a page counts as one that could not be fetched.
 
     `pages` are fetched pages, or what extract_metadata made of them.  HTML never enters a shuffle: pages are extracted
     where they are read, and the narrow rows are joined.  Whoever asks many times keeps the extracted table.
     """
     urls = urls.select("url").distinct()
-    extracted = pages if "outcome" in pages.columns else extract_metadata(pages, extracted_at)
+    extracted = pages if "outcome" in pages.columns else extract_metadata(pages, extracted_at, with_tags)
     found = urls.join(latest_metadata(extracted.join(urls, "url", "left_semi")), "url", "left")
     missing = F.col("outcome").isNull()
     return (
