@@ -219,6 +219,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     where = ["doc_id", "text_hash"]
     segments = written(segments_of(docs), "substring-segments")
     several = segments.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("minimizer")
+    several = written(several, "substring-several")  # so that a hot minimizer's segments can be split in the join
     shared = written(segments.join(several, "minimizer"), "substring-shared")
     content = ["minimizer", "h1", "h2", "windows"]
     distinct = shared.groupBy(*content).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*where, "start")).alias("at"))
@@ -236,7 +237,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     shards = 1 + total // SHARD_WORDS
     wanted = distinct.join(groups.select("minimizer", (F.col("different") > GROUP_SEGMENTS).alias("large")), "minimizer")
     asked = wanted.groupBy(*where).agg(F.collect_list(F.struct("start", "windows", "minimizer", "times", "large")).alias("asked"))
-    texts = docs.withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"}).dropDuplicates(["own_id", "own_hash"])
+    texts = docs.withColumnsRenamed({"doc_id": "own_id", "text_hash": "own_hash"})  # equal rows: all their segments have times > 1
     texts = texts.join(asked, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")))
     texts = texts.select(*where, "text", "asked")
 
@@ -299,14 +300,16 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column(2)
+            ends, values = lists.offsets.to_numpy(), lists.values
+            begin, end = (values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
             out: list[tuple[int, int, str]] = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for row, text in enumerate(batch.column(1).to_pylist()):
                 words = words_of(text)
                 left = words
-                if found:
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edges, [x["begin"] for x in found], 1)
-                    np.add.at(edges, [x["end"] for x in found], -1)
+                part = slice(ends[row], ends[row + 1])
+                if part.start < part.stop:
+                    edges = np.bincount(begin[part], minlength=len(words) + 1) - np.bincount(end[part], minlength=len(words) + 1)
                     left = [words[i] for i in np.flatnonzero(edges[:-1].cumsum() == 0)]
                 out.append((len(words), len(words) - len(left), b" ".join(left).decode()))
             n_words, n_removed, kept = zip(*out, strict=True) if out else ((), (), ())
