@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from linkweave.llm.common import sampled
+from linkweave.llm.common import sampled, shipped
 from linkweave.session import written
 
 FIT_ROWS = 8_000
@@ -160,7 +160,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
 
     sample = sampled(classes.select("class", "vector"), "class", FIT_ROWS, "ann").select("vector").toPandas()  # bounded by FIT_ROWS
     trained = fit(np.stack(sample["vector"]).astype(np.float64), classes.count())
-    shared = spark.sparkContext.broadcast(trained)
+    shared = shipped(spark, trained)
 
     def parts_of(column: pd.Series, count: int) -> list[list[int]]:
         if trained_router() is None:
@@ -169,7 +169,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
         return np.argsort(-chances, axis=1, kind="stable")[:, :count].tolist()
 
     def trained_router() -> Router | None:
-        return shared.value["router"]
+        return shared()["router"]
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def homes(column: pd.Series) -> pd.Series:
@@ -177,7 +177,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_column: str = "ve
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def routes(column: pd.Series) -> pd.Series:
-        return pd.Series(parts_of(column, shared.value["visits"]))
+        return pd.Series(parts_of(column, shared()["visits"]))
 
     placed = written(classes.select("vector", "ids", F.col("class"), homes("vector")[0].alias("part")), "ann-index")
     blocks = placed.groupBy("part").agg((F.floor(F.count(F.lit(1)) / BLOCK_ROWS) + 1).alias("blocks"))  # one row a part: PARTS bounds them

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,19 @@ def sampled(rows: DataFrame, id_column: str, bound: int, salt: str) -> DataFrame
     return rows.where(point < int(share * SAMPLE_SCALE))
 
 
+def shipped(spark: SparkSession, thing: Any) -> Callable[[], Any]:
+    """A broadcast of something that holds this package's classes; tasks call the result and need no installed copy of them."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    held: list[Any] = []
+
+    def unpack() -> Any:
+        if not held:
+            held.append(pickle.loads(packed.value))
+        return held[0]
+
+    return unpack
+
+
 def chunks(texts: list[Any], max_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch whose texts together have about `max_chars` characters, one text at least."""
     start = size = 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.llm.common import chunks
+from linkweave.llm.common import chunks, shipped
 
 SHINGLE = 5
 OVERLAP = 0.8
@@ -164,14 +164,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text",
     found = rows.withColumn("leaks", F.lit([]).cast(T.ArrayType(LEAK)))
     for shard in range(shards):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard)
-        index = docs.sparkSession.sparkContext.broadcast(BlockMaxIndex([(x["item_id"], x["text"]) for x in part.collect()]))
+        index = shipped(docs.sparkSession, BlockMaxIndex([(x["item_id"], x["text"]) for x in part.collect()]))
 
         def ask(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = [text or "" for text in batch.column(at).to_pylist()]
                 before = batch.column(len(columns)).to_pylist()
                 for start, end in chunks(texts, 1_000_000):
-                    leaks = [[*x, *y] for x, y in zip(before[start:end], index.value.leaks(texts[start:end]), strict=True)]
+                    leaks = [[*x, *y] for x, y in zip(before[start:end], index().leaks(texts[start:end]), strict=True)]
                     part = batch.slice(start, end - start)
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(leaks, kind)], [*columns, "leaks"])
 

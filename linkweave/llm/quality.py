@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.llm.common import sampled
+from linkweave.llm.common import sampled, shipped
 from linkweave.session import written
 
 LABELLED_ROWS = 20_000  # labelled texts that the classifier is fitted on
@@ -119,13 +119,13 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 def with_evidence(docs: DataFrame, model: Evidence, text_column: str) -> DataFrame:
     """All columns and `evidence`, the classifier's chance that the text is good."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
     at = docs.columns.index(text_column)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = [features(text) for text in batch.column(at).to_pylist()]
-            chance = shared.value.chances(np.array(table)) if table else np.zeros(0)
+            chance = shared().chances(np.array(table)) if table else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance, pa.float64())], [*batch.schema.names, "evidence"])
 
     return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField("evidence", T.DoubleType())]))
