@@ -129,3 +129,13 @@ def test_suffix_lemmas(spark):
 
 def test_seed_lemmas_are_a_table(spark):
     assert L.seed_lemmas(spark).count() == len(C.SEED_LEMMAS)
+
+
+def test_very_long_words_and_hot_keywords(spark):
+    """Words without an end, and a keyword in most links that matches many tags."""
+    rnd = random.Random(12)
+    long_word = "".join(rnd.choices("abcdefgh", k=20_000)) + "docker" + "x" * 50
+    links = [(1, "T", long_word, ""), (2, "T", f"{long_word[:300]} react", "")]
+    links += [(i, "T", "react dockering", None) for i in range(10, 70)]
+    vocab = {"T": ["react", "docker", "typescript", long_word[:60]] + [f"react{i}" for i in range(30)]}
+    assert run(spark, links, vocab, max_keys=4, min_rows=10) == expected(links, vocab)
