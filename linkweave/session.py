@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -25,18 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._linkweave_dir
 
 
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """Open scratch scopes; each stream saves its batches in a thread of its own."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are dropped at the end; what is to stay must be saved before."""
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for name in _scopes.pop():
+        for name in _scopes.open.pop():
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
 
@@ -49,6 +57,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/linkweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
