@@ -143,7 +143,7 @@ def probe(entries: DataFrame, filters: DataFrame, load: DataFrame, shards: int)
     """
     parts = load.select("shard", (F.floor(F.col("entries") / SPLIT_ROWS) + 1).alias("parts"))
     held = filters.join(parts, "shard").select("shard", "table", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = entries.withColumn("shard", _shard(shards)).join(F.broadcast(parts) if shards <= 4096 else parts, "shard")
+    rows = entries.withColumn("shard", _shard(shards)).join(F.broadcast(parts), "shard")  # one small row for SHARD_KEYS keys
     rows = rows.select("doc_id", "key", "shard", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"))
 
     def known(lines: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
