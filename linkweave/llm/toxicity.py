@@ -14,21 +14,24 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.llm.common import held_out, sampled
+from linkweave.llm.common import held_out, sampled, shipped
 from linkweave.session import written
 
 LABELLED_ROWS = 20_000  # labelled texts that terms, examples and calibration are fitted on
-MAX_TERMS = 3_000
+ROUNDS, ROUND_TERMS = 5, 60  # terms of the model: their product at most
+SHINGLE = 3
 MIN_TEXTS = 5
 MIN_LIKELIHOOD_RATIO = 25.0
 BEGINNINGS = (4, 5, 6)
 REPEATS = (2, 3)
 NEIGHBOURS = 15
 BLOCK = 64
+FIRST_BLOCKS = 4  # scored first, for a bound on the others
 CALIBRATION_SHARE = 4  # every fourth labelled text calibrates, the others are examples
 REMEMBERED = 500_000
 WORDS = re.compile(r"[^\W\d_]+")
@@ -88,7 +91,7 @@ class BlockMaxIndex:
             numbers = np.array([n for n, _ in rows])
             weights = np.array([w for _, w in rows])
             blocks, starts = np.unique(numbers // BLOCK, return_index=True)
-            self.postings[term] = (numbers, weights, blocks, np.append(starts, len(numbers)), np.maximum.reduceat(weights, starts))
+            self.postings[term] = (numbers, weights, numbers // BLOCK, blocks, np.maximum.reduceat(weights, starts))
         self.blocks = -(-len(ids) // BLOCK)
 
     def vector(self, counted: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,32 +99,37 @@ class BlockMaxIndex:
         weights = (1 + np.log([counted[t] for t in terms])) * self.idf[terms] if len(terms) else np.zeros(0)
         return terms, weights / max(np.linalg.norm(weights), 1e-12)
 
+    def _scores(self, query: list[tuple], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the examples in the wanted blocks that share a term."""
+        numbers, parts = [], []
+        for w, posted, weights, block_of, _, _ in query:
+            hit = wanted[block_of]
+            numbers.append(posted[hit])
+            parts.append(w * weights[hit])
+        found, at = np.unique(np.concatenate(numbers), return_inverse=True)
+        return found, np.round(np.bincount(at, np.concatenate(parts), len(found)), 9)
+
     def nearest(self, counted: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples that share a term, nearest first; ties to the smaller id."""
+        """Numbers and cosines of the k nearest examples that share a term, nearest first; ties to the smaller id.
+
+        The blocks with the highest bounds give a first k-th cosine; then every block whose bound reaches it is scored.
+        """
         terms, weights = self.vector(counted)
         query = [(w, *self.postings[int(t)]) for t, w in zip(terms, weights, strict=True) if int(t) in self.postings]
+        if not query:
+            return np.zeros(0, np.int64), np.zeros(0)
         bound = np.zeros(self.blocks)
-        for w, _, _, blocks, _, maxima in query:
+        for w, _, _, _, blocks, maxima in query:
             bound[blocks] += w * maxima
-        numbers, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.lexsort((np.arange(self.blocks), -np.round(bound, 9))):
-            least = cosines[-1] if len(cosines) == k else 0.0
-            if bound[block] < least - 1e-9 or bound[block] <= 0:
-                break
-            if len(cosines) == k and bound[block] < least + 1e-9 and block * BLOCK > numbers[-1]:
-                continue  # could only tie, with larger ids
-            score = np.zeros(BLOCK)
-            for w, posted, posted_weights, blocks, starts, _ in query:
-                at = np.searchsorted(blocks, block)
-                if at < len(blocks) and blocks[at] == block:
-                    part = slice(starts[at], starts[at + 1])
-                    score[posted[part] - block * BLOCK] += w * posted_weights[part]
-            hit = np.flatnonzero(score > 0)
-            numbers = np.concatenate([numbers, hit + block * BLOCK])
-            cosines = np.concatenate([cosines, np.round(score[hit], 9)])
-            order = np.lexsort((numbers, -cosines))[:k]
-            numbers, cosines = numbers[order], cosines[order]
-        return numbers, cosines
+        wanted = np.zeros(self.blocks, bool)
+        wanted[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        numbers, cosines = self._scores(query, wanted)
+        least = np.sort(cosines)[-k] if len(cosines) >= k else 0.0
+        more = (bound >= least - 1e-8) & (bound > 0)
+        if (more & ~wanted).any():
+            numbers, cosines = self._scores(query, more | wanted)
+        order = np.lexsort((numbers, -cosines))[:k]
+        return numbers[order], cosines[order]
 
     def vote(self, counted: dict[int, int]) -> tuple[float, list[int], list[float]]:
         """Distance-weighted share of toxic neighbours, and the neighbours."""
@@ -144,15 +152,47 @@ def isotonic(values: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.array([s[2] for s in steps]), np.array([(s[0] + 0.5) / (s[1] + 1) for s in steps])
 
 
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """One row for each least shingle hash, that of the smallest id: copies and most near copies would pass off their own words as signs of a class."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = []
+            for text in batch.column(1).to_pylist():
+                words = (text or "").lower().encode().split()
+                shingles = (b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1)))
+                signs.append(min(map(xxhash.xxh3_64_intdigest, shingles)) >> 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.int64())], [*batch.schema.names, "sign"])
+
+    signed = sample.mapInArrow(sign, T.StructType([*sample.schema.fields, T.StructField("sign", T.LongType())]))
+    first = Window.partitionBy("sign").orderBy("doc_id", "text")
+    return signed.withColumn("place", F.row_number().over(first)).where(F.col("place") == 1).select(*sample.columns)
+
+
 def select_terms(sample: DataFrame) -> list[str]:
-    """Terms whose presence depends on the label, by likelihood ratio, from (text, toxic) rows."""
+    """Terms that toxic texts hold more often, by likelihood ratio, from (text, toxic) rows.
+
+    In rounds: each looks only at texts without a term of the rounds before, so that words which merely stand beside a
+    sign of the class are not taken for signs themselves.
+    """
+    chosen: list[str] = []
+    for _ in range(ROUNDS):
+        new = _strongest_terms(sample, chosen)
+        if not new:
+            break
+        chosen += new
+    return sorted(chosen)
+
 
+def _strongest_terms(sample: DataFrame, before: list[str]) -> list[str]:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = TermCounter(before)
         for batch in batches:
-            texts, labels = (batch.column(i).to_pylist() for i in range(2))
             held, toxic = Counter(), Counter()
-            for text, label in zip(texts, labels, strict=True):
-                found = list(repeated_terms(Counter(t for word in WORDS.findall((text or "").lower()) for t in terms_of(word))))
+            for text, label in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                if counter.count(text):
+                    continue
+                found = ["", *repeated_terms(Counter(t for word in WORDS.findall((text or "").lower()) for t in terms_of(word)))]
                 held.update(found)
                 if label:
                     toxic.update(found)
@@ -160,15 +200,17 @@ def select_terms(sample: DataFrame) -> list[str]:
                 [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64()), pa.array([toxic[t] for t in held], pa.int64())], ["term", "n", "toxic"]
             )
 
-    totals = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
-    share = (totals["toxic"] or 0) / max(1, totals["n"])
-    if not 0 < share < 1:
+    counts = sample.select("text", "toxic").mapInArrow(emit, "term string, n long, toxic long").groupBy("term")
+    counts = written(counts.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "toxicity-terms")
+    totals = counts.where("term = ''").first()  # stands for the texts themselves
+    if totals is None or not 0 < totals["toxic"] < totals["n"]:
         return []
-    counts = sample.select("text", "toxic").mapInArrow(emit, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    share = totals["toxic"] / totals["n"]
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     ratio = 2 * (part(F.col("toxic"), F.col("n") * share) + part(F.col("n") - F.col("toxic"), F.col("n") * (1 - share)))
-    chosen = counts.where(F.col("n") >= MIN_TEXTS).withColumn("ratio", ratio).where((F.col("ratio") >= MIN_LIKELIHOOD_RATIO) & (F.col("toxic") > 2 * share * F.col("n")))
-    return sorted(row["term"] for row in chosen.orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect())
+    strong = (F.col("term") != "") & (F.col("n") >= MIN_TEXTS) & (F.col("toxic") > 2 * share * F.col("n"))
+    found = counts.where(strong).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_LIKELIHOOD_RATIO)
+    return [row["term"] for row in found.orderBy(F.desc("ratio"), "term").limit(ROUND_TERMS).collect()]
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text_column: str) -> tuple[int, dict[int, int]]:
@@ -193,7 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     known = known.select(id_column, F.col(label_column).cast("int").alias("toxic")).dropDuplicates([id_column])
     known = sampled(known, id_column, LABELLED_ROWS, "toxicity")
     texts = docs.select(id_column, F.col(text_column).alias("text"))
-    sample = written(texts.join(F.broadcast(known), id_column).select(F.col(id_column).alias("doc_id"), "text", "toxic"), "toxicity-sample")
+    sample = texts.join(F.broadcast(known), id_column).select(F.col(id_column).alias("doc_id"), "text", "toxic")  # LABELLED_ROWS bounds it
+    sample = written(distinct_texts(sample), "toxicity-sample")
     terms = select_terms(sample)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +269,11 @@ def score(docs: DataFrame, trained: dict[str, Any], id_column: str = "doc_id", t
     Null and empty texts, and texts without a known term, have no neighbours; they get the toxic share of such labelled texts. Rows with equal
     or null ids are each scored. Without labels of both classes there are no terms, and every score is 0.5 or that share. Only the two columns are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trained)  # MAX_TERMS and LABELLED_ROWS bound it
+    shared = shipped(docs.sparkSession, trained)  # the bounds on terms and labelled rows bound it
     rows = docs.select(id_column, text_column)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         counter, (values, shares) = TermCounter(model["terms"]), model["steps"]
         known: dict[tuple, tuple] = {}
         for batch in batches:
