@@ -1,8 +1,10 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
+"""Toxicity by nearest labelled examples: exact cosine of whole TF-IDF vectors over a block-max inverted index, distance-weighted votes.
 
-Terms are words and word beginnings that labelled texts of the two classes hold unequally often; their document frequencies
-are counted over all texts. The index keeps each term's postings in blocks with their largest weight, so that a search scores only
-blocks that can still hold one of the nearest examples, and yet finds exactly these.
+Terms are all words that MIN_TEXTS labelled texts hold, whatever their number and class; document frequencies are counted over all
+texts. A term's weight is its inverse document frequency times one plus the likelihood ratio of its counts in the two classes, so
+that neighbours agree in signs of a class before they agree in their subject; no term is left out for it. The index keeps each
+term's postings in blocks with their largest weight, so that a search scores only blocks that can still hold one of the nearest
+examples, and yet finds exactly these.
 """
 
 from __future__ import annotations
@@ -23,10 +25,8 @@ from linkweave.llm.common import held_out, sampled, shipped
 from linkweave.session import written
 
 LABELLED_ROWS = 20_000  # labelled texts that terms, examples and calibration are fitted on
-ROUNDS, ROUND_TERMS = 5, 60  # terms of the model: their product at most
-SHINGLE = 3
 MIN_TEXTS = 5
-MIN_LIKELIHOOD_RATIO = 25.0
+SHINGLE = 3
 BEGINNINGS = (4, 5, 6)
 REPEATS = (2, 3)
 NEIGHBOURS = 15
@@ -34,6 +34,7 @@ BLOCK = 64
 FIRST_BLOCKS = 4  # scored first, for a bound on the others
 CALIBRATION_SHARE = 4  # every fourth labelled text calibrates, the others are examples
 REMEMBERED = 500_000
+SCORED = 20_000  # texts whose scores a task remembers for their copies
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -77,37 +78,43 @@ class TermCounter(dict):
         return {feature: count if least == 1 else 1 for t, count in held.items() for least, feature in self.features[t] if count >= least}
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
 class BlockMaxIndex:
     """Unit TF-IDF vectors of the examples, in the order of their ids."""
 
-    def __init__(self, ids: list[int], labels: list[int], counts: list[dict[int, int]], idf: np.ndarray):
+    def __init__(self, ids: list[int], labels: list[int], counts: Iterable[dict[int, int]], idf: np.ndarray):
         self.ids, self.labels, self.idf = np.array(ids, np.int64), np.array(labels, np.float64), idf
-        held: dict[int, list[tuple[int, float]]] = {}
-        for number, counted in enumerate(counts):
-            for term, weight in zip(*self.vector(counted), strict=True):
-                held.setdefault(int(term), []).append((number, weight))
-        self.postings = {}
-        for term, rows in held.items():
-            numbers = np.array([n for n, _ in rows])
-            weights = np.array([w for _, w in rows])
-            blocks, starts = np.unique(numbers // BLOCK, return_index=True)
-            self.postings[term] = (numbers, weights, numbers // BLOCK, blocks, np.maximum.reduceat(weights, starts))
+        vectors = [self.vector(counted) for counted in counts]
+        terms = np.concatenate([np.zeros(0, np.int64), *(t.astype(np.int32) for t, _ in vectors)]).astype(np.int64)
+        numbers = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        order = np.argsort(terms, kind="stable")
+        weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+        terms, self.numbers, self.weights = terms[order], numbers[order], weights
         self.blocks = -(-len(ids) // BLOCK)
+        # a segment holds a term's postings of one block
+        own = terms * max(1, self.blocks) + self.numbers // BLOCK
+        self.starts = np.flatnonzero(np.diff(own, prepend=-1))
+        self.lengths = np.diff(np.append(self.starts, len(own)))
+        self.block_of = (self.numbers[self.starts] // BLOCK).astype(np.int64)
+        self.maxima = np.maximum.reduceat(weights, self.starts) if len(own) else weights
+        self.first = np.searchsorted(terms[self.starts], np.arange(len(idf) + 1))  # segment of each term
 
     def vector(self, counted: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.fromiter(sorted(counted), np.int64, len(counted))
         weights = (1 + np.log([counted[t] for t in terms])) * self.idf[terms] if len(terms) else np.zeros(0)
         return terms, weights / max(np.linalg.norm(weights), 1e-12)
 
-    def _scores(self, query: list[tuple], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the examples in the wanted blocks that share a term."""
-        numbers, parts = [], []
-        for w, posted, weights, block_of, _, _ in query:
-            hit = wanted[block_of]
-            numbers.append(posted[hit])
-            parts.append(w * weights[hit])
-        found, at = np.unique(np.concatenate(numbers), return_inverse=True)
-        return found, np.round(np.bincount(at, np.concatenate(parts), len(found)), 9)
+    def _scores(self, segments: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the examples in the segments."""
+        lengths = self.lengths[segments]
+        at = ranges(self.starts[segments], lengths)
+        cosines = np.bincount(self.numbers[at], np.repeat(weights, lengths) * self.weights[at], len(self.ids))
+        found = np.flatnonzero(cosines)
+        return found, np.round(cosines[found], 9)
 
     def nearest(self, counted: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples that share a term, nearest first; ties to the smaller id.
@@ -115,19 +122,24 @@ class BlockMaxIndex:
         The blocks with the highest bounds give a first k-th cosine; then every block whose bound reaches it is scored.
         """
         terms, weights = self.vector(counted)
-        query = [(w, *self.postings[int(t)]) for t, w in zip(terms, weights, strict=True) if int(t) in self.postings]
-        if not query:
+        held = self.first[terms + 1] - self.first[terms]
+        segments, weights = ranges(self.first[terms], held), np.repeat(weights, held)
+        if not len(segments):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.zeros(self.blocks)
-        for w, _, _, _, blocks, maxima in query:
-            bound[blocks] += w * maxima
+        block_of = self.block_of[segments]
+        bound = np.bincount(block_of, weights * self.maxima[segments], self.blocks)
         wanted = np.zeros(self.blocks, bool)
         wanted[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        numbers, cosines = self._scores(query, wanted)
-        least = np.sort(cosines)[-k] if len(cosines) >= k else 0.0
+        hit = wanted[block_of]
+        numbers, cosines = self._scores(segments[hit], weights[hit])
+        least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
         more = (bound >= least - 1e-8) & (bound > 0)
         if (more & ~wanted).any():
-            numbers, cosines = self._scores(query, more | wanted)
+            hit = (more | wanted)[block_of]
+            numbers, cosines = self._scores(segments[hit], weights[hit])
+        if len(cosines) > k:
+            near = cosines >= np.partition(cosines, -k)[-k]
+            numbers, cosines = numbers[near], cosines[near]
         order = np.lexsort((numbers, -cosines))[:k]
         return numbers[order], cosines[order]
 
@@ -169,30 +181,14 @@ def distinct_texts(sample: DataFrame) -> DataFrame:
     return signed.withColumn("place", F.row_number().over(first)).where(F.col("place") == 1).select(*sample.columns)
 
 
-def select_terms(sample: DataFrame) -> list[str]:
-    """Terms that toxic texts hold more often, by likelihood ratio, from (text, toxic) rows.
-
-    In rounds: each looks only at texts without a term of the rounds before, so that words which merely stand beside a
-    sign of the class are not taken for signs themselves.
-    """
-    chosen: list[str] = []
-    for _ in range(ROUNDS):
-        new = _strongest_terms(sample, chosen)
-        if not new:
-            break
-        chosen += new
-    return sorted(chosen)
-
+def class_terms(sample: DataFrame) -> dict[str, float]:
+    """All words that MIN_TEXTS of the (text, toxic) rows hold, and the likelihood ratio of their counts in the two classes; none without both classes."""
 
-def _strongest_terms(sample: DataFrame, before: list[str]) -> list[str]:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(before)
         for batch in batches:
             held, toxic = Counter(), Counter()
             for text, label in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                if counter.count(text):
-                    continue
-                found = ["", *repeated_terms(Counter(t for word in WORDS.findall((text or "").lower()) for t in terms_of(word)))]
+                found = {"", *WORDS.findall((text or "").lower())}
                 held.update(found)
                 if label:
                     toxic.update(found)
@@ -204,13 +200,12 @@ def _strongest_terms(sample: DataFrame, before: list[str]) -> list[str]:
     counts = written(counts.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "toxicity-terms")
     totals = counts.where("term = ''").first()  # stands for the texts themselves
     if totals is None or not 0 < totals["toxic"] < totals["n"]:
-        return []
+        return {}
     share = totals["toxic"] / totals["n"]
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     ratio = 2 * (part(F.col("toxic"), F.col("n") * share) + part(F.col("n") - F.col("toxic"), F.col("n") * (1 - share)))
-    strong = (F.col("term") != "") & (F.col("n") >= MIN_TEXTS) & (F.col("toxic") > 2 * share * F.col("n"))
-    found = counts.where(strong).withColumn("ratio", ratio).where(F.col("ratio") >= MIN_LIKELIHOOD_RATIO)
-    return [row["term"] for row in found.orderBy(F.desc("ratio"), "term").limit(ROUND_TERMS).collect()]
+    found = counts.where((F.col("term") != "") & (F.col("n") >= MIN_TEXTS)).select("term", F.greatest(ratio, F.lit(0.0)).alias("ratio"))
+    return {row["term"]: row["ratio"] for row in found.orderBy("term").collect()}  # words of LABELLED_ROWS texts
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text_column: str) -> tuple[int, dict[int, int]]:
@@ -237,28 +232,29 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     texts = docs.select(id_column, F.col(text_column).alias("text"))
     sample = texts.join(F.broadcast(known), id_column).select(F.col(id_column).alias("doc_id"), "text", "toxic")  # LABELLED_ROWS bounds it
     sample = written(distinct_texts(sample), "toxicity-sample")
-    terms = select_terms(sample)
+    ratios = class_terms(sample)
+    terms = list(ratios)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter(terms)
         for batch in batches:
             counts = [counter.count(text) for text in batch.column(1).to_pylist()]
-            held = [pa.array([list(x) for x in counts], pa.list_(pa.int64())), pa.array([list(x.values()) for x in counts], pa.list_(pa.int64()))]
+            held = [pa.array([np.fromiter(part, np.int32, len(x)).tobytes() for x, part in zip(counts, parts, strict=True)], pa.binary()) for parts in (counts, [x.values() for x in counts])]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *held, batch.column(2)], ["doc_id", "terms", "times", "toxic"])
 
-    rows = sorted(sample.mapInArrow(vectors, "doc_id long, terms array<long>, times array<long>, toxic int").collect(), key=lambda r: (r["doc_id"], r["terms"]))
-    counts = [dict(zip(r["terms"], r["times"], strict=True)) for r in rows]
+    rows = sorted(sample.mapInArrow(vectors, "doc_id long, terms binary, times binary, toxic int").collect(), key=lambda r: (r["doc_id"], r["terms"]))
+    counts = lambda row: dict(zip(*(np.frombuffer(row[c], np.int32).tolist() for c in ("terms", "times")), strict=True))
     total, held = document_frequencies(docs, terms, text_column) if terms else (0, {})
-    idf = np.array([np.log((1 + total) / (1 + held.get(i, 0))) + 1 for i in range(len(terms))])
+    idf = np.array([(np.log((1 + total) / (1 + held.get(i, 0))) + 1) * (1 + ratios[term]) for i, term in enumerate(terms)])
     calibrates = [i % CALIBRATION_SHARE == 0 for i in range(len(rows))]
-    examples = [i for i, c in enumerate(counts) if c and not calibrates[i]]
-    index = BlockMaxIndex([rows[i]["doc_id"] for i in examples], [rows[i]["toxic"] for i in examples], [counts[i] for i in examples], idf)
+    examples = [row for row, used in zip(rows, calibrates, strict=True) if row["terms"] and not used]
+    index = BlockMaxIndex([r["doc_id"] for r in examples], [r["toxic"] for r in examples], map(counts, examples), idf)
     checked = [i for i, used in enumerate(calibrates) if used]
-    votes = np.array([index.vote(counts[i])[0] for i in checked])
+    votes = np.array([index.vote(counts(rows[i]))[0] for i in checked])
     toxic = np.array([rows[i]["toxic"] for i in checked], np.float64)
     voted = votes >= 0
-    all_toxic = np.array([r["toxic"] for i, r in enumerate(rows) if not counts[i]])
-    none = (all_toxic.sum() + 0.5) / (len(all_toxic) + 1) if len(all_toxic) else 0.5
+    without = [r["toxic"] for r in rows if not r["terms"]]
+    none = (sum(without) + (np.mean([r["toxic"] for r in rows]) if terms else 0.5)) / (len(without) + 1)
     steps = isotonic(votes[voted], toxic[voted]) if voted.any() else (np.array([1.0]), np.array([none]))
     return {"terms": terms, "index": index, "steps": steps, "none": float(none)}
 
@@ -266,25 +262,24 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 def score(docs: DataFrame, trained: dict[str, Any], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The id, `score`, `neighbours` and `cosines` (the evidence) of each whole text.
 
-    Null and empty texts, and texts without a known term, have no neighbours; they get the toxic share of such labelled texts. Rows with equal
+    Null and empty texts, and texts without a known term, have no neighbours; they get the toxic share of such labelled texts, counted together with one more of the share of all. Rows with equal
     or null ids are each scored. Without labels of both classes there are no terms, and every score is 0.5 or that share. Only the two columns are read.
     """
-    shared = shipped(docs.sparkSession, trained)  # the bounds on terms and labelled rows bound it
+    shared = shipped(docs.sparkSession, trained)  # the bound on labelled rows bounds it
     rows = docs.select(id_column, text_column)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
         counter, (values, shares) = TermCounter(model["terms"]), model["steps"]
-        known: dict[tuple, tuple] = {}
+        known: dict[bytes, tuple] = {}
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                counted = counter.count(text)
-                key = tuple(sorted(counted.items()))
+                key = xxhash.xxh3_128_digest(text or "")
                 if key not in known:
-                    vote, ids, cosines = model["index"].vote(counted)
+                    vote, ids, cosines = model["index"].vote(counter.count(text))
                     chance = model["none"] if vote < 0 else float(shares[min(np.searchsorted(values, vote), len(shares) - 1)])
-                    if len(known) >= 100_000:
+                    if len(known) >= SCORED:
                         known.clear()
                     known[key] = (chance, ids, cosines)
                 out.append(known[key])

@@ -75,3 +75,19 @@ def test_repeats_are_terms():
     counter = toxicity.TermCounter(["bad", "bad#2", "sad*", "good#3"])
     assert counter.count("bad Bad sadly good good") == {0: 2, 1: 1} and counter.count(None) == {}
     assert toxicity.TermCounter(["sadl*"]).count("sadly saddest sadl") == {0: 2}
+
+
+def test_every_frequent_word_is_a_term(spark):
+    """More signs of the class than any fixed number of terms holds; each stands in ten toxic texts only, beside plain words."""
+    chosen = random.Random(5)
+    letters = "abcdefghijklmnop"
+    signs = [f"vile{a}{b}{c}" for a in letters for b in letters for c in "xy"][:480]
+    plain = lambda n: [chosen.choice(["plain", "usual", "common", "normal"]) + chosen.choice(letters) for _ in range(n)]
+    texts = [" ".join(plain(12) + [signs[(i + k * 37) % 480] for k in range(10)]) for i in range(480)] + [" ".join(plain(18)) for _ in range(960)]
+    docs = spark.createDataFrame([(i, text, "en", "s", 0) for i, text in enumerate(texts)], DOCUMENTS)
+    labels = spark.createDataFrame([(i, 1, int(i < 480)) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    model = train(docs, labels)
+    held = {t for t in model["terms"] if t.startswith("vile") and not t.endswith("*")}
+    assert len(held) > 300 and any(t.startswith("plain") for t in model["terms"])
+    found = {r["doc_id"]: r["score"] for r in score(docs, model).collect()}
+    assert sum((found[i] >= 0.5) == (i < 480) for i in found if zlib.crc32(str(i).encode()) % 5 == 0) >= 270
