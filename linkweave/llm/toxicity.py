@@ -9,7 +9,9 @@ examples, and yet finds exactly these.
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import Any
@@ -26,7 +28,6 @@ from linkweave.session import written
 
 LABELLED_ROWS = 20_000  # labelled texts that terms, examples and calibration are fitted on
 MIN_TEXTS = 5
-SHINGLE = 3
 BEGINNINGS = (4, 5, 6)
 REPEATS = (2, 3)
 NEIGHBOURS = 15
@@ -86,22 +87,41 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Unit TF-IDF vectors of the examples, in the order of their ids."""
 
-    def __init__(self, ids: list[int], labels: list[int], counts: Iterable[dict[int, int]], idf: np.ndarray):
+    GIVEN = ("ids", "labels", "copies", "idf", "sizes", "terms", "times")
+
+    def __init__(self, ids: list[int], labels: list[int], counts: Iterable[dict[int, int]], idf: np.ndarray, copies: list[int] | None = None):
+        self.copies = np.ones(len(ids)) if copies is None else np.array(copies, np.float64)
         self.ids, self.labels, self.idf = np.array(ids, np.int64), np.array(labels, np.float64), idf
-        vectors = [self.vector(counted) for counted in counts]
-        terms = np.concatenate([np.zeros(0, np.int64), *(t.astype(np.int32) for t, _ in vectors)]).astype(np.int64)
-        numbers = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
-        order = np.argsort(terms, kind="stable")
-        weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
-        terms, self.numbers, self.weights = terms[order], numbers[order], weights
-        self.blocks = -(-len(ids) // BLOCK)
+        counts = list(counts)
+        self.sizes = np.array([len(counted) for counted in counts], np.int32)
+        self.terms = np.fromiter((t for counted in counts for t in counted), np.int32, self.sizes.sum())
+        self.times = np.fromiter((n for counted in counts for n in counted.values()), np.int32, self.sizes.sum())
+        self._build()
+
+    def __getstate__(self) -> bytes:
+        """Counts alone go to the tasks, which build the postings again: a tenth of the bytes."""
+        return zlib.compress(pickle.dumps([getattr(self, name) for name in self.GIVEN]), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        for name, value in zip(self.GIVEN, pickle.loads(zlib.decompress(state)), strict=True):
+            setattr(self, name, value)
+        self._build()
+
+    def _build(self) -> None:
+        numbers = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        weights = (1 + np.log(self.times)) * self.idf[self.terms] if len(self.terms) else np.zeros(0)
+        norms = np.sqrt(np.bincount(numbers, weights**2, len(self.sizes)))
+        order = np.argsort(self.terms, kind="stable")
+        terms, self.numbers = self.terms[order].astype(np.int64), numbers[order]
+        self.weights = weights = (weights / np.maximum(norms, 1e-12)[numbers])[order]
+        self.blocks = -(-len(self.sizes) // BLOCK)
         # a segment holds a term's postings of one block
         own = terms * max(1, self.blocks) + self.numbers // BLOCK
         self.starts = np.flatnonzero(np.diff(own, prepend=-1))
         self.lengths = np.diff(np.append(self.starts, len(own)))
         self.block_of = (self.numbers[self.starts] // BLOCK).astype(np.int64)
         self.maxima = np.maximum.reduceat(weights, self.starts) if len(own) else weights
-        self.first = np.searchsorted(terms[self.starts], np.arange(len(idf) + 1))  # segment of each term
+        self.first = np.searchsorted(terms[self.starts], np.arange(len(self.idf) + 1))  # segment of each term
 
     def vector(self, counted: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.fromiter(sorted(counted), np.int64, len(counted))
@@ -144,20 +164,21 @@ class BlockMaxIndex:
         return numbers[order], cosines[order]
 
     def vote(self, counted: dict[int, int]) -> tuple[float, list[int], list[float]]:
-        """Distance-weighted share of toxic neighbours, and the neighbours."""
+        """Share of toxic neighbours, weighted by distance and copies, and the neighbours."""
         numbers, cosines = self.nearest(counted, NEIGHBOURS)
         if not len(numbers):
             return -1.0, [], []
-        weights = 1 / (1.05 - cosines)
+        weights = self.copies[numbers] / (1.05 - cosines)
         return float(weights @ self.labels[numbers] / weights.sum()), self.ids[numbers].tolist(), cosines.tolist()
 
 
-def isotonic(values: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(values: np.ndarray, labels: np.ndarray, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A rising step function from votes to shares of toxic texts, smoothed by one toxic and one clean text half each."""
     order = np.argsort(values, kind="stable")
     steps: list[list[float]] = []
-    for value, label in zip(values[order], labels[order], strict=True):
-        steps.append([float(label), 1.0, value])
+    copies = np.ones(len(values)) if copies is None else copies
+    for value, label, times in zip(values[order], labels[order], copies[order], strict=True):
+        steps.append([float(label * times), float(times), value])
         while len(steps) > 1 and (steps[-2][2] == steps[-1][2] or steps[-2][0] * steps[-1][1] >= steps[-1][0] * steps[-2][1]):
             hits, size, top = steps.pop()
             steps[-1] = [steps[-1][0] + hits, steps[-1][1] + size, top]
@@ -165,20 +186,12 @@ def isotonic(values: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def distinct_texts(sample: DataFrame) -> DataFrame:
-    """One row for each least shingle hash, that of the smallest id: copies and most near copies would pass off their own words as signs of a class."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signs = []
-            for text in batch.column(1).to_pylist():
-                words = (text or "").lower().encode().split()
-                shingles = (b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1)))
-                signs.append(min(map(xxhash.xxh3_64_intdigest, shingles)) >> 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.int64())], [*batch.schema.names, "sign"])
-
-    signed = sample.mapInArrow(sign, T.StructType([*sample.schema.fields, T.StructField("sign", T.LongType())]))
-    first = Window.partitionBy("sign").orderBy("doc_id", "text")
-    return signed.withColumn("place", F.row_number().over(first)).where(F.col("place") == 1).select(*sample.columns)
+    """One row for each text and label, that of the smallest id, with the number of its `copies`; case and white space make no difference."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
+    signed = sample.withColumn("sign", F.sha2(F.encode(plain, "UTF-8"), 256))
+    same = Window.partitionBy("sign", "toxic")
+    placed = signed.withColumn("copies", F.count(F.lit(1)).over(same)).withColumn("place", F.row_number().over(same.orderBy("doc_id", "text")))
+    return placed.where("place = 1").select(*sample.columns, "copies")
 
 
 def class_terms(sample: DataFrame) -> dict[str, float]:
@@ -240,22 +253,25 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         for batch in batches:
             counts = [counter.count(text) for text in batch.column(1).to_pylist()]
             held = [pa.array([np.fromiter(part, np.int32, len(x)).tobytes() for x, part in zip(counts, parts, strict=True)], pa.binary()) for parts in (counts, [x.values() for x in counts])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *held, batch.column(2)], ["doc_id", "terms", "times", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *held, batch.column(2), batch.column(3)], ["doc_id", "terms", "times", "toxic", "copies"])
 
-    rows = sorted(sample.mapInArrow(vectors, "doc_id long, terms binary, times binary, toxic int").collect(), key=lambda r: (r["doc_id"], r["terms"]))
+    rows = sorted(sample.mapInArrow(vectors, "doc_id long, terms binary, times binary, toxic int, copies long").collect(), key=lambda r: (r["doc_id"], r["terms"], r["toxic"]))
     counts = lambda row: dict(zip(*(np.frombuffer(row[c], np.int32).tolist() for c in ("terms", "times")), strict=True))
     total, held = document_frequencies(docs, terms, text_column) if terms else (0, {})
     idf = np.array([(np.log((1 + total) / (1 + held.get(i, 0))) + 1) * (1 + ratios[term]) for i, term in enumerate(terms)])
     calibrates = [i % CALIBRATION_SHARE == 0 for i in range(len(rows))]
     examples = [row for row, used in zip(rows, calibrates, strict=True) if row["terms"] and not used]
-    index = BlockMaxIndex([r["doc_id"] for r in examples], [r["toxic"] for r in examples], map(counts, examples), idf)
+    index = BlockMaxIndex([r["doc_id"] for r in examples], [r["toxic"] for r in examples], map(counts, examples), idf, [r["copies"] for r in examples])
     checked = [i for i, used in enumerate(calibrates) if used]
     votes = np.array([index.vote(counts(rows[i]))[0] for i in checked])
     toxic = np.array([rows[i]["toxic"] for i in checked], np.float64)
+    copies = np.array([rows[i]["copies"] for i in checked], np.float64)
     voted = votes >= 0
-    without = [r["toxic"] for r in rows if not r["terms"]]
-    none = (sum(without) + (np.mean([r["toxic"] for r in rows]) if terms else 0.5)) / (len(without) + 1)
-    steps = isotonic(votes[voted], toxic[voted]) if voted.any() else (np.array([1.0]), np.array([none]))
+    without = [r for r in rows if not r["terms"]]
+    hits = lambda some: sum(r["toxic"] * r["copies"] for r in some)
+    size = lambda some: sum(r["copies"] for r in some)
+    none = (hits(without) + (hits(rows) / size(rows) if terms else 0.5)) / (size(without) + 1)
+    steps = isotonic(votes[voted], toxic[voted], copies[voted]) if voted.any() else (np.array([1.0]), np.array([none]))
     return {"terms": terms, "index": index, "steps": steps, "none": float(none)}
 
 
