@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.llm import ann, bpe, decontaminate, html_extract, language_id, line_dedup, quality, simhash, substring, toxicity
+from linkweave.llm import vector_codes, whitening
 from linkweave.llm.common import held_out, table
 
 
@@ -129,6 +130,59 @@ def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "evidence", "host_posterior", "path_posterior", "quality", "good")
 
 
+def vector_codes_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def _vector_codes_sql() -> str:
+    """K-means round by round as a chain of tables; lengths must be a multiple of the number of parts."""
+    n_parts, scale = vector_codes.PARTS, vector_codes.SCALE
+    far = "list_sum([(v[i] - c[i]) * (v[i] - c[i]) for i in range(1, len(v) + 1)])"
+    chain = [f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, [CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT) for c in embedding] AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), parts AS MATERIALIZED (
+  SELECT rid, p, x[p * (len(x) // {n_parts}) + 1:(p + 1) * (len(x) // {n_parts})] AS v FROM kept, range({n_parts}) t(p)
+), firsts AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e, min(rid) AS rid FROM kept GROUP BY vec_id ORDER BY vec_id LIMIT {vector_codes.ENTRIES}
+), books0 AS MATERIALIZED (SELECT p, e, v AS c FROM firsts JOIN parts USING (rid))"""]
+    for k in range(vector_codes.ROUNDS + 1):
+        chain.append(f"""near{k} AS MATERIALIZED (
+  SELECT rid, p, any_value(v) AS v, min({{'d': {far}, 'e': e}}) AS best FROM parts JOIN books{k} USING (p) GROUP BY rid, p
+)""")
+        if k < vector_codes.ROUNDS:
+            chain.append(f"""sums{k} AS (
+  SELECT p, e, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT p, best.e AS e, v, unnest(range(1, len(v) + 1)) AS i FROM near{k}) GROUP BY p, e, i
+), means{k} AS (
+  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM sums{k} GROUP BY p, e
+), books{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m, c) AS c FROM books{k} LEFT JOIN means{k} USING (p, e))""")
+    last = f"near{vector_codes.ROUNDS}"
+    chain.append(f"""coded AS MATERIALIZED (
+  SELECT rid, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM {last} GROUP BY rid
+), labelled AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM kept JOIN coded USING (rid) GROUP BY label
+), digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM books{vector_codes.ROUNDS})
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM kept JOIN coded USING (rid) JOIN labelled l ON l.label IS NOT DISTINCT FROM kept.label, digest""")
+    return ",\n".join(chain)
+
+
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`deviation` is null where it leaves 64 bits; the operator itself gives it with 38 digits."""
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    shares = F.array(*[F.lit(v) for v in (model.explained if model else [])]).cast("array<double>")
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("_k", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("_k") + 1).cast("int").alias("component"),
+        F.lit(model.n if model else None).cast("long").alias("n"),
+        F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened",
+        F.get(shares, F.col("_k")).alias("explained"),
+        F.lit(model.identity_error if model else None).cast("double").alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_of_documents,
     "op2_toxicity": toxic_documents,
@@ -140,8 +194,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": document_quality,
     "op9_substring_dedup": substring_kept,
     "op10_bpe_codec": bpe_codec,
+    "op11_vector_codes": vector_codes_of_embeddings,
+    "op13_whitening": whitened_embeddings,
 }
 ORACLES: dict[str, str] = {
     "op5_line_dedup": LINE_DEDUP_SQL,
     "op9_substring_dedup": SUBSTRING_SQL,
+    "op11_vector_codes": _vector_codes_sql(),
 }
