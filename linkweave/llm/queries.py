@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.llm import ann, bpe, decontaminate, html_extract, language_id, line_dedup, quality, simhash, substring, toxicity
-from linkweave.llm import vector_codes, whitening
+from linkweave.llm import secret_scan, vector_codes, whitening
 from linkweave.llm.common import held_out, table
 
 
@@ -167,6 +167,80 @@ FROM kept JOIN coded USING (rid) JOIN labelled l ON l.label IS NOT DISTINCT FROM
     return ",\n".join(chain)
 
 
+def secrets_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
+    place = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("secrets", lambda s: s["kind"] != "markov")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), count("markov"),
+        F.sha2(F.encode(F.array_join(F.transform(base, place), ","), "UTF-8"), 256).alias("base_sha256"),
+        F.array_join(F.transform("secrets", place), ",").alias("spans"),
+    )
+
+
+def _secrets_sql() -> str:
+    """Places as running sums over pieces and matches; the models as tables of transitions."""
+    q = lambda text: "'" + text.replace("'", "''") + "'"
+    s = secret_scan
+    assign, run, mask = q(s.ASSIGN), q(f"{s.RUN}{{{s.SCORED_CHARS},}}"), "chr(1)"
+    kept = f"length(m) > 0 AND length(regexp_extract(m, {assign}, 2)) >= {s.ASSIGN_CHARS}"
+
+    def placed(name: str, text: str, pattern: str) -> str:
+        return f"""{name} AS MATERIALIZED (
+  SELECT rid, m, CAST(sum(length(before) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) AS stop FROM (
+    SELECT rid, unnest(list_append(regexp_extract_all({text}, {pattern}), '')) AS m, unnest(string_split_regex({text}, {pattern})) AS before,
+      unnest(range(len(string_split_regex({text}, {pattern})))) AS i FROM docs WHERE regexp_matches({text}, {pattern})))"""
+
+    hidden = f"CASE WHEN {kept} THEN repeat({mask}, length(m)) ELSE m END"
+    return f"""WITH plain AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), hidden AS (
+  SELECT rid, string_agg(before || {hidden}, '' ORDER BY i) AS masked FROM (
+    SELECT rid, unnest(list_append(regexp_extract_all(text, {assign}), '')) AS m, unnest(string_split_regex(text, {assign})) AS before,
+      unnest(range(len(string_split_regex(text, {assign})))) AS i FROM plain WHERE regexp_matches(text, {assign})) GROUP BY rid
+), docs AS MATERIALIZED (SELECT rid, doc_id, text, coalesce(masked, text) AS masked FROM plain LEFT JOIN hidden USING (rid)
+), {placed('given', 'text', assign)}, {placed('keys', 'text', q(s.ACCESS))}, {placed('digits', 'text', q(s.HEX))}, {placed('runs', 'masked', run)},
+samples AS MATERIALIZED (
+  SELECT DISTINCT value, random FROM (
+    SELECT regexp_extract(m, {assign}, 2) AS value, true AS random FROM given WHERE {kept}
+    UNION ALL SELECT m, true FROM keys WHERE m <> '' UNION ALL SELECT m, true FROM digits WHERE m <> '')
+  WHERE regexp_matches(value, '[0-9]')
+  UNION ALL
+  SELECT DISTINCT value, false FROM (SELECT unnest(regexp_extract_all(masked, {q(f"{s.RUN}{{{s.ORDINARY_CHARS},}}")})) AS value FROM docs)
+  WHERE length(value) < {s.SCORED_CHARS} AND NOT contains(value, {mask})
+), steps AS (
+  SELECT random, w[i] AS a, w[i + 1] AS b FROM (
+    SELECT random, '{s.START}' || value AS w, unnest(range(1, length(value) + 1)) AS i FROM samples)
+), counts AS MATERIALIZED (
+  SELECT a, b, count(*) FILTER (WHERE random) AS r, count(*) FILTER (WHERE NOT random) AS o FROM steps GROUP BY a, b
+), totals AS MATERIALIZED (SELECT a, sum(r) AS r, sum(o) AS o FROM counts GROUP BY a
+), limits AS (
+  SELECT CAST(round({s.MILLI} * ln((coalesce(sum(o), 0) + 1) / (coalesce(sum(r), 0) + 1) * {s.ODDS})) AS BIGINT) AS least FROM totals WHERE a = '{s.START}'
+), wanted AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, rid, m, stop FROM runs
+  WHERE m <> '' AND NOT contains(m, {mask}) AND regexp_matches(m, '{s.LETTER}') AND NOT regexp_matches(m, {q(f"{s.HEX}|{s.ACCESS}")})
+), scores AS (
+  SELECT k, sum(CAST(round({s.MILLI} * ln(
+    ((coalesce(c.r, 0) + 1) / (coalesce(t.r, 0) + {s.ALPHABET})) / ((coalesce(c.o, 0) + 1) / (coalesce(t.o, 0) + {s.ALPHABET})))) AS BIGINT)) AS score
+  FROM (SELECT k, w[i] AS a, w[i + 1] AS b FROM (SELECT k, '{s.START}' || m AS w, unnest(range(1, length(m) + 1)) AS i FROM wanted)) x
+  LEFT JOIN counts c USING (a, b) LEFT JOIN totals t USING (a) GROUP BY k
+), spans AS (
+  SELECT rid, 'assign' AS kind, 0 AS rank, stop - length(m) AS start, stop FROM given WHERE {kept}
+  UNION ALL SELECT rid, 'access', 1, stop - length(m), stop FROM keys WHERE m <> ''
+  UNION ALL SELECT rid, 'hex', 2, stop - length(m), stop FROM digits WHERE m <> ''
+  UNION ALL SELECT rid, 'markov', 3, stop - length(m), stop FROM wanted JOIN scores USING (k), limits WHERE score > least
+), joined AS (
+  SELECT rid, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access,
+    count(*) FILTER (WHERE rank = 2) AS n_hex, count(*) FILTER (WHERE rank = 3) AS n_markov,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  coalesce(n_markov, 0) AS n_markov, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN joined USING (rid)"""
+
+
 def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`deviation` is null where it leaves 64 bits; the operator itself gives it with 38 digits."""
     rows, model = whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -195,10 +269,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": substring_kept,
     "op10_bpe_codec": bpe_codec,
     "op11_vector_codes": vector_codes_of_embeddings,
+    "op12_secret_scan": secrets_of_documents,
     "op13_whitening": whitened_embeddings,
 }
 ORACLES: dict[str, str] = {
     "op5_line_dedup": LINE_DEDUP_SQL,
     "op9_substring_dedup": SUBSTRING_SQL,
     "op11_vector_codes": _vector_codes_sql(),
+    "op12_secret_scan": _secrets_sql(),
 }
