@@ -584,10 +584,13 @@ oracle("usage_after_save", f"""with {CONTENT_REQUESTS}, {PAGE_LINKS}, {resolved(
 select team_id, tag as tag_name, count(*) as usage_count, {stamp('max(updated_at)')} as last_used
 from (select team_id, updated_at, unnest(tags) as tag from after) group by 1, 2""")
 oracle("create_links", f"with {created()} select {SAVED_COLUMNS} from after")
-oracle("create_links_rejected", f"""with {created()} select seq, url, '{C.CODE_VALIDATION}' as code, split_part(error, ': ', 2) as message, 400::bigint as status
-from checked where error is not null union all
-select g.seq, g.url, '{C.CODE_EXTERNAL}', coalesce(d.message, '{C.MSG_TAGS_FAILED}'), 502::bigint
-from new_good g join described d on d.url = g.url and d.team_id = g.team_id left join generated t on t.link_id = d.link_id where t.generated is null""")
+oracle("create_links_rejected", f"""with {created()} select c.seq, c.url,
+  case when c.error is not null then '{C.CODE_VALIDATION}' else '{C.CODE_EXTERNAL}' end as code,
+  case when c.error is not null then split_part(c.error, ': ', 2) else coalesce(d.message, '{C.MSG_TAGS_FAILED}') end as message,
+  case when c.error is not null then 400 else 502 end::bigint as status
+from checked c left join new_good g on g.seq = c.seq left join described d on d.url = g.url and d.team_id = g.team_id
+left join generated t on t.link_id = d.link_id
+where c.error is not null or (d.link_id is not null and t.generated is null)""")
 oracle("create_links_usage", f"""with {created()} select team_id, tag as tag_name, count(*) as usage_count, {stamp('max(updated_at)')} as last_used
 from (select team_id, updated_at, unnest(tags) as tag from after) group by 1, 2""")
 oracle("create_links_repeated_pages", ORACLES["create_links"])
