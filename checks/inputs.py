@@ -159,3 +159,9 @@ def first_reply(title: str = "title", url: str = "url") -> str:
 def second_reply(url: str = "url") -> str:
     return f"""case length({url}) % 5 when 0 then '[]' when 1 then 'keep ["alpha", 7, "Kept"] please'
       when 2 then '["broken' when 3 then '["x"] ["y"]' else '["beta"]' end"""
+
+
+# What the searches over indexes ask for.
+TEXT_QUERIES = ["the thing", '"of the" in', 'renamed los', '"in the" "to the"', "Renamed 12", "que la", '"er die"', "on", ""]
+SUBSTRINGS = ["tion_s", "nd the%on", "RENAMED 1", "x", '\\t%", "', "0.example.org/en", "heit%\\%", "qu_ l"]
+RELEVANCE_QUERY = "the thing on der renamed que"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from checks import inputs as I
 from linkweave import constants as C
 from linkweave.operators.lemmas import SUFFIX_RULES
+from linkweave.operators.text_search import B, K1, SCORE_DECIMALS, parse_query
 
 ORACLES: dict[str, str] = {}
 
@@ -714,3 +715,43 @@ def created_with_page_tags() -> str:
 
 
 oracle("create_links_with_page_tags", f"with {created_with_page_tags()} select {SAVED_COLUMNS} from after")
+
+
+# ---- indexes ---------------------------------------------------------------------------------
+
+EDITED = f"""{LINKS},
+edited as materialized (
+  select id, url, case when exists (select 1 from events e where e.event_id = l.id and event_type = 'purchase')
+    then 'Renamed ' || id || ' ' || title else title end as title, description, tags, user_id
+  from links l where not exists (select 1 from events e where e.event_id = l.id and event_type = 'signup'))"""
+WORDS = """words as materialized (
+  select id, user_id, unnest(ws) as term, generate_subscripts(ws, 1) as pos, len(ws) as size from (
+    select id, user_id, regexp_extract_all(lower(title || ' ' || coalesce(description, '')), '[\\p{L}\\p{N}]+') as ws from edited))"""
+
+
+def found_words(query: str) -> str:
+    """Links that hold each phrase of a query at some place."""
+    held = []
+    for group in parse_query(query):
+        tables = ", ".join(f"words w{i}" for i in range(len(group)))
+        chain = " and ".join([f"w{i}.term = {q(w)}" for i, w in enumerate(group)] + [f"w{i}.id = w0.id and w{i}.pos = w0.pos + {i}" for i in range(1, len(group))])
+        held.append(f"select w0.id from {tables} where {chain}")
+    where = " and ".join(f"id in ({h})" for h in held) or "false"
+    return f"select {q(query)} as query, id, user_id from edited where {where}"
+
+
+oracle("full_text_search", f"with {EDITED}, {WORDS} " + " union all ".join(found_words(text) for text in I.TEXT_QUERIES))
+
+
+oracle("substring_search", f"with {EDITED} " + " union all ".join(
+    f"select {q(text)} as query, id, user_id from edited where {text_match(text)}" for text in I.SUBSTRINGS))
+oracle("relevance_search", f"""with {EDITED}, {WORDS},
+sizes as (select count(*) as n, (select count(*) from words) / count(*) as average from edited),
+tf as (select user_id, id, term, count(*) as n, any_value(size) as size from words
+  where term in ({', '.join(q(w) for g in parse_query(I.RELEVANCE_QUERY) for w in g)}) group by all),
+df as (select term, count(*) as df from tf group by 1),
+scores as (
+  select user_id, id, round(sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf.n * {K1 + 1} / (tf.n + {K1} * ({1 - B} + {B} * size / average))), {SCORE_DECIMALS}) as score
+  from tf join df using (term), sizes s group by 1, 2),
+ranked as (select *, row_number() over (partition by user_id order by score desc, id) as rank from scores)
+select user_id, rank, id, score from ranked where rank <= 5""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from linkweave.operators import matching as M
 from linkweave.operators import search as S
 from linkweave.operators import store as ST
 from linkweave.operators import tags as TG
+from linkweave.operators import text_search as TS
 from linkweave.plans import create as P
 from linkweave.plans import lookup as LK
 from linkweave.session import shared_dir, written
@@ -29,6 +32,7 @@ from linkweave.sources import links as LS
 from linkweave.sources import vocabulary as VO
 from linkweave.sources.links import LinkStore
 from linkweave.sources.pages import extract_metadata
+from linkweave.sources.text_index import TextIndex
 from linkweave.streaming import create as SC
 
 QUERIES: dict = {}
@@ -681,3 +685,46 @@ def include_page_tags(spark, sf):
     return _prompted(spark, sf).join(tags, "url").select(
         "link_id", WT.include_existing_and_page_tags(present, F.col("matches"), scored).alias("tags")
     )
+
+
+# ---- indexes ---------------------------------------------------------------------------------
+
+def _edits(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all links; a batch of renamed links, those whose id is that of a purchase; ids to delete, those of sign-ups)."""
+    links = I.links(spark, sf)
+    events = I.table(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type")
+    renamed = links.join(events.where("event_type = 'purchase'").select("id"), "id", "left_semi")
+    renamed = renamed.withColumn("title", F.concat(F.lit("Renamed "), F.col("id").cast("string"), F.lit(" "), F.col("title")))
+    return links, renamed.select(*links.columns), events.where("event_type = 'signup'").select("id")
+
+
+def _indexed(spark, sf, **kinds: bool) -> tuple[TextIndex, DataFrame]:
+    """An index of all links after a batch of changes and deletions, and the links as they then are."""
+    links, renamed, gone = _edits(spark, sf)
+    index = TextIndex(spark, written(spark.range(1), "index").inputFiles()[0].rsplit("/", 1)[0] + "-text", **kinds)
+    index.create(links)
+    index.update(renamed, 0, gone)
+    kept = links.join(renamed.select("id"), "id", "left_anti").unionByName(renamed)
+    return index, kept.join(gone, "id", "left_anti")
+
+
+@query
+def full_text_search(spark, sf):
+    """Words and phrases over a positional index that a batch has changed."""
+    index, _ = _indexed(spark, sf, grams=False)
+    return TS.search_words(index, I.TEXT_QUERIES)
+
+
+@query
+def substring_search(spark, sf):
+    """Text searches over substring postings, short ones by the scan they fall back to."""
+    index, links = _indexed(spark, sf, words=False)
+    found = [TS.search_substring(index, links, text).select(F.lit(text).alias("query"), "id", "user_id") for text in I.SUBSTRINGS]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def relevance_search(spark, sf):
+    """Each user's five most relevant links."""
+    index, _ = _indexed(spark, sf, grams=False)
+    return TS.rank_words(index, I.RELEVANCE_QUERY, 5)

@@ -1,0 +1,22 @@
+"""Array rules as column expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from linkweave.functions.text import bind
+
+
+def running_totals(numbers: Column) -> Column:
+    """Sums of the first 1, 2, ... items of an array<bigint>, in time n log n: each round adds the total that lies twice as far back."""
+
+    def added(back: int) -> Callable[[Column], Column]:
+        further = lambda a: F.transform(a, lambda x, i: x + F.coalesce(F.get(a, i - back), F.lit(0).cast("long")))
+        return lambda a: F.when(F.size(a) > back, further(a)).otherwise(a)
+
+    for k in range(31):
+        numbers = bind(numbers, added(1 << k))
+    return numbers
