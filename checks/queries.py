@@ -712,7 +712,7 @@ def _indexed(spark, sf, **kinds: bool) -> tuple[TextIndex, DataFrame]:
 def full_text_search(spark, sf):
     """Words and phrases over a positional index that a batch has changed."""
     index, _ = _indexed(spark, sf, grams=False)
-    return TS.search_words(index, I.TEXT_QUERIES)
+    return TS.search_words(index, I.TEXT_QUERIES).join(index.versions().select("id", "user_id"), "id")
 
 
 @query

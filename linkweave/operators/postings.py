@@ -17,17 +17,55 @@ WORD = re.compile(r"[^\W_]+")
 GRAM = 3
 #: Links whose ids agree but for so many bits share a block; a word's postings in a block have bounds of their own.
 BLOCK_BITS = 12
-#: A task handles so many links, or characters, at a time.
+#: A task handles so many links, and for words and for substrings so many characters, at a time.
 CHUNK_LINKS = 4096
-CHUNK_CHARS = 2_000_000
+WORD_CHARS, GRAM_CHARS = 8_000_000, 3_000_000
 #: The places that a text search looks at.
 FIELDS = ("title", "description", "url", "tags")
 
-WORD_SCHEMA = (
-    "term string, user_id string, block long, ids array<long>, counts array<int>, lengths array<int>, positions array<int>, "
-    "most int, shortest int"
-)
-GRAM_SCHEMA = "gram string, ids array<long>, fields array<int>"
+WORD_SCHEMA = "term string, block long, links binary, places binary, most int, shortest int"
+GRAM_SCHEMA = "gram string, first long, links binary"
+
+
+def varints(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Whole numbers from 0 as bytes of seven bits, low ones first, the last byte of a number below 128; one item per start."""
+    values = np.asarray(values, np.int64)
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 9):
+        size += values >= 1 << 7 * k
+    ends = np.cumsum(size)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    for k in range(int(size.max(initial=0))):
+        some = size > k
+        out[(ends - size)[some] + k] = (values[some] >> 7 * k & 127) | np.where(size[some] > k + 1, 128, 0)
+    offsets = np.append((ends - size)[starts], len(out)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all items one after the other, and how many each item has."""
+    blobs = column.to_pylist()
+    data = np.frombuffer(b"".join(blobs), np.uint8).astype(np.int64)
+    ends = np.flatnonzero(data < 128)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    place = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)
+    values = np.add.reduceat((data & 127) << 7 * place, starts) if len(ends) else np.zeros(0, np.int64)
+    upto = np.searchsorted(ends, np.cumsum([len(b) for b in blobs]))
+    return values, np.diff(np.append(0, upto))
+
+
+def differences(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each number less the one before; the first of a group as it is."""
+    out = np.diff(values, prepend=0)
+    out[starts] = values[starts]
+    return out
+
+
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums inside groups of the given sizes."""
+    total = np.cumsum(values)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    return total - np.repeat((total - values)[starts], sizes[sizes > 0])
 
 
 def words(text: str) -> list[str]:
@@ -35,7 +73,7 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+def _chunks(batches: Iterator[pa.RecordBatch], texts: int, most: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
     """Parts of batches with their ids in order, of limited size; `texts` is the number of text columns after id."""
     for batch in batches:
         ids = np.asarray(batch.column(0), np.int64)
@@ -47,54 +85,43 @@ def _chunks(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[tuple[np.
         start = 0
         while start < len(ids):
             before = total[start - 1] if start else 0
-            end = int(np.searchsorted(total, before + CHUNK_CHARS, side="right"))
+            end = int(np.searchsorted(total, before + most, side="right"))
             end = min(max(end, start + 1), start + CHUNK_LINKS, len(ids))
             yield ids[order[start:end]], batch.take(pa.array(order[start:end]))
             start = end
 
 
-def _lists(starts: np.ndarray, n: int, values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, n), pa.int32()), pa.array(values, kind))
-
-
-def _word_rows(ids: np.ndarray, chunk: pa.RecordBatch) -> pa.RecordBatch | None:
+def _word_rows(ids: np.ndarray, texts: list[str]) -> pa.RecordBatch | None:
     vocabulary: dict[str, int] = {}
-    users: dict[str | None, int] = {}
-    user = np.array([users.setdefault(u, len(users)) for u in chunk.column(2).to_pylist()], np.int64)
-    coded = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(t)), np.int64) for t in chunk.column(1).to_pylist()]
+    coded = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(t)), np.int64) for t in texts]
     length = np.array([len(c) for c in coded], np.int64)
     if not vocabulary:
         return None
     code = np.concatenate(coded)
     doc = np.repeat(np.arange(len(ids)), length)
     place = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length) + 1
-    block = ids >> BLOCK_BITS
-    blocks, block_code = np.unique(block, return_inverse=True)
-    key = (code * len(users) + user[doc]) * len(blocks) + block_code[doc]
+    blocks, block_of = np.unique(ids >> BLOCK_BITS, return_inverse=True)
+    key = code * len(blocks) + block_of[doc]
     order = np.argsort(key, kind="stable")  # inside a key links and places stay in order
     key, doc, place = key[order], doc[order], place[order]
     new_row = np.r_[True, key[1:] != key[:-1]]
-    new_posting = new_row | np.r_[True, doc[1:] != doc[:-1]]
-    rows, postings = np.flatnonzero(new_row), np.flatnonzero(new_posting)
+    rows, postings = np.flatnonzero(new_row), np.flatnonzero(new_row | np.r_[True, doc[1:] != doc[:-1]])
     counts = np.diff(np.append(postings, len(doc)))
     owner = doc[postings]
     first = np.searchsorted(postings, rows)  # each row's first posting
-    row_key = key[rows]
-    names = pa.array(list(vocabulary), pa.string())
-    accounts = pa.array(list(users), pa.string())
+    block = blocks[key[rows] % len(blocks)]
+    far = differences(ids[owner], first)
+    far[first] -= block << BLOCK_BITS
     return pa.RecordBatch.from_arrays(
         [
-            names.take(pa.array(row_key // (len(users) * len(blocks)))),
-            accounts.take(pa.array(row_key // len(blocks) % len(users))),
-            pa.array(blocks[row_key % len(blocks)], pa.int64()),
-            _lists(first, len(postings), ids[owner], pa.int64()),
-            _lists(first, len(postings), counts, pa.int32()),
-            _lists(first, len(postings), length[owner], pa.int32()),
-            _lists(rows, len(place), place, pa.int32()),
+            pa.array(list(vocabulary), pa.string()).take(pa.array(key[rows] // len(blocks))),
+            pa.array(block, pa.int64()),
+            varints(np.stack([far, counts, length[owner]], axis=1).ravel(), 3 * first),
+            varints(differences(place, postings), rows),
             pa.array(np.maximum.reduceat(counts, first), pa.int32()),
             pa.array(np.minimum.reduceat(length[owner], first), pa.int32()),
         ],
-        names=["term", "user_id", "block", "ids", "counts", "lengths", "positions", "most", "shortest"],
+        names=["term", "block", "links", "places", "most", "shortest"],
     )
 
 
@@ -105,19 +132,41 @@ def indexed_text(links: DataFrame) -> DataFrame:
 
 
 def word_postings(links: DataFrame) -> DataFrame:
-    """Per word, user and block of ids: the links that hold the word, how often, their lengths in words and the places.
+    """Per word and block of ids: the links that hold the word, how often, their lengths in words, and the places.
 
-    `positions` lists the places of all links one after the other, counted from 1; `most` is the highest count and
-    `shortest` the least length, which bound any score in the block.  A block can come in several rows.
+    `links` codes for each link the distance of its id from the one before (from the block's start), the count and the
+    length; `places` the distances of places from one to the next, from 0 for each link.  `most` is the highest count
+    and `shortest` the least length, which bound any score in the block.  A block can come in several rows.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, chunk in _chunks(batches, 1):
-            rows = _word_rows(ids, chunk)
+        for ids, chunk in _chunks(batches, 1, WORD_CHARS):
+            rows = _word_rows(ids, chunk.column(1).to_pylist())
             if rows is not None:
                 yield rows
 
-    return indexed_text(links).where("id is not null").mapInArrow(make, WORD_SCHEMA)
+    return indexed_text(links).where("id is not null").select("id", "text").mapInArrow(make, WORD_SCHEMA)
+
+
+def read_words(postings: DataFrame, positions: bool) -> DataFrame:
+    """(term, id, n, length, batch, and positions if asked) of coded rows (term, block, links, places, batch), one row per link."""
+    schema = "term string, id long, n int, length int, batch long" + (", positions array<int>" if positions else "")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, sizes = numbers(batch.column(2))
+            far, n, length = values.reshape(-1, 3).T
+            sizes //= 3
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            ids = sums(far, sizes) + (np.asarray(batch.column(1), np.int64) << BLOCK_BITS)[row]
+            row = pa.array(row)
+            columns = [batch.column(0).take(row), pa.array(ids), pa.array(n, pa.int32()), pa.array(length, pa.int32()), batch.column(3).take(row)]
+            if positions:
+                ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(sums(numbers(batch.column(4))[0], n), pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "id", "n", "length", "batch", "positions"][: len(columns)])
+
+    return postings.select("term", "block", "links", "batch", *(["places"] if positions else [])).mapInArrow(read, schema)
 
 
 def _gram_keys(texts: list[str], index: Callable[[np.ndarray], np.ndarray], letters: int, docs: int) -> np.ndarray:
@@ -158,9 +207,10 @@ def _gram_rows(ids: np.ndarray, columns: list[list[str]]) -> Iterator[pa.RecordB
     n = len(alphabet)
     letters = [alphabet[g].tolist() for g in (gram[rows] // (n * n), gram[rows] // n % n, gram[rows] % n)]
     names = ["".join(map(chr, g)) for g in zip(*letters, strict=True)]
+    far = differences(ids[owner], rows)
+    far[rows] = 0
     yield pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), _lists(rows, len(key), ids[owner], pa.int64()), _lists(rows, len(key), fields, pa.int32())],
-        names=["gram", "ids", "fields"],
+        [pa.array(names, pa.string()), pa.array(ids[owner[rows]]), varints(far << len(FIELDS) | fields, rows)], names=["gram", "first", "links"]
     )
 
 
@@ -171,10 +221,27 @@ def searched_fields(links: DataFrame) -> DataFrame:
 
 
 def gram_postings(links: DataFrame) -> DataFrame:
-    """Per substring of three characters: the links that hold it, and in which of the four fields, as bits."""
+    """Per substring of three characters: the links that hold it, and in which of the four fields.
+
+    `links` codes for each link the distance of its id from the one before (the first is `first`), then four bits for the fields.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, chunk in _chunks(batches, len(FIELDS)):
+        for ids, chunk in _chunks(batches, len(FIELDS), GRAM_CHARS):
             yield from _gram_rows(ids, [chunk.column(c + 1).to_pylist() for c in range(len(FIELDS))])
 
     return searched_fields(links).where("id is not null").mapInArrow(make, GRAM_SCHEMA)
+
+
+def read_grams(postings: DataFrame) -> DataFrame:
+    """(gram, id, fields, batch) of coded rows (gram, first, links, batch), one row per link."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, sizes = numbers(batch.column(2))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            ids = sums(values >> len(FIELDS), sizes) + np.asarray(batch.column(1), np.int64)[row]
+            fields = pa.array(values & (1 << len(FIELDS)) - 1, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(ids), fields, batch.column(3).take(pa.array(row))], names=["gram", "id", "fields", "batch"])
+
+    return postings.select("gram", "first", "links", "batch").mapInArrow(read, "gram string, id long, fields int, batch long")

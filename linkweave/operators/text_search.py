@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkweave.operators.postings import GRAM, words
+from linkweave.operators.postings import BLOCK_BITS, GRAM, words
 from linkweave.operators.search import like_pattern, text_condition
 from linkweave.session import written
 from linkweave.sources.text_index import TextIndex
@@ -37,7 +37,7 @@ def _rarest(hits: DataFrame, key: str, wanted: list[list[str]]) -> DataFrame | N
 
 
 def search_words(index: TextIndex, queries: Sequence[str]) -> DataFrame:
-    """(query, id, user_id) of every link that holds all words of a query, and its phrases word for word.
+    """(query, id) of every link that holds all words of a query, and its phrases word for word.
 
     Only the buckets of the asked words are read, and their places only if there is a phrase.  A query without a word finds
     nothing.  Matches of a query and link come together in one group, which is as long as the query.
@@ -53,7 +53,7 @@ def search_words(index: TextIndex, queries: Sequence[str]) -> DataFrame:
     ]
     table = spark.createDataFrame(steps, "query string, grp int, off int, term string, n_off int, n_grp int")
     if not steps:
-        return table.select("query", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("user_id")).where(F.lit(False))
+        return table.select("query", F.lit(None).cast("long").alias("id")).where(F.lit(False))
     terms = sorted({s[3] for s in steps})
     phrases = any(len(group) > 1 for groups in parsed.values() for group in groups)
     rare = _rarest(index.postings(terms), "term", [[w for g in groups for w in g] for groups in parsed.values()])
@@ -65,7 +65,7 @@ def search_words(index: TextIndex, queries: Sequence[str]) -> DataFrame:
     asked = hits.join(F.broadcast(table), "term")  # the queries came from the driver
     starts = F.when(F.col("n_off") > 1, F.transform("positions", lambda p: p - F.col("off"))).otherwise(F.array(F.lit(1)))
     found = asked.groupBy("query", "id").agg(
-        F.any_value("user_id").alias("user_id"), F.any_value("n_grp").alias("n_grp"),
+        F.any_value("n_grp").alias("n_grp"),
         F.collect_set(F.struct("grp", "off", "n_off", starts.alias("starts"))).alias("found"),
     )
 
@@ -75,7 +75,7 @@ def search_words(index: TextIndex, queries: Sequence[str]) -> DataFrame:
         return (F.size(mine) > 0) & (F.size(mine) == F.get(mine, F.lit(0))["n_off"]) & (F.size(common) > 0)
 
     every = F.forall(F.sequence(F.lit(0), F.col("n_grp") - 1), holds)
-    return found.where(every).select("query", "id", "user_id")
+    return found.where(every).select("query", "id")
 
 
 def literal_parts(query: str) -> list[str] | None:
@@ -135,35 +135,41 @@ def rank_words(index: TextIndex, query: str, k: int) -> DataFrame:
     """(user_id, rank, id, score): each user's k most relevant links for a query, by BM25; equal scores by id.
 
     A link counts if it holds any word of the query.  Numbers of links, of words and of links per word are those of all
-    current links.  The highest count and least length of a block of a user's links bound its scores.  Each user's k blocks
-    with the highest bounds are scored first; of the others only those whose bound reaches the k-th score.
-    Scores have six decimals, and so blocks short of the k-th score by less than that are looked at.
+    current links.  The highest count and least length in a block of ids bound its scores.  Of the blocks that hold links
+    of a user the k with the highest bounds are scored first; of the others only those whose bound reaches the user's k-th
+    score.  Scores have six decimals, and so blocks short of the k-th score by less than that are looked at.
     """
     spark, terms = index.spark, sorted({w for group in parse_query(query) for w in group})
+    nothing = spark.createDataFrame([], "user_id string, rank int, id long, score double")
     totals = index.totals()
     if not terms or not totals["words"]:
-        return spark.createDataFrame([], "user_id string, rank int, id long, score double")
+        return nothing
     average = totals["words"] / totals["links"]
-    held = {r["term"]: r["n"] for r in index.postings(terms).groupBy("term").agg(F.count_distinct("id").alias("n")).collect()}
+    held = {r["term"]: r["n"] for r in index.postings(terms).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not held:
+        return nothing
     weight = {t: math.log(1 + (totals["links"] - n + 0.5) / (n + 0.5)) for t, n in held.items()}
-    if not weight:
-        return spark.createDataFrame([], "user_id string, rank int, id long, score double")
     weights = F.broadcast(spark.createDataFrame(sorted(weight.items()), "term string, weight double"))
-    bound = F.col("weight") * _impact(F.col("most"), F.col("shortest"), average)
-    blocks = index.blocks(terms).join(weights, "term").groupBy("user_id", "block").agg(F.sum(bound).alias("bound"))
-    blocks = written(blocks, "ranked-blocks")
-    best = W.partitionBy("user_id").orderBy(F.desc("bound"), "block")
+    bound = F.sum(F.col("weight") * _impact(F.col("most"), F.col("shortest"), average)).alias("bound")
+    bounds = index.blocks(terms).join(weights, "term").groupBy("block").agg(bound)
+    links = index.versions().select("id", F.coalesce("user_id", F.lit("")).alias("user_id"), F.col("user_id").isNull().alias("_none"))
+    links = written(links.withColumn("block", F.shiftright("id", BLOCK_BITS)), "ranked-links")
+    user = ["user_id", "_none"]
+    blocks = written(links.select(*user, "block").distinct().join(bounds, "block"), "ranked-blocks")
+    best = W.partitionBy(*user).orderBy(F.desc("bound"), "block")
     top = written(blocks.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k).drop("_place"), "ranked-top")
 
     def scored(chosen: DataFrame) -> DataFrame:
-        hits = index.postings(list(weight), blocks=chosen.select("user_id", "block")).join(weights, "term")
-        return hits.groupBy("user_id", "id").agg(F.round(F.sum(F.col("weight") * _impact(F.col("n"), F.col("length"), average)), SCORE_DECIMALS).alias("score"))
+        """Scores of the links of the chosen blocks that belong to a user who chose them."""
+        hits = index.postings(list(weight), blocks=chosen.select("block").distinct()).join(weights, "term")
+        score = F.round(F.sum(F.col("weight") * _impact(F.col("n"), F.col("length"), average)), SCORE_DECIMALS)
+        mine = links.join(chosen.select(*user, "block"), [*user, "block"], "left_semi")
+        return hits.groupBy("id").agg(score.alias("score")).join(mine.drop("block"), "id")
 
     first = written(scored(top), "ranked-first")
-    order = W.partitionBy("user_id").orderBy(F.desc("score"), "id")
-    kth = first.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") == k).select(F.col("user_id").alias("_user"), F.col("score").alias("kth"))
-    rest = blocks.join(top, blocks["user_id"].eqNullSafe(top["user_id"]) & (blocks["block"] == top["block"]), "left_anti")
-    rest = rest.join(kth, F.col("user_id").eqNullSafe(F.col("_user")), "left")
+    order = W.partitionBy(*user).orderBy(F.desc("score"), "id")
+    kth = first.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") == k).select(*user, F.col("score").alias("kth"))
+    rest = blocks.join(top.select(*user, "block"), [*user, "block"], "left_anti").join(kth, user, "left")
     rest = rest.where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 10.0**-SCORE_DECIMALS))
     ranked = first.unionByName(scored(rest)).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("user_id", "rank", "id", "score")
+    return ranked.where(F.col("rank") <= k).select(F.when(~F.col("_none"), F.col("user_id")).alias("user_id"), "rank", "id", "score")

@@ -2,8 +2,8 @@
 
 Every batch adds folders.  A posting counts as long as no later batch names its link, so an update writes only the links it
 changes.  Postings lie in buckets by a hash of their word or substring, as many as the batch's size asks, so a search
-reads only the buckets of what it asks for, and inside a file Parquet's statistics lead to the rows.  Ids and
-places are sorted and written in Parquet's delta encoding.  Writing a batch again replaces only its own folders.
+reads only the buckets of what it asks for, and inside a file Parquet's statistics lead to the rows.  Ids and places are
+coded as distances in bytes of seven bits, before they are shuffled.  Writing a batch again replaces only its own folders.
 """
 
 from __future__ import annotations
@@ -13,8 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.functions.arrays import running_totals
-from linkweave.operators.postings import GRAM_SCHEMA, WORD_SCHEMA, gram_postings, indexed_text, word_postings
+from linkweave.operators.postings import GRAM_SCHEMA, WORD_SCHEMA, gram_postings, indexed_text, read_grams, read_words, word_postings
 
 INITIAL = -1
 #: Characters of text that make up one bucket, and the most buckets of a batch.
@@ -77,12 +76,8 @@ class TextIndex:
         for kind in self.kinds:
             made, key = (word_postings(links), "term") if kind == "words" else (gram_postings(links), "gram")
             placed = made.withColumn("of", F.lit(buckets)).withColumn("bucket", self._bucket(F.col(key), F.lit(buckets)))
-            plain = {f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("ids", "positions")}
-            (
-                placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", key)
-                .write.mode("overwrite").partitionBy("of", "bucket").options(**plain, **{"parquet.writer.version": "v2"})
-                .parquet(self._folder(kind, batch))
-            )
+            laid = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", key)
+            laid.write.mode("overwrite").partitionBy("of", "bucket").parquet(self._folder(kind, batch))
         totals = self.spark.range(1).select(
             F.lit(n_before + added["links"]).cast("long").alias("links"), F.lit(words_before + added["words"]).cast("long").alias("words"), F.lit(buckets).alias("buckets")
         )
@@ -120,27 +115,15 @@ class TextIndex:
         return rows.where(places & F.col(key).isin(wanted))
 
     def blocks(self, terms: list[str]) -> DataFrame:
-        """(term, user_id, block, most, shortest, n) of the given words; links of earlier versions count, so these are bounds."""
+        """(term, block, most, shortest) of the given words; links of earlier versions count, so these are bounds."""
         asked = self._asked("words", WORD_SCHEMA, "term", terms)
-        return asked.groupBy("term", "user_id", "block").agg(
-            F.max("most").alias("most"), F.min("shortest").alias("shortest"), F.sum(F.size("ids")).alias("n")
-        )
+        return asked.groupBy("term", "block").agg(F.max("most").alias("most"), F.min("shortest").alias("shortest"))
 
     def postings(self, terms: list[str], positions: bool = False, blocks: DataFrame | None = None) -> DataFrame:
-        """(term, user_id, id, n, length, and positions if asked) of the given words, one row per link; only given (user_id, block)s."""
+        """(term, id, n, length, and positions if asked) of the given words, one row per link; only from the given blocks, if any."""
         asked = self._asked("words", WORD_SCHEMA, "term", terms)
-        if blocks is not None:
-            asked = asked.join(blocks, asked["user_id"].eqNullSafe(blocks["user_id"]) & (asked["block"] == blocks["block"]), "left_semi")
-        if positions:
-            ends = asked.withColumn("_ends", running_totals(F.transform("counts", lambda n: n.cast("long"))))
-            part = lambda i: F.slice("positions", (F.get("_ends", i) - F.get("counts", i) + 1).cast("int"), F.get("counts", i))
-            each = F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.get("counts", i).alias("n"), F.get("lengths", i).alias("length"), part(i).alias("positions")))
-            return self._live(ends.select("term", "user_id", "batch", F.inline(each)))
-        each = F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.get("counts", i).alias("n"), F.get("lengths", i).alias("length")))
-        return self._live(asked.select("term", "user_id", "batch", F.inline(each)))
+        return self._live(read_words(asked if blocks is None else asked.join(blocks, "block", "left_semi"), positions))
 
     def grams(self, wanted: list[str]) -> DataFrame:
-        """(gram, id, fields) of the given substrings, one row per link."""
-        asked = self._asked("grams", GRAM_SCHEMA, "gram", wanted)
-        each = F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.get("fields", i).alias("fields")))
-        return self._live(asked.select("gram", "batch", F.inline(each)))
+        """(gram, id, fields) of the given substrings, one row per link; bits of `fields` say where it is held."""
+        return self._live(read_grams(self._asked("grams", GRAM_SCHEMA, "gram", wanted)))

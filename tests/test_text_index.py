@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from linkweave.operators import postings
@@ -76,7 +77,8 @@ def check(spark, index, rows, patterns=PATTERNS):
 
 def test_searches_after_updates(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "CHUNK_LINKS", 50)
-    monkeypatch.setattr(postings, "CHUNK_CHARS", 3000)
+    monkeypatch.setattr(postings, "WORD_CHARS", 3000)
+    monkeypatch.setattr(postings, "GRAM_CHARS", 3000)
     monkeypatch.setattr("linkweave.sources.text_index.BUCKET_CHARS", 2000)
     rows = some_links(1)
     index = TextIndex(spark, f"{tmp_path}/a")
@@ -131,16 +133,30 @@ def test_parsing():
 
 @pytest.mark.parametrize("texts", [["abcabc", "", "ab", "xabc"], ["日本語", "\U0001f600a\U0001f600"]])
 def test_gram_rows(texts):
-    import numpy as np
-
     ids = np.arange(10, 10 + len(texts))
     found = {}
     for batch in postings._gram_rows(ids, [texts, texts[::-1]]):
-        for r in batch.to_pylist():
-            found |= {(r["gram"], i): f for i, f in zip(r["ids"], r["fields"], strict=True)}
+        values, sizes = postings.numbers(batch.column(2))
+        places = postings.sums(values >> 4, sizes) + np.repeat(np.asarray(batch.column(1)), sizes)
+        for gram, i, f in zip(np.repeat(batch.column(0).to_pylist(), sizes), places, values & 15, strict=True):
+            found[str(gram), int(i)] = int(f)
     want = {}
     for field, column in enumerate((texts, texts[::-1])):
         for i, t in zip(ids, column, strict=True):
             for j in range(len(t) - 2):
                 want[t[j : j + 3], i] = want.get((t[j : j + 3], i), 0) | 1 << field
     assert found == want
+
+
+def test_coded_numbers():
+    rng = random.Random(1)
+    groups = [[rng.choice([0, 1, 127, 128, 300, 2**14, 2**21, 2**40, 2**62]) for _ in range(rng.randint(1, 5))] for _ in range(50)]
+    flat = np.array([v for g in groups for v in g])
+    sizes = np.array([len(g) for g in groups])
+    starts = np.cumsum(sizes) - sizes
+    values, counted = postings.numbers(postings.varints(flat, starts))
+    assert values.tolist() == flat.tolist() and counted.tolist() == sizes.tolist()
+    rising = np.concatenate([np.sort(np.array(g) % 1000) for g in groups])
+    assert postings.sums(postings.differences(rising, starts), sizes).tolist() == rising.tolist()
+    empty = postings.varints(np.zeros(0), np.zeros(0, np.int64))
+    assert len(empty) == 0 and postings.numbers(empty)[0].tolist() == []
