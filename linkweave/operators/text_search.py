@@ -103,28 +103,40 @@ def query_grams(query: str) -> list[str] | None:
     return sorted(found) or None
 
 
-def substring_candidates(index: TextIndex, query: str) -> DataFrame | None:
-    """Ids of the links with a field that holds all substrings of the query; None where the query is too short."""
-    wanted = query_grams(query)
-    if wanted is None:
-        return None
-    hits = index.grams(wanted)
-    rare = _rarest(hits, "gram", [wanted])
+def substring_candidates(index: TextIndex, queries: Sequence[str]) -> DataFrame:
+    """(id, queries): links with a field that holds all substrings of a query, with the places of such queries in the list.
+
+    Queries without substrings of three plain characters are left out.
+    """
+    wanted = {i: grams for i, query in enumerate(queries) if (grams := query_grams(query))}
+    rows = [(i, gram, len(grams)) for i, grams in wanted.items() for gram in grams]
+    table = index.spark.createDataFrame(rows, "query int, gram string, n int")
+    hits = index.grams(sorted({gram for _, gram, _ in rows}))
+    rare = _rarest(hits, "gram", list(wanted.values()))
     if rare is not None:
         hits = hits.join(F.broadcast(rare), "id", "left_semi")
-    held = hits.groupBy("id").agg(F.count_distinct("gram").alias("n"), F.bit_and("fields").alias("fields"))
-    return held.where((F.col("n") == len(wanted)) & (F.col("fields") != 0)).select("id")
+    asked = hits.join(F.broadcast(table), "gram")  # the queries came from the driver
+    held = asked.groupBy("id", "query").agg(F.count(F.lit(1)).alias("found"), F.any_value("n").alias("n"), F.bit_and("fields").alias("fields"))
+    return held.where((F.col("found") == F.col("n")) & (F.col("fields") != 0)).groupBy("id").agg(F.collect_list("query").alias("queries"))
 
 
-def search_substring(index: TextIndex, links: DataFrame, query: str) -> DataFrame:
-    """The links whose title, description, URL or tags match %query%: the same rows as text_condition gives.
+def search_substrings(index: TextIndex, links: DataFrame, queries: Sequence[str]) -> DataFrame:
+    """The links whose title, description, URL or tags match %query%, with the `query`: the same rows as text_condition gives.
 
-    Candidates come from the index and are verified; a query without three plain characters in a row scans the links.
+    Candidates come from the index and are verified, those of all queries in one pass over the links.  A query without three
+    plain characters in a row is looked for in every link.
     """
-    candidates = substring_candidates(index, query) if query else None
-    if candidates is not None:
-        links = links.join(candidates, "id", "left_semi")
-    return links.where(text_condition(query))
+    queries = list(dict.fromkeys(queries))
+    short = [not query_grams(q) for q in queries]
+    found = links.withColumn("_candidate", F.array().cast("array<int>"))
+    if not all(short):
+        candidates = substring_candidates(index, queries).withColumnRenamed("queries", "_candidate")
+        found = links.join(candidates, "id", "left" if any(short) else "inner")
+    held = [
+        F.when(F.lit(short[i]) | F.array_contains(F.coalesce("_candidate", F.array().cast("array<int>")), i), F.when(text_condition(q), F.lit(q)))
+        for i, q in enumerate(queries)
+    ]
+    return found.withColumn("query", F.explode(F.array_compact(F.array(*held)))).select("query", *links.columns)
 
 
 def _impact(n: Column, length: Column, average: float) -> Column:

@@ -6,7 +6,7 @@ import pytest
 
 from linkweave.operators import postings
 from linkweave.operators import search as S
-from linkweave.operators.text_search import literal_parts, parse_query, query_grams, rank_words, search_substring, search_words
+from linkweave.operators.text_search import literal_parts, parse_query, query_grams, rank_words, search_substrings, search_words
 from linkweave.sources.text_index import TextIndex
 from tests.test_tables import link, links_of
 
@@ -71,8 +71,11 @@ def check(spark, index, rows, patterns=PATTERNS):
         assert ranked.keys() == want.keys()
         assert all(ranked[key][0] == want[key][0] and abs(ranked[key][1] - want[key][1]) < 2e-6 for key in want)
     assert rank_words(index, "", 3).count() == 0
-    scan = {p: {r["id"] for r in links.where(S.text_condition(p)).select("id").collect()} for p in patterns}
-    assert {p: {r["id"] for r in search_substring(index, links, p).select("id").collect()} for p in patterns} == scan
+    scan = sorted((p, r["id"]) for p in patterns for r in links.where(S.text_condition(p)).select("id").collect())
+    assert sorted((r["query"], r["id"]) for r in search_substrings(index, links, patterns).collect()) == scan
+    long = [p for p in patterns if query_grams(p)]
+    assert sorted((r["query"], r["id"]) for r in search_substrings(index, links, long).collect()) == [x for x in scan if x[0] in long]
+    assert sorted(r["id"] for r in search_substrings(index, links, long[:1]).collect()) == [i for p, i in scan if p == long[0]]
 
 
 def test_searches_after_updates(spark, tmp_path, monkeypatch):
@@ -109,7 +112,7 @@ def test_odd_links(spark, tmp_path):
     assert [r["id"] for r in search_words(index, ["w29999 and"]).collect()] == [3] and search_words(index, ["go"]).count() == 0
     assert [(r["user_id"], r["id"]) for r in rank_words(index, "and", 2).collect()] == [(None, 3)]
     links = links_of(spark, [r for r in rows if r[0]])
-    assert [r["id"] for r in search_substring(index, links, "w29999 AND").collect()] == [3]
+    assert [r["id"] for r in search_substrings(index, links, ["w29999 AND"]).collect()] == [3]
 
 
 def test_only_asked_buckets_are_read(spark, tmp_path, monkeypatch):
