@@ -5,7 +5,9 @@ from __future__ import annotations
 from checks import inputs as I
 from linkweave import constants as C
 from linkweave.operators.lemmas import SUFFIX_RULES
+from linkweave.operators.similar import LEAST, MILLI
 from linkweave.operators.text_search import B, K1, SCORE_DECIMALS, parse_query
+from linkweave.operators.trending import HALF_LIFE_S
 
 ORACLES: dict[str, str] = {}
 
@@ -755,3 +757,42 @@ scores as (
   from tf join df using (term), sizes s group by 1, 2),
 ranked as (select *, row_number() over (partition by user_id order by score desc, id) as rank from scores)
 select user_id, rank, id, score from ranked where rank <= 5""")
+
+
+# ---- similar links, trends, renamed tags -----------------------------------------------------
+
+oracle("similar_links", f"""with {LINKS},
+sets as materialized (select team_id, min(id) as id, tags, list(id) as ids from (
+  select team_id, id, list_sort(tags) as tags from links where len(tags) > 0) group by team_id, tags),
+weights as materialized (
+  select tag, round({MILLI} * ln(1 + (select count(*) from links where len(tags) > 0) / count(*)))::bigint as weight
+  from (select unnest(tags) as tag from links) group by tag),
+items as materialized (select team_id, id, unnest(tags) as tag from sets),
+sized as (select team_id, id, sum(weight) as total from items join weights using (tag) group by all),
+common as (
+  select a.team_id, a.id, b.id as other_id, sum(weight) as mutual
+  from items a join items b on a.team_id = b.team_id and a.tag = b.tag and a.id < b.id join weights w on w.tag = a.tag group by all)
+select c.team_id, c.id, other_id, round(mutual / (x.total + y.total - mutual), 6) as similarity
+from common c join sized x on x.id = c.id join sized y on y.id = other_id
+where mutual * {LEAST[1]} >= (x.total + y.total - mutual) * {LEAST[0]}
+union all
+select team_id, id, member, 1.0 from (select team_id, id, unnest(ids) as member from sets) where member <> id""")
+oracle("trending_tags", f"""with {LINKS},
+now as (select epoch(max(updated_at)) + 86400 as instant from links),
+scores as (
+  select team_id, tag, round(sum(pow(2.0, (epoch(updated_at) - instant) / {HALF_LIFE_S})), 6) as score
+  from (select team_id, updated_at, unnest(tags) as tag from links), now group by 1, 2),
+ranked as (select *, row_number() over (partition by team_id order by score desc, tag) as position from scores where score > 0)
+select team_id, position, tag, score from ranked where position <= 10""")
+RENAMED = f"""{LINKS},
+targets as (select s.tag, coalesce((select max(t.seed_pos) from seeds t where t.seed_pos <= s.seed_pos and (t.seed_pos = 1 or t.seed_pos % 7 = 0)), s.seed_pos) as end_pos
+  from seeds s where s.seed_pos % 7 <> 0 and s.seed_pos <> 1),
+closed as materialized (select t.tag, s.tag as target from targets t join seeds s on s.seed_pos = end_pos),
+renamed as materialized (
+  select id, team_id, updated_at, list(tag order by pos) as tags from (
+    select id, team_id, updated_at, coalesce(target, l.tag) as tag, min(pos) as pos
+    from (select id, team_id, updated_at, unnest(tags) as tag, generate_subscripts(tags, 1) as pos from links) l left join closed c on c.tag = l.tag
+    group by 1, 2, 3, 4) group by 1, 2, 3)"""
+oracle("renamed_tags", f"with {RENAMED} select id, team_id, {joined('tags')} as tags from renamed union all select id, team_id, '' from links where len(tags) = 0")
+oracle("usage_after_rename", f"""with {RENAMED} select team_id, tag as tag_name, count(*) as usage_count, {stamp('max(updated_at)')} as last_used
+from (select team_id, updated_at, unnest(tags) as tag from renamed) group by 1, 2""")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +15,16 @@ from linkweave.functions import text as X
 from linkweave.functions import urls as U
 from linkweave.functions import validation as V
 from linkweave.functions import webtags as WT
+from linkweave.operators import aliases as AL
 from linkweave.operators import generation as GEN
 from linkweave.operators import lemmas as L
 from linkweave.operators import matching as M
 from linkweave.operators import search as S
+from linkweave.operators import similar as SL
 from linkweave.operators import store as ST
 from linkweave.operators import tags as TG
 from linkweave.operators import text_search as TS
+from linkweave.operators import trending as TR
 from linkweave.plans import create as P
 from linkweave.plans import lookup as LK
 from linkweave.session import shared_dir, written
@@ -719,8 +720,7 @@ def full_text_search(spark, sf):
 def substring_search(spark, sf):
     """Text searches over substring postings, short ones by the scan they fall back to."""
     index, links = _indexed(spark, sf, words=False)
-    found = [TS.search_substring(index, links, text).select(F.lit(text).alias("query"), "id", "user_id") for text in I.SUBSTRINGS]
-    return reduce(DataFrame.unionByName, found)
+    return TS.search_substrings(index, links, I.SUBSTRINGS).select("query", "id", "user_id")
 
 
 @query
@@ -728,3 +728,53 @@ def relevance_search(spark, sf):
     """Each user's five most relevant links."""
     index, _ = _indexed(spark, sf, grams=False)
     return TS.rank_words(index, I.RELEVANCE_QUERY, 5)
+
+
+# ---- similar links, trends, renamed tags -----------------------------------------------------
+
+@query
+def similar_links(spark, sf):
+    """Links of a team with similar tags: pairs of different tag sets by their first links, and the links of each set."""
+    pairs, members = SL.similar_links(I.links(spark, sf))
+    return pairs.select("team_id", "id", "other_id", "similarity").unionByName(
+        members.select("team_id", "id", F.col("member_id").alias("other_id"), F.lit(1.0).alias("similarity"))
+    )
+
+
+@query
+def trending_tags(spark, sf):
+    """Each team's ten tags with the highest decayed use a day after the last change, from the parts of two batches."""
+    links = I.links(spark, sf)
+    at = links.agg((F.max("updated_at") + F.expr("interval 1 day")).alias("at")).scalar()
+    odd = F.col("id") % 2 == 1
+    parts = TR.merged(TR.decayed_use(links.where(odd)), TR.decayed_use(links.where(~odd)))
+    return TR.trending(parts, at, 10)
+
+
+def _aliases(spark, sf) -> DataFrame:
+    """Every seed tag but the first of seven becomes the one before it; two seed tags stand in a cycle."""
+    seeds = VO.seed_tags(spark)
+    before = seeds.select((F.col("tag_rank") + 1).alias("tag_rank"), F.col("tag").alias("target"))
+    chained = seeds.join(before, "tag_rank").where("tag_rank % 7 <> 0").select("tag", "target")
+    cycle = spark.createDataFrame([("the", "of"), ("of", "the"), ("und", "the")], "tag string, target string")
+    return chained.unionByName(cycle)
+
+
+@query
+def renamed_tags(spark, sf):
+    """Tags of all links after a batch of merges, as the store then has them."""
+    folder = written(spark.range(1), "stream").inputFiles()[0].rsplit("/", 1)[0]
+    store = LinkStore(spark, f"{folder}-store")
+    store.create(I.links(spark, sf))
+    AL.rename_tags(store, _aliases(spark, sf), 0)
+    return store.links().select("id", "team_id", "tags")
+
+
+@query
+def usage_after_rename(spark, sf):
+    """Tag usage that the store keeps after a batch of merges."""
+    folder = written(spark.range(1), "stream").inputFiles()[0].rsplit("/", 1)[0]
+    store = LinkStore(spark, f"{folder}-store")
+    store.create(I.links(spark, sf))
+    AL.rename_tags(store, _aliases(spark, sf), 0)
+    return store.usage()
