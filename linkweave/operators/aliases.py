@@ -9,6 +9,9 @@ from linkweave.operators.skew import hot_keys, join_split_hot
 from linkweave.session import written
 from linkweave.sources.links import LinkStore
 
+#: Up to so many aliases are looked up in a map that goes along with the plan; more are joined.
+MAPPED_ALIASES = 1000
+
 
 def close_aliases(aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((tag, target) with the end of each chain, (tag, target) of those rejected because they lead into a cycle).
@@ -34,8 +37,14 @@ def close_aliases(aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
 def renamed(links: DataFrame, closed: DataFrame) -> DataFrame:
     """The links that hold an aliased tag, with tags replaced; a tag that comes twice then stays at its first place.
 
-    Only such links are rewritten.  Tags of the links are joined to the aliases, of which each tag has one; hot tags are dealt out.
+    Only such links are rewritten.  A few aliases are looked up link by link, with nothing to shuffle; many are joined
+    to the links' tags, of which hot ones are dealt out.
     """
+    few = closed.limit(MAPPED_ALIASES + 1).collect()
+    if len(few) <= MAPPED_ALIASES:
+        to = F.create_map(*[F.lit(v) for r in few for v in (r["tag"], r["target"])]) if few else F.create_map().cast("map<string,string>")
+        new = F.array_distinct(F.transform("tags", lambda t: F.coalesce(F.try_element_at(to, t), t)))
+        return links.where(F.exists("tags", lambda t: F.map_contains_key(to, t))).withColumn("tags", new)
     exploded = links.select("id", F.posexplode("tags").alias("_place", "tag"))
     counts = exploded.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).join(closed.select("tag"), "tag", "left_semi")
     hit = join_split_hot(exploded, closed, ["tag"], hot_keys(counts, ["tag"], "n"), ["id"])
@@ -51,7 +60,6 @@ def rename_tags(store: LinkStore, aliases: DataFrame, batch: int) -> DataFrame:
     """
     closed, rejected = close_aliases(aliases)
     closed = written(closed, "aliases-closed")
-    changed = written(renamed(store.links_with_tags(closed.select("tag"), batch), closed), "renamed")
-    store.write_links(changed, batch)
+    store.write_links(renamed(store.links_with_tags(closed.select("tag"), batch), closed), batch)
     store.refresh_usage(batch)
     return rejected

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from linkweave.operators import aliases as aliases_module
 from linkweave.operators import similar
 from linkweave.operators.aliases import close_aliases, rename_tags, renamed
 from linkweave.operators.similar import similar_links
@@ -85,7 +86,9 @@ def test_alias_chains_and_cycles(spark):
     assert closed.collect() == [] and rejected.collect() == []
 
 
-def test_rename_in_a_store(spark, tmp_path):
+@pytest.mark.parametrize("mapped", [0, 1000])
+def test_rename_in_a_store(spark, tmp_path, monkeypatch, mapped):
+    monkeypatch.setattr(aliases_module, "MAPPED_ALIASES", mapped)
     rows = tagged(5)
     store = LinkStore(spark, str(tmp_path), buckets=4)
     store.create(links_of(spark, rows))
