@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.operators.postings import GRAM_SCHEMA, WORD_SCHEMA, gram_postings, indexed_text, read_grams, read_words, word_postings
-from linkweave.session import written
 
 INITIAL = -1
 #: Characters of text that make up one bucket, and the most buckets of a batch.
@@ -47,7 +46,6 @@ class TextIndex:
 
     def update(self, changed: DataFrame, batch: int, deleted: DataFrame | None = None) -> None:
         """Take in a batch's new and changed links, and the ids of deleted ones (column id)."""
-        changed = written(changed, "index-batch")  # read for each kind of posting
         before = self.totals(batch)
         ids = changed.select("id") if deleted is None else changed.select("id").unionByName(deleted.select("id"))
         gone = self.versions(batch).join(ids.distinct(), "id", "left_semi").agg(
