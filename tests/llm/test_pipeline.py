@@ -74,4 +74,4 @@ def test_edge_rows_in_each_stage(spark):
 
 def test_every_operator_is_registered():
     numbers = {name.split("_")[0] for name in queries.QUERIES}
-    assert numbers == {f"op{n}" for n in range(1, 11)} and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert numbers == {f"op{n}" for n in range(1, 14)} and set(queries.ORACLES) <= set(queries.QUERIES)
