@@ -1,17 +1,15 @@
-"""Toxicity by nearest labelled examples: exact cosine of whole TF-IDF vectors over a block-max inverted index, distance-weighted votes.
+"""Toxicity by nearest labelled examples: exact cosine of whole TF-IDF vectors over block-max inverted indexes, distance-weighted votes.
 
 Terms are all words that MIN_TEXTS labelled texts hold, whatever their number and class; document frequencies are counted over all
-texts. A term's weight is its inverse document frequency times one plus the likelihood ratio of its counts in the two classes, so
-that neighbours agree in signs of a class before they agree in their subject; no term is left out for it. The index keeps each
-term's postings in blocks with their largest weight, so that a search scores only blocks that can still hold one of the nearest
-examples, and yet finds exactly these.
+texts, and weights know no labels. Each class has an index, which keeps a term's postings in blocks with their largest weight, so
+that a search scores only blocks that can still hold one of the nearest examples, and yet finds exactly these. The nearest of
+both classes vote. A vote weighs more the nearer the example is, and by the strongest sign of its own class (likelihood ratio of a
+word's counts in the classes) among the words it shares with the text. The share of toxic votes is calibrated on other labelled texts.
 """
 
 from __future__ import annotations
 
-import pickle
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import Any
@@ -22,61 +20,39 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 from linkweave.llm.common import held_out, sampled, shipped
 from linkweave.session import written
 
 LABELLED_ROWS = 20_000  # labelled texts that terms, examples and calibration are fitted on
 MIN_TEXTS = 5
-BEGINNINGS = (4, 5, 6)
-REPEATS = (2, 3)
-NEIGHBOURS = 15
+NEIGHBOURS = 15  # of each class
 BLOCK = 64
 FIRST_BLOCKS = 4  # scored first, for a bound on the others
-CALIBRATION_SHARE = 4  # every fourth labelled text calibrates, the others are examples
-REMEMBERED = 500_000
+CALIBRATION_SHARE = 4  # one of so many labelled texts calibrates, the others are examples
 SCORED = 20_000  # texts whose scores a task remembers for their copies
 WORDS = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(word: str) -> list[str]:
-    """The word, and its beginnings marked by a star."""
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n)]
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, lower-cased."""
+    return WORDS.findall(text.lower()) if text else []
 
 
-def repeated_terms(counted: dict[str, int]) -> Iterator[str]:
-    """Each term, and once more with its number for each of REPEATS that its count reaches: length of a vector says nothing, so repeats must."""
-    for term, count in counted.items():
-        yield term
-        for least in REPEATS:
-            if count >= least:
-                yield f"{term}#{least}"
-
-
-class TermCounter(dict):
-    """Maps a word to the numbers of its known terms, remembering words until there are too many."""
+class Vocabulary(dict):
+    """Numbers of the known words."""
 
     def __init__(self, terms: list[str]):
-        self.known: dict[str, int] = {}
-        self.features: list[list[tuple[int, int]]] = []  # of each term without its number: least count and feature
-        for feature, term in enumerate(terms):
-            plain, _, least = term.partition("#")
-            number = self.known.setdefault(plain, len(self.features))
-            if number == len(self.features):
-                self.features.append([])
-            self.features[number].append((int(least or 1), feature))
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = tuple(self.known[t] for t in terms_of(word) if t in self.known)
-        return found
-
-    def count(self, text: str | None) -> dict[int, int]:
-        if not text:
-            return {}
-        held = Counter(t for found in filter(None, map(self.__getitem__, WORDS.findall(text.lower()))) for t in found)
-        return {feature: count if least == 1 else 1 for t, count in held.items() for least, feature in self.features[t] if count >= least}
+        super().__init__(zip(terms, range(len(terms)), strict=True))
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of a text's known words, rising, and how often each stands in it."""
+        held = Counter(filter(self.__contains__, words_of(text)))
+        terms = np.fromiter(map(self.__getitem__, held), np.int32, len(held))
+        times = np.fromiter(held.values(), np.int32, len(held))
+        order = np.argsort(terms)
+        return terms[order], times[order]
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -85,32 +61,21 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples, in the order of their ids."""
-
-    GIVEN = ("ids", "labels", "copies", "idf", "sizes", "terms", "times")
-
-    def __init__(self, ids: list[int], labels: list[int], counts: Iterable[dict[int, int]], idf: np.ndarray, copies: list[int] | None = None):
-        self.copies = np.ones(len(ids)) if copies is None else np.array(copies, np.float64)
-        self.ids, self.labels, self.idf = np.array(ids, np.int64), np.array(labels, np.float64), idf
-        counts = list(counts)
-        self.sizes = np.array([len(counted) for counted in counts], np.int32)
-        self.terms = np.fromiter((t for counted in counts for t in counted), np.int32, self.sizes.sum())
-        self.times = np.fromiter((n for counted in counts for n in counted.values()), np.int32, self.sizes.sum())
-        self._build()
+    """Unit TF-IDF vectors of examples, in the order given: `sizes` of their vectors, all `terms` and `times` one after another."""
 
-    def __getstate__(self) -> bytes:
-        """Counts alone go to the tasks, which build the postings again: a tenth of the bytes."""
-        return zlib.compress(pickle.dumps([getattr(self, name) for name in self.GIVEN]), 1)
+    def __init__(self, sizes: np.ndarray, terms: np.ndarray, times: np.ndarray, idf: np.ndarray):
+        self.sizes, self.terms, self.times, self.idf = sizes, terms, times, idf
+        self.numbers: np.ndarray | None = None  # postings are made where the first search runs
 
-    def __setstate__(self, state: bytes) -> None:
-        for name, value in zip(self.GIVEN, pickle.loads(zlib.decompress(state)), strict=True):
-            setattr(self, name, value)
-        self._build()
+    def __getstate__(self) -> dict[str, Any]:
+        """Counts alone go to the tasks, which make the postings again."""
+        return {"sizes": self.sizes, "terms": self.terms, "times": self.times, "idf": self.idf, "numbers": None}
 
     def _build(self) -> None:
         numbers = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         weights = (1 + np.log(self.times)) * self.idf[self.terms] if len(self.terms) else np.zeros(0)
         norms = np.sqrt(np.bincount(numbers, weights**2, len(self.sizes)))
+        self.offsets = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         order = np.argsort(self.terms, kind="stable")
         terms, self.numbers = self.terms[order].astype(np.int64), numbers[order]
         self.weights = weights = (weights / np.maximum(norms, 1e-12)[numbers])[order]
@@ -123,25 +88,27 @@ class BlockMaxIndex:
         self.maxima = np.maximum.reduceat(weights, self.starts) if len(own) else weights
         self.first = np.searchsorted(terms[self.starts], np.arange(len(self.idf) + 1))  # segment of each term
 
-    def vector(self, counted: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.fromiter(sorted(counted), np.int64, len(counted))
-        weights = (1 + np.log([counted[t] for t in terms])) * self.idf[terms] if len(terms) else np.zeros(0)
-        return terms, weights / max(np.linalg.norm(weights), 1e-12)
+    def weighted(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Weights of a text's unit vector."""
+        weights = (1 + np.log(times)) * self.idf[terms] if len(terms) else np.zeros(0)
+        return weights / max(np.linalg.norm(weights), 1e-12)
 
     def _scores(self, segments: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the examples in the segments."""
         lengths = self.lengths[segments]
         at = ranges(self.starts[segments], lengths)
-        cosines = np.bincount(self.numbers[at], np.repeat(weights, lengths) * self.weights[at], len(self.ids))
+        cosines = np.bincount(self.numbers[at], np.repeat(weights, lengths) * self.weights[at], len(self.sizes))
         found = np.flatnonzero(cosines)
         return found, np.round(cosines[found], 9)
 
-    def nearest(self, counted: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples that share a term, nearest first; ties to the smaller id.
+    def nearest(self, terms: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest examples that share a term, nearest first; ties to the smaller number.
 
         The blocks with the highest bounds give a first k-th cosine; then every block whose bound reaches it is scored.
         """
-        terms, weights = self.vector(counted)
+        if self.numbers is None:
+            self._build()
+        weights = self.weighted(terms, times)
         held = self.first[terms + 1] - self.first[terms]
         segments, weights = ranges(self.first[terms], held), np.repeat(weights, held)
         if not len(segments):
@@ -163,13 +130,39 @@ class BlockMaxIndex:
         order = np.lexsort((numbers, -cosines))[:k]
         return numbers[order], cosines[order]
 
-    def vote(self, counted: dict[int, int]) -> tuple[float, list[int], list[float]]:
-        """Share of toxic neighbours, weighted by distance and copies, and the neighbours."""
-        numbers, cosines = self.nearest(counted, NEIGHBOURS)
+    def strongest(self, numbers: np.ndarray, terms: np.ndarray, signs: np.ndarray) -> np.ndarray:
+        """For each of these examples, the largest of `signs` among the terms it shares with the text."""
+        lengths = self.sizes[numbers].astype(np.int64)
+        own = self.terms[ranges(self.offsets[numbers], lengths)]
+        at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+        return np.maximum.reduceat(np.where(terms[at] == own, signs[own], 0.0), np.cumsum(lengths) - lengths)
+
+
+class Voters:
+    """The examples of one class, with their ids, copies and the strength of each term as a sign of the class."""
+
+    def __init__(self, examples: pa.Table, idf: np.ndarray, signs: np.ndarray):
+        self.ids = examples["doc_id"].combine_chunks()
+        self.copies = examples["copies"].to_numpy().astype(np.float64)
+        terms, times = (np.frombuffer(b"".join(examples[c].to_pylist()), np.int32) for c in ("terms", "times"))
+        self.index = BlockMaxIndex(examples["size"].to_numpy().astype(np.int32), terms, times, idf)
+        self.signs = signs
+
+    def votes(self, terms: np.ndarray, times: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
+        """The weight of all votes, and (cosine, number) of each neighbour."""
+        numbers, cosines = self.index.nearest(terms, times, NEIGHBOURS)
         if not len(numbers):
-            return -1.0, [], []
-        weights = self.copies[numbers] / (1.05 - cosines)
-        return float(weights @ self.labels[numbers] / weights.sum()), self.ids[numbers].tolist(), cosines.tolist()
+            return 0.0, []
+        signs = self.index.strongest(numbers, terms, self.signs)
+        weight = float((self.copies[numbers] * (1 + signs) / (1.05 - cosines)).sum())
+        return weight, list(zip(cosines.tolist(), numbers.tolist(), strict=True))
+
+
+def vote(voters: tuple[Voters, Voters], terms: np.ndarray, times: np.ndarray) -> tuple[float, list[tuple[float, int, int]]]:
+    """The toxic share of the votes (-1 without a neighbour), and (cosine, class, number) of the neighbours, nearest first."""
+    weights, near = zip(*(side.votes(terms, times) for side in voters), strict=True)
+    found = sorted(((c, label, n) for label, some in enumerate(near) for c, n in some), key=lambda x: (-x[0], -x[1], x[2]))
+    return (weights[1] / sum(weights) if found else -1.0), found
 
 
 def isotonic(values: np.ndarray, labels: np.ndarray, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -194,14 +187,14 @@ def distinct_texts(sample: DataFrame) -> DataFrame:
     return placed.where("place = 1").select(*sample.columns, "copies")
 
 
-def class_terms(sample: DataFrame) -> dict[str, float]:
-    """All words that MIN_TEXTS of the (text, toxic) rows hold, and the likelihood ratio of their counts in the two classes; none without both classes."""
+def class_terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All words that MIN_TEXTS of the (text, toxic) rows hold, and for both classes each word's likelihood ratio as its sign (0 for the other class's); none without both classes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, toxic = Counter(), Counter()
             for text, label in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                found = {"", *WORDS.findall((text or "").lower())}
+                found = {"", *words_of(text)}
                 held.update(found)
                 if label:
                     toxic.update(found)
@@ -210,73 +203,94 @@ def class_terms(sample: DataFrame) -> dict[str, float]:
             )
 
     counts = sample.select("text", "toxic").mapInArrow(emit, "term string, n long, toxic long").groupBy("term")
-    counts = written(counts.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "toxicity-terms")
-    totals = counts.where("term = ''").first()  # stands for the texts themselves
-    if totals is None or not 0 < totals["toxic"] < totals["n"]:
-        return {}
-    share = totals["toxic"] / totals["n"]
-    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    ratio = 2 * (part(F.col("toxic"), F.col("n") * share) + part(F.col("n") - F.col("toxic"), F.col("n") * (1 - share)))
-    found = counts.where((F.col("term") != "") & (F.col("n") >= MIN_TEXTS)).select("term", F.greatest(ratio, F.lit(0.0)).alias("ratio"))
-    return {row["term"]: row["ratio"] for row in found.orderBy("term").collect()}  # words of LABELLED_ROWS texts
+    counts = counts.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where((F.col("n") >= MIN_TEXTS) | (F.col("term") == ""))
+    found = counts.toArrow().sort_by("term")  # words of LABELLED_ROWS texts; the empty one stands for the texts themselves
+    n, toxic = (found[c].to_numpy().astype(np.float64) for c in ("n", "toxic"))
+    if not len(n) or not 0 < toxic[0] < n[0]:
+        return [], np.zeros((2, 0))
+    share, n, toxic = toxic[0] / n[0], n[1:], toxic[1:]
+    part = lambda seen, expected: seen * np.log(np.maximum(seen, 1e-9) / expected)
+    ratio = np.maximum(2 * (part(toxic, n * share) + part(n - toxic, n * (1 - share))), 0.0)
+    return found["term"].to_pylist()[1:], np.stack([np.where(toxic < n * share, ratio, 0.0), np.where(toxic > n * share, ratio, 0.0)])
 
 
-def document_frequencies(docs: DataFrame, terms: list[str], text_column: str) -> tuple[int, dict[int, int]]:
-    """Number of all texts, and in how many of them each term stands."""
+def document_frequencies(docs: DataFrame, terms: list[str], text_column: str) -> tuple[int, np.ndarray]:
+    """Number of all texts, and in how many of them each term stands. A task counts all its texts before it sends them."""
+    shared = shipped(docs.sparkSession, Vocabulary(terms))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(terms)
+        known = shared()
+        held = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            held = Counter({-1: batch.num_rows})
             for text in batch.column(0).to_pylist():
-                held.update(counter.count(text).keys())
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
+                held[[known[w] for w in known.keys() & words_of(text)]] += 1
+            held[-1] += batch.num_rows
+        seen = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen])], ["term", "n"])
 
-    rows = docs.select(text_column).mapInArrow(emit, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term
-    counts = {row["term"]: row["n"] for row in rows}
-    return counts.pop(-1, 0), counts
+    rows = docs.select(text_column).mapInArrow(emit, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    counts = np.zeros(len(terms) + 1, np.int64)
+    counts[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    return int(counts[-1]), counts[:-1]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> dict[str, Any]:
-    """Terms, index and calibration. Labels come from about LABELLED_ROWS rows outside the held-out fold; frequencies from all texts."""
+    """Terms, indexes and calibration. Labels come from about LABELLED_ROWS rows outside the held-out fold; frequencies from all texts.
+
+    An id with several labels counts with the highest. Ids may be of any type that Spark can order.
+    """
     known = labels.where(~held_out(F.col(id_column)) & F.col(id_column).isNotNull() & F.col(label_column).isNotNull())
-    known = known.select(id_column, F.col(label_column).cast("int").alias("toxic")).dropDuplicates([id_column])
+    known = known.groupBy(id_column).agg(F.max(F.col(label_column).cast("int")).alias("toxic"))
     known = sampled(known, id_column, LABELLED_ROWS, "toxicity")
     texts = docs.select(id_column, F.col(text_column).alias("text"))
     sample = texts.join(F.broadcast(known), id_column).select(F.col(id_column).alias("doc_id"), "text", "toxic")  # LABELLED_ROWS bounds it
     sample = written(distinct_texts(sample), "toxicity-sample")
-    ratios = class_terms(sample)
-    terms = list(ratios)
+    terms, signs = class_terms(sample)
+    if not terms:
+        sums = sample.agg(F.count_if(F.col("toxic").isNotNull()).alias("texts"), F.sum("copies").alias("size"), F.sum(F.col("toxic") * F.col("copies")).alias("hits")).first()
+        none = ((sums["hits"] or 0) + 0.5) / ((sums["size"] or 0) + 1)
+        return {"terms": [], "voters": None, "steps": (np.array([1.0]), np.array([none])), "none": float(none)}
+    vocabulary = shipped(docs.sparkSession, Vocabulary(terms))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(terms)
+        known = vocabulary()
         for batch in batches:
-            counts = [counter.count(text) for text in batch.column(1).to_pylist()]
-            held = [pa.array([np.fromiter(part, np.int32, len(x)).tobytes() for x, part in zip(counts, parts, strict=True)], pa.binary()) for parts in (counts, [x.values() for x in counts])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *held, batch.column(2), batch.column(3)], ["doc_id", "terms", "times", "toxic", "copies"])
-
-    rows = sorted(sample.mapInArrow(vectors, "doc_id long, terms binary, times binary, toxic int, copies long").collect(), key=lambda r: (r["doc_id"], r["terms"], r["toxic"]))
-    counts = lambda row: dict(zip(*(np.frombuffer(row[c], np.int32).tolist() for c in ("terms", "times")), strict=True))
-    total, held = document_frequencies(docs, terms, text_column) if terms else (0, {})
-    idf = np.array([(np.log((1 + total) / (1 + held.get(i, 0))) + 1) * (1 + ratios[term]) for i, term in enumerate(terms)])
-    calibrates = [i % CALIBRATION_SHARE == 0 for i in range(len(rows))]
-    examples = [row for row, used in zip(rows, calibrates, strict=True) if row["terms"] and not used]
-    index = BlockMaxIndex([r["doc_id"] for r in examples], [r["toxic"] for r in examples], map(counts, examples), idf, [r["copies"] for r in examples])
-    checked = [i for i, used in enumerate(calibrates) if used]
-    votes = np.array([index.vote(counts(rows[i]))[0] for i in checked])
-    toxic = np.array([rows[i]["toxic"] for i in checked], np.float64)
-    copies = np.array([rows[i]["copies"] for i in checked], np.float64)
-    voted = votes >= 0
-    without = [r for r in rows if not r["terms"]]
-    hits = lambda some: sum(r["toxic"] * r["copies"] for r in some)
-    size = lambda some: sum(r["copies"] for r in some)
-    none = (hits(without) + (hits(rows) / size(rows) if terms else 0.5)) / (size(without) + 1)
-    steps = isotonic(votes[voted], toxic[voted], copies[voted]) if voted.any() else (np.array([1.0]), np.array([none]))
-    return {"terms": terms, "index": index, "steps": steps, "none": float(none)}
+            found = [known.vector(text) for text in batch.column(1).to_pylist()]
+            held = [pa.array([x[i].tobytes() for x in found], pa.binary()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *batch.columns[2:], pa.array([len(x) for x, _ in found], pa.int32()), *held], ["doc_id", "toxic", "copies", "calibrates", "size", "terms", "times"]
+            )
+
+    plain = F.xxhash64(F.lit("calibrates"), F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")))
+    chosen = sample.select("doc_id", "text", "toxic", "copies", (F.pmod(plain, F.lit(CALIBRATION_SHARE)) == 0).alias("calibrates"))
+    schema = T.StructType([chosen.schema["doc_id"], *T.StructType.fromDDL("toxic int, copies long, calibrates boolean, size int, terms binary, times binary")])
+    counted = written(chosen.mapInArrow(vectors, schema), "toxicity-vectors")
+    total, held = document_frequencies(docs, terms, text_column)
+    idf = np.log((1 + total) / (1 + held)) + 1
+    examples = counted.where("size > 0 and not calibrates").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending"), ("times", "ascending")])
+    voters = tuple(Voters(examples.filter(pa.array(examples["toxic"].to_numpy() == label)), idf, signs[label]) for label in (0, 1))
+    shared = shipped(docs.sparkSession, voters)
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voters = shared()
+        for batch in batches:
+            parts = [[np.frombuffer(x, np.int32) for x in batch.column(i).to_pylist()] for i in (2, 3)]
+            votes = [vote(voters, *x)[0] for x in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), *batch.columns[:2]], ["vote", "toxic", "copies"])
+
+    checked = counted.where("calibrates").select("toxic", "copies", "terms", "times").mapInArrow(voted, "vote double, toxic int, copies long").toArrow()
+    votes, toxic, copies = (checked[c].to_numpy().astype(np.float64) for c in ("vote", "toxic", "copies"))
+    near = votes >= 0
+    size, hits, bare, bare_hits = counted.agg(
+        F.sum("copies"), F.sum(F.col("toxic") * F.col("copies")), *(F.coalesce(F.sum(F.when(F.col("size") == 0, x)), F.lit(0)) for x in (F.col("copies"), F.col("toxic") * F.col("copies")))
+    ).first()
+    none = (bare_hits + hits / size) / (bare + 1)
+    steps = isotonic(votes[near], toxic[near], copies[near]) if near.any() else (np.array([1.0]), np.array([none]))
+    return {"terms": terms, "voters": voters, "steps": steps, "none": float(none)}
 
 
 def score(docs: DataFrame, trained: dict[str, Any], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The id, `score`, `neighbours` and `cosines` (the evidence) of each whole text.
+    """The id, `score`, `neighbours` (ids) and `cosines` (the evidence) of each whole text.
 
     Null and empty texts, and texts without a known term, have no neighbours; they get the toxic share of such labelled texts, counted together with one more of the share of all. Rows with equal
     or null ids are each scored. Without labels of both classes there are no terms, and every score is 0.5 or that share. Only the two columns are read.
@@ -286,24 +300,27 @@ def score(docs: DataFrame, trained: dict[str, Any], id_column: str = "doc_id", t
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
-        counter, (values, shares) = TermCounter(model["terms"]), model["steps"]
+        words, voters, (values, shares) = Vocabulary(model["terms"]), model["voters"], model["steps"]
         known: dict[bytes, tuple] = {}
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
                 key = xxhash.xxh3_128_digest(text or "")
                 if key not in known:
-                    vote, ids, cosines = model["index"].vote(counter.count(text))
-                    chance = model["none"] if vote < 0 else float(shares[min(np.searchsorted(values, vote), len(shares) - 1)])
+                    share, found = vote(voters, *words.vector(text)) if voters else (-1.0, [])
+                    chance = model["none"] if share < 0 else float(shares[min(np.searchsorted(values, share), len(shares) - 1)])
                     if len(known) >= SCORED:
                         known.clear()
-                    known[key] = (chance, ids, cosines)
+                    known[key] = (chance, [voters[label].ids[n].as_py() for _, label, n in found], [cosine for cosine, _, _ in found])
                 out.append(known[key])
             chances, ids, cosines = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(chances, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))],
+                [batch.column(0), pa.array(chances, pa.float64()), pa.array(ids, pa.list_(own)), pa.array(cosines, pa.list_(pa.float64()))],
                 [id_column, "score", "neighbours", "cosines"],
             )
 
-    added = [T.StructField("score", T.DoubleType()), T.StructField("neighbours", T.ArrayType(T.LongType())), T.StructField("cosines", T.ArrayType(T.DoubleType()))]
+    given = trained["voters"][0].ids.type if trained["voters"] else None
+    learned = T.ArrayType(from_arrow_type(given) if given is not None else rows.schema[0].dataType)
+    own = given if given is not None else to_arrow_type(rows.schema[0].dataType)
+    added = [T.StructField("score", T.DoubleType()), T.StructField("neighbours", learned), T.StructField("cosines", T.ArrayType(T.DoubleType()))]
     return rows.mapInArrow(predict, T.StructType([rows.schema[0], *added]))
