@@ -75,6 +75,7 @@ class BlockMaxIndex:
         numbers = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         weights = (1 + np.log(self.times)) * self.idf[self.terms] if len(self.terms) else np.zeros(0)
         norms = np.sqrt(np.bincount(numbers, weights**2, len(self.sizes)))
+        self.asked = np.zeros(len(self.idf), bool)
         self.offsets = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         order = np.argsort(self.terms, kind="stable")
         terms, self.numbers = self.terms[order].astype(np.int64), numbers[order]
@@ -134,8 +135,10 @@ class BlockMaxIndex:
         """For each of these examples, the largest of `signs` among the terms it shares with the text."""
         lengths = self.sizes[numbers].astype(np.int64)
         own = self.terms[ranges(self.offsets[numbers], lengths)]
-        at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
-        return np.maximum.reduceat(np.where(terms[at] == own, signs[own], 0.0), np.cumsum(lengths) - lengths)
+        self.asked[terms] = True
+        found = np.maximum.reduceat(signs[own] * self.asked[own], np.cumsum(lengths) - lengths)
+        self.asked[terms] = False
+        return found
 
 
 class Voters:
