@@ -36,12 +36,19 @@ def sampled(rows: DataFrame, id_column: str, bound: int, salt: str) -> DataFrame
     return rows.where(point < int(share * SAMPLE_SCALE))
 
 
-def shipped(spark: SparkSession, thing: Any) -> Callable[[], Any]:
-    """A broadcast of something that holds this package's classes; tasks call the result and need no installed copy of them."""
+def shipped(spark: SparkSession, thing: Any, keep: bool = False) -> Callable[[], Any]:
+    """A broadcast of something that holds this package's classes; tasks call the result and need no installed copy of them.
+
+    With `keep`, a Python worker's next tasks get the same object, with what the last one has added to it, as long as it has the broadcast.
+    """
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
     held: list[Any] = []
 
     def unpack() -> Any:
+        if keep:  # the worker keeps its broadcasts between tasks
+            if not hasattr(packed, "unpacked"):
+                packed.unpacked = pickle.loads(packed.value)
+            return packed.unpacked
         if not held:
             held.append(pickle.loads(packed.value))
         return held[0]

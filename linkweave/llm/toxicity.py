@@ -1,9 +1,9 @@
 """Toxicity by nearest labelled examples: exact cosine of whole TF-IDF vectors over block-max inverted indexes, distance-weighted votes.
 
 Terms are all words that MIN_TEXTS labelled texts hold, whatever their number and class; document frequencies are counted over all
-texts, and weights know no labels. Each class has an index, which keeps a term's postings in blocks with their largest weight, so
-that a search scores only blocks that can still hold one of the nearest examples, and yet finds exactly these. The nearest of
-both classes vote. A vote weighs more the nearer the example is, and by the strongest sign of its own class (likelihood ratio of a
+texts, and weights know no labels. Each class has an index: rare terms have postings, frequent ones blocks of like examples with
+each term's largest weight, so that a search scores only blocks that can still hold one of the nearest examples, and yet finds
+exactly these. Texts are searched a batch at a time, one matrix product a block. The nearest of both classes vote. A vote weighs more the nearer the example is, and by the strongest sign of its own class (likelihood ratio of a
 word's counts in the classes) among the words it shares with the text. The share of toxic votes is calibrated on other labelled texts.
 """
 
@@ -16,13 +16,14 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
-from linkweave.llm.common import held_out, sampled, shipped
+from linkweave.llm.common import chunks, held_out, sampled, shipped
 from linkweave.session import written
 
 LABELLED_ROWS = 20_000  # labelled texts that terms, examples and calibration are fitted on
@@ -30,9 +31,13 @@ MIN_TEXTS = 5
 NEIGHBOURS = 15  # of each class
 BLOCK = 64
 FIRST_BLOCKS = 4  # scored first, for a bound on the others
+CELLS = 2  # of the blocks' matrices for each posting: how many of the most frequent terms go to blocks
+CLUSTERS = 32  # whose examples stand next to each other in blocks
+SEARCHED = 256  # texts searched together
 CALIBRATION_SHARE = 4  # one of so many labelled texts calibrates, the others are examples
 SCORED = 20_000  # texts whose scores a task remembers for their copies
 WORDS = re.compile(r"[^\W\d_]+")
+LETTERS = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz" or b >= 128 else 32 for b in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -40,19 +45,36 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
-class Vocabulary(dict):
+class Vocabulary:
     """Numbers of the known words."""
 
     def __init__(self, terms: list[str]):
-        super().__init__(zip(terms, range(len(terms)), strict=True))
+        self.terms = pa.array(terms, pa.large_string())
+
+    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many known words each text has; one text after another, the numbers of these, rising, and how often each stands in it.
+
+        The words are those of `words_of`; what lies between other ASCII characters needs its pattern only if it is no known word.
+        """
+        plain = pa.array([(text or "").lower().encode().translate(LETTERS) for text in texts], pa.large_string())
+        tokens = pc.ascii_split_whitespace(plain)
+        owners, words = pc.list_parent_indices(tokens).to_numpy(), pc.list_flatten(tokens)
+        numbers = self._numbers(words)
+        other = np.flatnonzero((numbers < 0) & ~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))
+        parts = [WORDS.findall(word) for word in words.take(pa.array(other)).to_pylist()]
+        owners = np.concatenate([owners, np.repeat(owners[other], [len(x) for x in parts])])
+        numbers = np.concatenate([numbers, self._numbers(pa.array([word for x in parts for word in x], pa.large_string()))])
+        known = numbers >= 0
+        keys, times = np.unique(owners[known] * (len(self.terms) + 1) + numbers[known], return_counts=True)
+        owners, terms = np.divmod(keys, len(self.terms) + 1)
+        return np.bincount(owners, minlength=len(texts)).astype(np.int32), terms.astype(np.int32), times.astype(np.int32)
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        return pc.index_in(words, self.terms).fill_null(-1).to_numpy().astype(np.int64)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of a text's known words, rising, and how often each stands in it."""
-        held = Counter(filter(self.__contains__, words_of(text)))
-        terms = np.fromiter(map(self.__getitem__, held), np.int32, len(held))
-        times = np.fromiter(held.values(), np.int32, len(held))
-        order = np.argsort(terms)
-        return terms[order], times[order]
+        """Those of one text."""
+        return self.vectors([text])[1:]
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -60,85 +82,150 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
+def alike(rows: np.ndarray) -> np.ndarray:
+    """An order of the rows that puts like ones together: a few rounds of spherical k-means, then by length."""
+    centres = rows[np.linspace(0, len(rows) - 1, min(CLUSTERS, len(rows))).astype(np.int64)]
+    for _ in range(5):
+        own = (rows @ centres.T).argmax(1)
+        for i in range(len(centres)):
+            total = rows[own == i].sum(0)
+            centres[i] = total / max(np.linalg.norm(total), 1e-9)
+    return np.lexsort((np.linalg.norm(rows, axis=1), own))
+
+
 class BlockMaxIndex:
     """Unit TF-IDF vectors of examples, in the order given: `sizes` of their vectors, all `terms` and `times` one after another."""
 
     def __init__(self, sizes: np.ndarray, terms: np.ndarray, times: np.ndarray, idf: np.ndarray):
         self.sizes, self.terms, self.times, self.idf = sizes, terms, times, idf
-        self.numbers: np.ndarray | None = None  # postings are made where the first search runs
+        self.weights: np.ndarray | None = None  # weights, postings and blocks are made where the first search runs
 
     def __getstate__(self) -> dict[str, Any]:
-        """Counts alone go to the tasks, which make the postings again."""
-        return {"sizes": self.sizes, "terms": self.terms, "times": self.times, "idf": self.idf, "numbers": None}
+        """Counts alone go to the tasks, which make the rest again."""
+        return {"sizes": self.sizes, "terms": self.terms, "times": self.times, "idf": self.idf, "weights": None}
 
     def _build(self) -> None:
-        numbers = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        size, known = len(self.sizes), len(self.idf)
+        numbers = np.repeat(np.arange(size, dtype=np.int32), self.sizes)
         weights = (1 + np.log(self.times)) * self.idf[self.terms] if len(self.terms) else np.zeros(0)
-        norms = np.sqrt(np.bincount(numbers, weights**2, len(self.sizes)))
-        self.asked = np.zeros(len(self.idf), bool)
+        norms = np.sqrt(np.bincount(numbers, weights**2, size))
+        self.weights = weights / np.maximum(norms, 1e-12)[numbers]
         self.offsets = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-        order = np.argsort(self.terms, kind="stable")
-        terms, self.numbers = self.terms[order].astype(np.int64), numbers[order]
-        self.weights = weights = (weights / np.maximum(norms, 1e-12)[numbers])[order]
-        self.blocks = -(-len(self.sizes) // BLOCK)
-        # a segment holds a term's postings of one block
-        own = terms * max(1, self.blocks) + self.numbers // BLOCK
-        self.starts = np.flatnonzero(np.diff(own, prepend=-1))
-        self.lengths = np.diff(np.append(self.starts, len(own)))
-        self.block_of = (self.numbers[self.starts] // BLOCK).astype(np.int64)
-        self.maxima = np.maximum.reduceat(weights, self.starts) if len(own) else weights
-        self.first = np.searchsorted(terms[self.starts], np.arange(len(self.idf) + 1))  # segment of each term
+        self.asked = np.zeros(known)
+        # the most frequent terms: a dense matrix in blocks
+        held = np.bincount(self.terms, minlength=known)
+        frequent = np.argsort(-held, kind="stable")[: -(-CELLS * len(self.terms) // max(1, size))]
+        self.column = np.full(known, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        column = self.column[self.terms]
+        dense = np.zeros((size, len(frequent)), np.float32)
+        seen = column >= 0
+        dense[numbers[seen], column[seen]] = self.weights[seen]
+        self.order = alike(dense) if size else np.zeros(0, np.int64)
+        self.blocks = np.zeros((-(-size // BLOCK), BLOCK, len(frequent)), np.float32)
+        self.blocks.reshape(-1, len(frequent))[:size] = dense[self.order]
+        self.maxima = self.blocks.max(1)
+        # the others: postings by term
+        place = np.empty(size, np.int64)
+        place[self.order] = np.arange(size)
+        terms = self.terms[~seen]
+        order = np.argsort(terms, kind="stable")
+        self.places, self.rare = place[numbers[~seen][order]], self.weights[~seen][order].astype(np.float32)
+        self.first = np.searchsorted(terms[order], np.arange(known + 1))
+        # twice what sums of so many products of single precision can be off, as both vectors have length 1
+        self.slack = 2 * (len(frequent) + 8) * 2.0**-24 + 1e-8
 
     def weighted(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Weights of a text's unit vector."""
         weights = (1 + np.log(times)) * self.idf[terms] if len(terms) else np.zeros(0)
         return weights / max(np.linalg.norm(weights), 1e-12)
 
-    def _scores(self, segments: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the examples in the segments."""
-        lengths = self.lengths[segments]
-        at = ranges(self.starts[segments], lengths)
-        cosines = np.bincount(self.numbers[at], np.repeat(weights, lengths) * self.weights[at], len(self.sizes))
-        found = np.flatnonzero(cosines)
-        return found, np.round(cosines[found], 9)
+    def _terms(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+        """All terms of these examples, where each example's begin, and their places."""
+        starts, sizes = self.offsets[numbers], self.sizes[numbers]
+        parts = [slice(start, end) for start, end in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
+        return np.concatenate([self.terms[part] for part in parts]).astype(np.int64), np.cumsum(sizes) - sizes, parts
+
+    def _asked(self, own: np.ndarray, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """For each of `own`, a text's value of that term, 0 if the text lacks it."""
+        self.asked[terms] = values
+        found = self.asked[own]
+        self.asked[terms] = 0
+        return found
+
+    def _score(self, scores: np.ndarray, asked: np.ndarray, wanted: np.ndarray) -> None:
+        """Adds the frequent terms' part to the (text, block) pairs that are wanted."""
+        for block in np.flatnonzero(wanted.any(0)):
+            rows = np.flatnonzero(wanted[:, block])
+            scores[rows, block] += asked[rows] @ self.blocks[block].T
 
     def nearest(self, terms: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples that share a term, nearest first; ties to the smaller number.
+        """Those of one text, as `search` has them."""
+        return self.search(np.array([len(terms)]), terms, times, k)[0][:2]
+
+    def search(self, sizes: np.ndarray, terms: np.ndarray, times: np.ndarray, k: int, signs: np.ndarray | None = None) -> list[tuple[np.ndarray, ...]]:
+        """For each text, numbers and cosines of the k nearest examples that share a term, nearest first; ties to the smaller number.
 
-        The blocks with the highest bounds give a first k-th cosine; then every block whose bound reaches it is scored.
+        With `signs`, also what `strongest` finds for each of them.
+
+        Postings give every example the rare terms' part of its cosine. A block's bound is the largest of these and its maxima's
+        part. The blocks with the highest bounds give a first k-th cosine; then every block whose bound reaches it is scored, in single
+        precision. Whatever may be among the k by the error of that gets its cosine again in double precision.
         """
-        if self.numbers is None:
+        if self.weights is None:
             self._build()
-        weights = self.weighted(terms, times)
-        held = self.first[terms + 1] - self.first[terms]
-        segments, weights = ranges(self.first[terms], held), np.repeat(weights, held)
-        if not len(segments):
-            return np.zeros(0, np.int64), np.zeros(0)
-        block_of = self.block_of[segments]
-        bound = np.bincount(block_of, weights * self.maxima[segments], self.blocks)
-        wanted = np.zeros(self.blocks, bool)
-        wanted[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        hit = wanted[block_of]
-        numbers, cosines = self._scores(segments[hit], weights[hit])
-        least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
-        more = (bound >= least - 1e-8) & (bound > 0)
-        if (more & ~wanted).any():
-            hit = (more | wanted)[block_of]
-            numbers, cosines = self._scores(segments[hit], weights[hit])
-        if len(cosines) > k:
-            near = cosines >= np.partition(cosines, -k)[-k]
-            numbers, cosines = numbers[near], cosines[near]
-        order = np.lexsort((numbers, -cosines))[:k]
-        return numbers[order], cosines[order]
+        texts, nothing = len(sizes), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        if not len(self.sizes):
+            return [nothing] * texts
+        owner, ends = np.repeat(np.arange(texts), sizes), np.cumsum(sizes)
+        weights = (1 + np.log(times)) * self.idf[terms]
+        weights /= np.sqrt(np.bincount(owner, weights**2, texts))[owner]
+        blocks, _, columns = self.blocks.shape
+        scores = np.empty((texts, blocks, BLOCK), np.float32)
+        flat = scores.reshape(texts, -1)
+        asked = np.zeros((texts, columns), np.float32)
+        column = self.column[terms]
+        seen = column >= 0
+        asked[owner[seen], column[seen]] = weights[seen]
+        rare, rare_weights = terms[~seen], weights[~seen]
+        starts = self.first[rare]
+        lengths = self.first[rare + 1] - starts
+        rare_ends = np.cumsum(np.bincount(owner[~seen], minlength=texts))
+        for i, (start, end) in enumerate(zip([0, *rare_ends[:-1]], rare_ends, strict=True)):
+            part = slice(start, end)
+            at = ranges(starts[part], lengths[part])
+            flat[i] = np.bincount(self.places.take(at), np.repeat(rare_weights[part], lengths[part]) * self.rare.take(at), blocks * BLOCK)
+        bound = scores.max(2) + asked @ self.maxima.T
+        first = np.argsort(-bound, axis=1)[:, :FIRST_BLOCKS]
+        wanted = np.zeros(bound.shape, bool)
+        np.put_along_axis(wanted, first, True, 1)
+        self._score(scores, asked, wanted)
+        least = np.take_along_axis(scores, first[:, :, None], 1).reshape(texts, -1)
+        least = np.partition(least, -k, 1)[:, -k] - self.slack if least.shape[1] >= k else np.zeros(texts)
+        self._score(scores, asked, (bound >= least[:, None]) & ~wanted)
+        near = (flat >= least[:, None]) & (flat > 0)
+        found = []
+        for i, end in enumerate(ends):
+            places = np.flatnonzero(near[i])
+            if len(places) > k:
+                likely = flat[i, places]
+                places = places[likely >= np.partition(likely, -k)[-k] - self.slack]
+            if not len(places):
+                found.append(nothing)
+                continue
+            numbers, held = self.order[places], slice(end - sizes[i], end)
+            own, begins, parts = self._terms(numbers)
+            products = self._asked(own, terms[held], weights[held]) * np.concatenate([self.weights[part] for part in parts])
+            cosines = np.round(np.add.reduceat(products, begins), 9)
+            order = np.lexsort((numbers, -cosines))[:k]
+            strong = cosines if signs is None else np.maximum.reduceat(self._asked(own, terms[held], signs[terms[held]]), begins)
+            found.append((numbers[order], cosines[order], strong[order]))
+        return found
 
     def strongest(self, numbers: np.ndarray, terms: np.ndarray, signs: np.ndarray) -> np.ndarray:
         """For each of these examples, the largest of `signs` among the terms it shares with the text."""
-        lengths = self.sizes[numbers].astype(np.int64)
-        own = self.terms[ranges(self.offsets[numbers], lengths)]
-        self.asked[terms] = True
-        found = np.maximum.reduceat(signs[own] * self.asked[own], np.cumsum(lengths) - lengths)
-        self.asked[terms] = False
-        return found
+        own, begins, _ = self._terms(numbers)
+        return np.maximum.reduceat(self._asked(own, terms, signs[terms]), begins)
 
 
 class Voters:
@@ -151,21 +238,27 @@ class Voters:
         self.index = BlockMaxIndex(examples["size"].to_numpy().astype(np.int32), terms, times, idf)
         self.signs = signs
 
-    def votes(self, terms: np.ndarray, times: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
-        """The weight of all votes, and (cosine, number) of each neighbour."""
-        numbers, cosines = self.index.nearest(terms, times, NEIGHBOURS)
-        if not len(numbers):
-            return 0.0, []
-        signs = self.index.strongest(numbers, terms, self.signs)
-        weight = float((self.copies[numbers] * (1 + signs) / (1.05 - cosines)).sum())
-        return weight, list(zip(cosines.tolist(), numbers.tolist(), strict=True))
+    def votes(self, sizes: np.ndarray, terms: np.ndarray, times: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each text the weight of all votes, and numbers and cosines of the neighbours."""
+        near = self.index.search(sizes, terms, times, NEIGHBOURS, self.signs)
+        return [(float((self.copies[numbers] * (1 + signs) / (1.05 - cosines)).sum()), numbers, cosines) for numbers, cosines, signs in near]
+
+
+def votes(voters: tuple[Voters, Voters], sizes: np.ndarray, terms: np.ndarray, times: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each text the toxic share of the votes (-1 without a neighbour), and the neighbours, nearest first: their places among the ids of both classes, and cosines."""
+    found = []
+    for sides in zip(*(side.votes(sizes, terms, times) for side in voters), strict=True):
+        weights, numbers, cosines = zip(*sides, strict=True)
+        label = np.repeat([0, 1], [len(x) for x in numbers])
+        number, cosine = np.concatenate(numbers), np.concatenate(cosines)
+        order = np.lexsort((number, -label, -cosine))
+        found.append((weights[1] / sum(weights) if len(order) else -1.0, (number + label * len(voters[0].ids))[order], cosine[order]))
+    return found
 
 
-def vote(voters: tuple[Voters, Voters], terms: np.ndarray, times: np.ndarray) -> tuple[float, list[tuple[float, int, int]]]:
-    """The toxic share of the votes (-1 without a neighbour), and (cosine, class, number) of the neighbours, nearest first."""
-    weights, near = zip(*(side.votes(terms, times) for side in voters), strict=True)
-    found = sorted(((c, label, n) for label, some in enumerate(near) for c, n in some), key=lambda x: (-x[0], -x[1], x[2]))
-    return (weights[1] / sum(weights) if found else -1.0), found
+def vote(voters: tuple[Voters, Voters], terms: np.ndarray, times: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Those of one text."""
+    return votes(voters, np.array([len(terms)]), terms, times)[0]
 
 
 def isotonic(values: np.ndarray, labels: np.ndarray, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -219,15 +312,16 @@ def class_terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def document_frequencies(docs: DataFrame, terms: list[str], text_column: str) -> tuple[int, np.ndarray]:
     """Number of all texts, and in how many of them each term stands. A task counts all its texts before it sends them."""
-    shared = shipped(docs.sparkSession, Vocabulary(terms))
+    shared = shipped(docs.sparkSession, Vocabulary(terms), keep=True)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared()
-        held = np.zeros(len(known) + 1, np.int64)
+        held = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held[[known[w] for w in known.keys() & words_of(text)]] += 1
-            held[-1] += batch.num_rows
+            texts = [text or "" for text in batch.column(0).to_pylist()]
+            for start, end in chunks(texts):
+                held[:-1] += np.bincount(known.vectors(texts[start:end])[1], minlength=len(terms))
+            held[-1] += len(texts)
         seen = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen])], ["term", "n"])
 
@@ -253,16 +347,17 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         sums = sample.agg(F.count_if(F.col("toxic").isNotNull()).alias("texts"), F.sum("copies").alias("size"), F.sum(F.col("toxic") * F.col("copies")).alias("hits")).first()
         none = ((sums["hits"] or 0) + 0.5) / ((sums["size"] or 0) + 1)
         return {"terms": [], "voters": None, "steps": (np.array([1.0]), np.array([none])), "none": float(none)}
-    vocabulary = shipped(docs.sparkSession, Vocabulary(terms))
+    vocabulary = shipped(docs.sparkSession, Vocabulary(terms), keep=True)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary()
         for batch in batches:
-            found = [known.vector(text) for text in batch.column(1).to_pylist()]
-            held = [pa.array([x[i].tobytes() for x in found], pa.binary()) for i in range(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *batch.columns[2:], pa.array([len(x) for x, _ in found], pa.int32()), *held], ["doc_id", "toxic", "copies", "calibrates", "size", "terms", "times"]
-            )
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for start, end in chunks(texts):
+                part = batch.slice(start, end - start)
+                sizes, *found = known.vectors(texts[start:end])
+                held = [pa.array([x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])], pa.binary()) for values in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(sizes), *held], ["doc_id", "toxic", "copies", "calibrates", "size", "terms", "times"])
 
     plain = F.xxhash64(F.lit("calibrates"), F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")))
     chosen = sample.select("doc_id", "text", "toxic", "copies", (F.pmod(plain, F.lit(CALIBRATION_SHARE)) == 0).alias("calibrates"))
@@ -272,23 +367,26 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     idf = np.log((1 + total) / (1 + held)) + 1
     examples = counted.where("size > 0 and not calibrates").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending"), ("times", "ascending")])
     voters = tuple(Voters(examples.filter(pa.array(examples["toxic"].to_numpy() == label)), idf, signs[label]) for label in (0, 1))
-    shared = shipped(docs.sparkSession, voters)
+    shared = shipped(docs.sparkSession, voters, keep=True)
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = shared()
         for batch in batches:
-            parts = [[np.frombuffer(x, np.int32) for x in batch.column(i).to_pylist()] for i in (2, 3)]
-            votes = [vote(voters, *x)[0] for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), *batch.columns[:2]], ["vote", "toxic", "copies"])
+            for start in range(0, batch.num_rows, SEARCHED):
+                part = batch.slice(start, SEARCHED)
+                terms, times = (part.column(i).to_pylist() for i in (2, 3))
+                sizes = np.array([len(x) // 4 for x in terms])
+                shares = [x[0] for x in votes(voters, sizes, *(np.frombuffer(b"".join(x), np.int32) for x in (terms, times)))]
+                yield pa.RecordBatch.from_arrays([pa.array(shares, pa.float64()), *part.columns[:2]], ["vote", "toxic", "copies"])
 
     checked = counted.where("calibrates").select("toxic", "copies", "terms", "times").mapInArrow(voted, "vote double, toxic int, copies long").toArrow()
-    votes, toxic, copies = (checked[c].to_numpy().astype(np.float64) for c in ("vote", "toxic", "copies"))
-    near = votes >= 0
+    shares, toxic, copies = (checked[c].to_numpy().astype(np.float64) for c in ("vote", "toxic", "copies"))
+    near = shares >= 0
     size, hits, bare, bare_hits = counted.agg(
         F.sum("copies"), F.sum(F.col("toxic") * F.col("copies")), *(F.coalesce(F.sum(F.when(F.col("size") == 0, x)), F.lit(0)) for x in (F.col("copies"), F.col("toxic") * F.col("copies")))
     ).first()
     none = (bare_hits + hits / size) / (bare + 1)
-    steps = isotonic(votes[near], toxic[near], copies[near]) if near.any() else (np.array([1.0]), np.array([none]))
+    steps = isotonic(shares[near], toxic[near], copies[near]) if near.any() else (np.array([1.0]), np.array([none]))
     return {"terms": terms, "voters": voters, "steps": steps, "none": float(none)}
 
 
@@ -298,29 +396,38 @@ def score(docs: DataFrame, trained: dict[str, Any], id_column: str = "doc_id", t
     Null and empty texts, and texts without a known term, have no neighbours; they get the toxic share of such labelled texts, counted together with one more of the share of all. Rows with equal
     or null ids are each scored. Without labels of both classes there are no terms, and every score is 0.5 or that share. Only the two columns are read.
     """
-    shared = shipped(docs.sparkSession, trained)  # the bound on labelled rows bounds it
+    model = {**trained, "words": Vocabulary(trained["terms"]), "terms": None}
+    shared = shipped(docs.sparkSession, model, keep=True)  # the bound on labelled rows bounds it
     rows = docs.select(id_column, text_column)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
-        words, voters, (values, shares) = Vocabulary(model["terms"]), model["voters"], model["steps"]
+        words, voters, (values, shares) = model["words"], model["voters"], model["steps"]
+        examples = pa.concat_arrays([side.ids for side in voters]) if voters else pa.array([], own)
+        nothing = -1.0, np.zeros(0, np.int64), np.zeros(0)
         known: dict[bytes, tuple] = {}
+
+        def learn(texts: dict[bytes, str]) -> None:
+            found = votes(voters, *words.vectors(list(texts.values()))) if voters else [nothing] * len(texts)
+            for key, (share, numbers, cosines) in zip(texts, found, strict=True):
+                chance = model["none"] if share < 0 else float(shares[min(np.searchsorted(values, share), len(shares) - 1)])
+                known[key] = chance, numbers, cosines
+
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                key = xxhash.xxh3_128_digest(text or "")
-                if key not in known:
-                    share, found = vote(voters, *words.vector(text)) if voters else (-1.0, [])
-                    chance = model["none"] if share < 0 else float(shares[min(np.searchsorted(values, share), len(shares) - 1)])
+            for part in (batch.slice(i, SEARCHED) for i in range(0, batch.num_rows, SEARCHED)):
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                for start, end in chunks(texts):
+                    keys = [xxhash.xxh3_128_digest(text) for text in texts[start:end]]
                     if len(known) >= SCORED:
                         known.clear()
-                    known[key] = (chance, [voters[label].ids[n].as_py() for _, label, n in found], [cosine for cosine, _, _ in found])
-                out.append(known[key])
-            chances, ids, cosines = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(chances, pa.float64()), pa.array(ids, pa.list_(own)), pa.array(cosines, pa.list_(pa.float64()))],
-                [id_column, "score", "neighbours", "cosines"],
-            )
+                    learn({key: text for key, text in zip(keys, texts[start:end], strict=True) if key not in known})
+                    chances, numbers, cosines = zip(*map(known.__getitem__, keys), strict=True)
+                    ends = pa.array(np.cumsum([0, *map(len, numbers)]), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).slice(start, end - start), pa.array(chances, pa.float64()),
+                         pa.ListArray.from_arrays(ends, examples.take(pa.array(np.concatenate(numbers)))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(cosines)))],
+                        [id_column, "score", "neighbours", "cosines"],
+                    )
 
     given = trained["voters"][0].ids.type if trained["voters"] else None
     learned = T.ArrayType(from_arrow_type(given) if given is not None else rows.schema[0].dataType)

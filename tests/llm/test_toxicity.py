@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -143,3 +144,48 @@ def test_only_equal_texts_are_one(spark):
     one = examples.set_column(1, "copies", pa.array([1]))
     sides = toxicity.Voters(one, np.ones(1), np.zeros(1)), toxicity.Voters(examples, np.ones(1), np.zeros(1))
     assert toxicity.vote(sides, np.array([0]), np.array([1]))[0] == pytest.approx(0.75)
+
+
+def test_batches_of_texts_are_searched_together():
+    """Each text finds what it finds alone and by brute force, in less time than a pass over its terms' postings takes, text by text."""
+    rng = np.random.default_rng(8)
+    held = lambda: {int(t): int(rng.integers(1, 4)) for t in np.minimum(rng.zipf(1.3, 400), 20_000) + 5_000 * rng.integers(0, 2) - 1}
+    counts = [held() for _ in range(6000)]
+    index = made_index(counts, rng.uniform(1, 5, 25_000))
+    asked = counts[:40] + [{}] + [held() for _ in range(215)]
+    sizes = np.array([len(c) for c in asked])
+    terms, times = (np.array(x, np.int32) for x in zip(*((t, c[t]) for c in asked for t in sorted(c)), strict=True))
+    texts = list(zip(np.split(terms, np.cumsum(sizes)[:-1]), np.split(times, np.cumsum(sizes)[:-1]), strict=True))
+    index.nearest(*texts[0], 15)
+    began = time.perf_counter()
+    found = index.search(sizes, terms, times, 15)
+    took = time.perf_counter() - began
+    postings = {t: [] for t in range(25_000)}
+    for n, c in enumerate(counts):
+        weights = index.weighted(np.array(sorted(c)), np.array([c[t] for t in sorted(c)]))
+        for t, w in zip(sorted(c), weights, strict=True):
+            postings[t].append((n, w))
+    postings = {t: tuple(np.array(x) for x in zip(*p, strict=True)) for t, p in postings.items() if p}
+    began = time.perf_counter()
+    brute = []
+    for own_terms, own_times in texts:
+        parts = [(*postings[t], w) for t, w in zip(own_terms.tolist(), index.weighted(own_terms, own_times), strict=True) if t in postings]
+        at, values = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in ([p[0] for p in parts], [p[1] * p[2] for p in parts]))
+        brute.append(np.round(np.bincount(at, values, len(counts)), 9))
+    literal = time.perf_counter() - began
+    for text, (numbers, cosines, _), all_cosines in zip(texts, found, brute, strict=True):
+        alone = index.nearest(*text, 15)
+        assert alone[0].tolist() == numbers.tolist() and alone[1].tolist() == cosines.tolist()
+        assert np.allclose(cosines, np.sort(all_cosines[all_cosines > 0])[::-1][:15], atol=2e-9)
+        assert np.allclose(all_cosines[numbers], cosines, atol=2e-9)
+    assert not len(found[40][0]) and found[0][0][0] == 0 and took < literal
+
+
+def test_vectors_hold_the_words():
+    texts = ["Bad, bad_good3GOOD", "“straße” Straßé—bad good½x", "ÉTÉ’s été bad", None, "", "İx ς Σ", "\U00010400 naïve bad日本good"]
+    terms = sorted({w for text in texts for w in toxicity.words_of(text)} - {"x"})
+    sizes, found, times = toxicity.Vocabulary(terms).vectors(texts)
+    ends = np.cumsum(sizes)
+    for text, end, size in zip(texts, ends, sizes, strict=True):
+        own = [w for w in toxicity.words_of(text) if w in terms]
+        assert [(terms[t], n) for t, n in zip(found[end - size : end], times[end - size : end], strict=True)] == sorted((w, own.count(w)) for w in set(own))
