@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.llm.common import chunks, held_out, sampled, shipped
+from linkweave.llm.common import chunks, held_out, shipped
 from linkweave.session import written
 
 ORDER = 4
 FACTOR = 1_000_003
 PRIMES = 2_147_483_647, 2_147_483_629  # a gram's key is its value modulo both, 62 bits that any long holds
-CALIBRATION_ROWS = 20_000
+SHARPNESS = 0.05, 0.1, 0.2, 0.4, 0.8, 1.6  # tried for the scores
+REJECTED = 1000  # one of so many texts of a language may exceed its bound
+STEPS = 2**14  # of a nat, to which bounds are rounded up
 WORDS = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 
@@ -222,43 +224,88 @@ class Identifier:
         return entropy, size
 
 
-def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> dict[str, Any]:
-    """Models and calibration from all rows with a language outside the held-out fold.
+def learns(id_column: str, lang_column: str) -> Column:
+    """True for rows with a language outside the held-out fold."""
+    return ~held_out(F.col(id_column)) & F.col(lang_column).isNotNull() & (F.col(lang_column) != UNKNOWN)
+
+
+def learned(docs: DataFrame, id_column: str, text_column: str, lang_column: str) -> dict[str, SortedModel]:
+    """Models of all learning texts."""
+    rows = docs.where(learns(id_column, lang_column)).select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
+    return models(written(gram_counts(rows), "language-grams"))
+
+
+def measured(rows: DataFrame, model: dict[str, SortedModel]) -> DataFrame:
+    """All columns but the last, the text; `_entropy`, nats per character under each language's model, by name; `_size`, characters (0: no letter or no model)."""
+    shared = shipped(rows.sparkSession, Identifier(model) if model else None)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        identifier = shared()
+        for batch in batches:
+            texts = [text or "" for text in batch.columns[-1].to_pylist()]
+            for start, end in chunks(texts):
+                entropy, size = identifier.cross_entropies(texts[start:end]) if identifier else (np.zeros((end - start, 0)), np.zeros(end - start))
+                ends = pa.array(np.arange(end - start + 1) * entropy.shape[1], pa.int32())
+                held = [column.slice(start, end - start) for column in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*held, pa.ListArray.from_arrays(ends, pa.array(entropy.ravel())), pa.array(size, pa.float64())], names)
+
+    added = [T.StructField("_entropy", T.ArrayType(T.DoubleType())), T.StructField("_size", T.DoubleType())]
+    names = [*rows.columns[:-1], "_entropy", "_size"]
+    return rows.mapInArrow(measure, T.StructType([*rows.schema[:-1], *added]))
+
+
+def entropies(batch: pa.RecordBatch, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The two columns of `measured`, the last ones of a batch: a row a text and a column a language; sizes."""
+    entropy, size = batch.columns[-2:]
+    return pc.list_flatten(entropy).to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(langs)), size.to_numpy()
+
 
-    Counts cover all of those texts. The sharpness of the scores and each language's rejection bound (the cross-entropy that one in
-    a thousand of its own texts exceeds) are fitted on about CALIBRATION_ROWS of them.
+def calibrated(seen: DataFrame, model: dict[str, SortedModel]) -> dict[str, Any]:
+    """The model with sharpness and bounds of all rows (language, or null where a row teaches nothing, and `measured`'s columns).
+
+    Tasks send sums for each language and step of cross-entropy, as many as there are steps, whatever the number of texts. The
+    sharpness is the one tried whose scores have the least mean log loss; a bound is the first step that no more than one of
+    REJECTED texts exceeds.
     """
-    learn = docs.where(~held_out(F.col(id_column)) & F.col(lang_column).isNotNull() & (F.col(lang_column) != UNKNOWN))
-    grams = written(gram_counts(learn.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))), "language-grams")
-    model = models(grams)
     if not model:
         return {"model": {}, "sharpness": 1.0, "bounds": {}}
-    identifier = Identifier(model)
-    shared = shipped(docs.sparkSession, identifier)
     langs = sorted(model)
+    losses = [f"loss{i}" for i in range(len(SHARPNESS))]
 
-    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {lang: i for i, lang in enumerate(langs)}
         for batch in batches:
-            own = np.array([langs.index(x) if x in langs else -1 for x in batch.column(0).to_pylist()])
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for start, end in chunks(texts):
-                entropy, size = shared().cross_entropies(texts[start:end])
-                use = (size > 0) & (own[start:end] >= 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[start:end][use]), pa.array(size[use]), pa.array(list(entropy[use]), pa.list_(pa.float64()))], ["own", "size", "entropy"]
-                )
-
-    sample = sampled(learn.select(id_column, text_column, lang_column), id_column, CALIBRATION_ROWS, "language")
-    seen = sample.select(lang_column, text_column).mapInArrow(margins, "own long, size double, entropy array<double>").toArrow()
-    own, size = seen["own"].to_numpy(), seen["size"].to_numpy()
-    entropy = pc.list_flatten(seen["entropy"]).to_numpy().reshape(len(own), len(langs))
-    bounds = {langs[i]: float(np.quantile(entropy[own == i, i], 0.999)) for i in np.unique(own)}
-    sharpness = 1.0
-    if len(own) and len(langs) > 1:
-        tried = [0.05, 0.1, 0.2, 0.4, 0.8, 1.6]
-        losses = [-np.mean(np.log(np.maximum(posterior(entropy, size, t)[np.arange(len(own)), own], 1e-9))) for t in tried]
-        sharpness = tried[int(np.argmin(losses))]
-    return {"model": model, "sharpness": sharpness, "bounds": bounds}
+            own = np.array([number.get(lang, -1) for lang in batch.column(0).to_pylist()], np.int64)
+            entropy, size = entropies(batch, langs)
+            use = (size > 0) & (own >= 0)
+            own, entropy, size, row = own[use], entropy[use], size[use], np.arange(use.sum())
+            steps = np.ceil(entropy[row, own] * STEPS).astype(np.int64)
+            keys, place = np.unique(steps * len(langs) + own, return_inverse=True)
+            lost = [-np.log(np.maximum(posterior(entropy, size, t)[row, own], 1e-9)) for t in SHARPNESS]
+            lost = [pa.array(np.bincount(place, x, len(keys)), pa.float64()) for x in lost]
+            yield pa.RecordBatch.from_arrays([pa.array(keys % len(langs)), pa.array(keys // len(langs)), pa.array(np.bincount(place, minlength=len(keys))), *lost], ["own", "step", "n", *losses])
+
+    schema = "own long, step long, n long, " + ", ".join(f"{x} double" for x in losses)
+    found = seen.mapInArrow(sums, schema).groupBy("own", "step").agg(*(F.sum(x).alias(x) for x in ["n", *losses])).toArrow()
+    found = found.sort_by([("own", "ascending"), ("step", "ascending")])
+    own, step, n = (found[x].to_numpy() for x in ("own", "step", "n"))
+    bounds = {}
+    for i in np.unique(own):
+        held = n[own == i]
+        beyond = held.sum() - np.cumsum(held)
+        bounds[langs[i]] = float(step[own == i][np.argmax(beyond * REJECTED <= held.sum())] / STEPS)
+    total = [float(found[x].to_numpy().sum()) for x in losses]
+    return {"model": model, "sharpness": SHARPNESS[int(np.argmin(total))] if len(own) and len(langs) > 1 else 1.0, "bounds": bounds}
+
+
+def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> dict[str, Any]:
+    """Models and calibration from all rows with a language outside the held-out fold.
+
+    Counts, the sharpness of the scores and each language's rejection bound (the cross-entropy that one in a thousand of its own texts
+    exceeds) cover all of those texts.
+    """
+    model = learned(docs, id_column, text_column, lang_column)
+    return calibrated(measured(docs.where(learns(id_column, lang_column)).select(lang_column, text_column), model), model)
 
 
 def posterior(entropy: np.ndarray, size: np.ndarray, sharpness: float) -> np.ndarray:
@@ -274,30 +321,38 @@ def identify(docs: DataFrame, trained: dict[str, Any], id_column: str = "doc_id"
     Null texts, texts without a letter and models without a language give `und`, score 0 and rejected. Ties go to the first
     language by name. `rejected` marks texts that fit their best language worse than its calibrated bound. Only the two named columns are read.
     """
-    identifier = Identifier(trained["model"]) if trained["model"] else None
-    shared = shipped(docs.sparkSession, (identifier, trained["sharpness"], trained["bounds"]))
-    rows = docs.select(id_column, text_column)
+    return decided(measured(docs.select(id_column, text_column), trained["model"]), trained)
+
+
+def train_and_identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """`identify` by what `train` learns from the same rows; each text is measured once for both."""
+    model = learned(docs, id_column, text_column, lang_column)
+    own = F.when(learns(id_column, lang_column), F.col(lang_column)).alias("_own")
+    seen = written(measured(docs.select(F.col(id_column).alias("_id"), own, F.col(text_column).alias("_text")), model), "language-entropies")
+    return decided(seen.select(F.col("_id").alias(id_column), "_entropy", "_size"), calibrated(seen.select("_own", "_entropy", "_size"), model))
+
+
+def decided(seen: DataFrame, trained: dict[str, Any]) -> DataFrame:
+    """`identify`'s columns from the id and `measured`'s columns."""
+    langs, sharpness, bounds = sorted(trained["model"]), trained["sharpness"], trained["bounds"]
+    name_of_id = seen.columns[0]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        identifier, sharpness, bounds = shared()
         for batch in batches:
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            for start, end in chunks(texts):
-                if identifier is None:
-                    size = np.zeros(end - start)
-                    names, score, least = [UNKNOWN] * len(size), size, size
-                else:
-                    entropy, size = identifier.cross_entropies(texts[start:end])
-                    best = entropy.argmin(1)
-                    least = entropy[np.arange(len(best)), best]
-                    names = [identifier.langs[i] if n else UNKNOWN for i, n in zip(best, size, strict=True)]
-                    score = np.where(size > 0, posterior(entropy, size, sharpness)[np.arange(len(best)), best], 0.0)
-                rejected = [not n or bool(e > bounds.get(name, np.inf)) for name, e, n in zip(names, least, size, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start), pa.array(names, pa.string()), pa.array(score, pa.float64()),
-                     pa.array(np.where(size > 0, least, np.nan), pa.float64(), from_pandas=True), pa.array(rejected, pa.bool_())],
-                    [id_column, "lang_pred", "score", "cross_entropy", "rejected"],
-                )
+            entropy, size = entropies(batch, langs)
+            if langs:
+                best = entropy.argmin(1)
+                least = entropy[np.arange(len(best)), best]
+                names = [langs[i] if n else UNKNOWN for i, n in zip(best, size, strict=True)]
+                score = np.where(size > 0, posterior(entropy, size, sharpness)[np.arange(len(best)), best], 0.0)
+            else:
+                names, score, least = [UNKNOWN] * len(size), size, size
+            rejected = [not n or bool(e > bounds.get(name, np.inf)) for name, e, n in zip(names, least, size, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()),
+                 pa.array(np.where(size > 0, least, np.nan), pa.float64(), from_pandas=True), pa.array(rejected, pa.bool_())],
+                [name_of_id, "lang_pred", "score", "cross_entropy", "rejected"],
+            )
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType())]
-    return rows.mapInArrow(predict, T.StructType([rows.schema[0], *added, T.StructField("rejected", T.BooleanType())]))
+    return seen.mapInArrow(predict, T.StructType([seen.schema[0], *added, T.StructField("rejected", T.BooleanType())]))

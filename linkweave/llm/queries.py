@@ -52,7 +52,7 @@ FROM marked GROUP BY doc_id
 
 def language_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return language_id.identify(docs, language_id.train(docs)).withColumn("held_out", held_out(F.col("doc_id")))
+    return language_id.train_and_identify(docs).withColumn("held_out", held_out(F.col("doc_id")))
 
 
 def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

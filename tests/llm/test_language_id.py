@@ -130,3 +130,33 @@ def test_edge_rows(spark, trained):
     nothing = train(docs.limit(0))
     assert {r["lang_pred"] for r in identify(docs, nothing).collect()} == {"und"} and identify(docs.limit(0), trained).count() == 0
     train(docs)  # nulls, empty texts and one text a language are no obstacle
+
+
+def test_calibration_covers_every_learning_text(spark, docs, monkeypatch):
+    """Sharpness and bounds follow from all learning texts, those far from the others too, however few rows a sample would hold."""
+    monkeypatch.setattr(language_id, "CALIBRATION_ROWS", 5, raising=False)
+    rows = docs.collect() + [(900 + i, "qx zw " * (i + 2) + "ka", "aa", "s", 0) for i in range(12)] + [(950, "ka to ri", "und", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    trained = train(docs)
+    identifier, langs = Identifier(trained["model"]), sorted(SYLLABLES)
+    learning = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 and r[2] in SYLLABLES]
+    entropy, size = identifier.cross_entropies([r[1] for r in learning])
+    own = np.array([langs.index(r[2]) for r in learning])
+    for i, lang in enumerate(langs):  # fewer than a thousand texts each: none may exceed the bound, the largest just meets it
+        assert 0 <= trained["bounds"][lang] - entropy[own == i, i].max() <= 1 / language_id.STEPS
+    losses = [-np.log(np.maximum(language_id.posterior(entropy, size, t)[np.arange(len(own)), own], 1e-9)).mean() for t in language_id.SHARPNESS]
+    assert trained["sharpness"] == language_id.SHARPNESS[int(np.argmin(losses))]
+
+
+def test_one_pass_gives_the_same(spark, docs):
+    for given in (docs, edge_documents(spark).withColumnRenamed("n_chars", "score"), docs.limit(0)):
+        both = [sorted(map(repr, found.collect())) for found in (identify(given, train(given)), language_id.train_and_identify(given))]
+        assert both[0] == both[1] and len(both[0]) == given.count()
+
+
+def test_bound_is_exceeded_by_one_in_a_thousand(spark, trained):
+    langs = sorted(trained["model"])
+    rows = [(langs[0], [e / 1000, 9.0, 9.0], 5.0) for e in range(3000)] + [(langs[1], [9.0, 1.0, 9.0], 0.0), (None, [9.0, 1.0, 9.0], 5.0)]
+    seen = spark.createDataFrame(rows, "own string, _entropy array<double>, _size double")
+    bounds = language_id.calibrated(seen, trained["model"])["bounds"]
+    assert set(bounds) == {langs[0]} and sum(e / 1000 > bounds[langs[0]] for e in range(3000)) == 3
