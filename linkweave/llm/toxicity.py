@@ -1,10 +1,11 @@
 """Toxicity by nearest labelled examples: exact cosine of whole TF-IDF vectors over block-max inverted indexes, distance-weighted votes.
 
 Terms are all words that MIN_TEXTS labelled texts hold, whatever their number and class; document frequencies are counted over all
-texts, and weights know no labels. Each class has an index: rare terms have postings, frequent ones blocks of like examples with
-each term's largest weight, so that a search scores only blocks that can still hold one of the nearest examples, and yet finds
-exactly these. Texts are searched a batch at a time, one matrix product a block. The nearest of both classes vote. A vote weighs more the nearer the example is, and by the strongest sign of its own class (likelihood ratio of a
-word's counts in the classes) among the words it shares with the text. The share of toxic votes is calibrated on other labelled texts.
+texts, and weights know no labels. One index holds both classes: rare terms have postings, frequent ones blocks of like examples of a class
+with each term's largest weight, so that a search scores only blocks that can still hold one of the nearest examples of their class, and yet
+finds exactly these. Texts are searched in batches of like ones, a few blocks in one matrix product. The nearest of both classes vote. A vote
+weighs more the nearer the example is, and by the strongest sign of its own class (likelihood ratio of a word's counts in the classes) among
+the words it shares with the text. The share of toxic votes is calibrated on other labelled texts.
 """
 
 from __future__ import annotations
@@ -31,11 +32,16 @@ MIN_TEXTS = 5
 NEIGHBOURS = 15  # of each class
 BLOCK = 64
 FIRST_BLOCKS = 4  # scored first, for a bound on the others
+JOINED = 8  # neighbouring blocks scored in one product
+COPIED = 100  # postings of a term that are copied as one piece, others one by one
 CELLS = 2  # of the blocks' matrices for each posting: how many of the most frequent terms go to blocks
 CLUSTERS = 32  # whose examples stand next to each other in blocks
 SEARCHED = 256  # texts searched together
+SORTED = 1024  # texts whose words are looked up together, and that are dealt to searches by likeness
 CALIBRATION_SHARE = 4  # one of so many labelled texts calibrates, the others are examples
+BUILT = 1000  # examples whose weights are made together
 SCORED = 20_000  # texts whose scores a task remembers for their copies
+POSTING = np.dtype([("place", np.int32), ("weight", np.float32)])  # copied as one long
 WORDS = re.compile(r"[^\W\d_]+")
 LETTERS = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz" or b >= 128 else 32 for b in range(256))
 
@@ -61,9 +67,10 @@ class Vocabulary:
         owners, words = pc.list_parent_indices(tokens).to_numpy(), pc.list_flatten(tokens)
         numbers = self._numbers(words)
         other = np.flatnonzero((numbers < 0) & ~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))
-        parts = [WORDS.findall(word) for word in words.take(pa.array(other)).to_pylist()]
-        owners = np.concatenate([owners, np.repeat(owners[other], [len(x) for x in parts])])
-        numbers = np.concatenate([numbers, self._numbers(pa.array([word for x in parts for word in x], pa.large_string()))])
+        if len(other):  # a lookup prepares all known words, whatever it looks for
+            parts = [WORDS.findall(word) for word in words.take(pa.array(other)).to_pylist()]
+            owners = np.concatenate([owners, np.repeat(owners[other], [len(x) for x in parts])])
+            numbers = np.concatenate([numbers, self._numbers(pa.array([word for x in parts for word in x], pa.large_string()))])
         known = numbers >= 0
         keys, times = np.unique(owners[known] * (len(self.terms) + 1) + numbers[known], return_counts=True)
         owners, terms = np.divmod(keys, len(self.terms) + 1)
@@ -77,155 +84,234 @@ class Vocabulary:
         return self.vectors([text])[1:]
 
 
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after another."""
-    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-
-
 def alike(rows: np.ndarray) -> np.ndarray:
-    """An order of the rows that puts like ones together: a few rounds of spherical k-means, then by length."""
+    """An order of the rows that puts like ones together: a few rounds of spherical k-means, each cluster followed by the likest of those left; inside, by length."""
     centres = rows[np.linspace(0, len(rows) - 1, min(CLUSTERS, len(rows))).astype(np.int64)]
     for _ in range(5):
         own = (rows @ centres.T).argmax(1)
         for i in range(len(centres)):
             total = rows[own == i].sum(0)
             centres[i] = total / max(np.linalg.norm(total), 1e-9)
-    return np.lexsort((np.linalg.norm(rows, axis=1), own))
+    chain, near = [0], centres @ centres.T
+    while len(chain) < len(centres):
+        near[:, chain[-1]] = -1
+        chain.append(int(near[chain[-1]].argmax()))
+    return np.lexsort((np.linalg.norm(rows, axis=1), np.argsort(chain)[own]))
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples, in the order given: `sizes` of their vectors, all `terms` and `times` one after another."""
+    """Unit TF-IDF vectors of examples, in the order given: `sizes` of their vectors, all `terms` and `times` one after another.
 
-    def __init__(self, sizes: np.ndarray, terms: np.ndarray, times: np.ndarray, idf: np.ndarray):
-        self.sizes, self.terms, self.times, self.idf = sizes, terms, times, idf
+    With `classes`, how many of the examples, one class after another, belong to each: the nearest of each class are found.
+    """
+
+    def __init__(self, sizes: np.ndarray, terms: np.ndarray, times: np.ndarray, idf: np.ndarray, classes: tuple[int, ...] | None = None):
+        self.sizes, self.terms, self.times, self.idf, self.classes = sizes, terms, times, idf, classes or (len(sizes),)
         self.weights: np.ndarray | None = None  # weights, postings and blocks are made where the first search runs
 
     def __getstate__(self) -> dict[str, Any]:
         """Counts alone go to the tasks, which make the rest again."""
-        return {"sizes": self.sizes, "terms": self.terms, "times": self.times, "idf": self.idf, "weights": None}
+        return {"sizes": self.sizes, "terms": self.terms, "times": self.times, "idf": self.idf, "classes": self.classes, "weights": None}
 
     def _build(self) -> None:
         size, known = len(self.sizes), len(self.idf)
-        numbers = np.repeat(np.arange(size, dtype=np.int32), self.sizes)
-        weights = (1 + np.log(self.times)) * self.idf[self.terms] if len(self.terms) else np.zeros(0)
-        norms = np.sqrt(np.bincount(numbers, weights**2, size))
-        self.weights = weights / np.maximum(norms, 1e-12)[numbers]
         self.offsets = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-        self.asked = np.zeros(known)
+        self.slots = np.zeros(known, np.int32)
         # the most frequent terms: a dense matrix in blocks
         held = np.bincount(self.terms, minlength=known)
         frequent = np.argsort(-held, kind="stable")[: -(-CELLS * len(self.terms) // max(1, size))]
         self.column = np.full(known, -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
-        column = self.column[self.terms]
         dense = np.zeros((size, len(frequent)), np.float32)
-        seen = column >= 0
-        dense[numbers[seen], column[seen]] = self.weights[seen]
-        self.order = alike(dense) if size else np.zeros(0, np.int64)
-        self.blocks = np.zeros((-(-size // BLOCK), BLOCK, len(frequent)), np.float32)
-        self.blocks.reshape(-1, len(frequent))[:size] = dense[self.order]
+        self.weights = np.empty(len(self.terms))
+        for start in range(0, size, BUILT):
+            sizes = self.sizes[start : start + BUILT]
+            part = slice(self.offsets[start], self.offsets[start] + sizes.sum())
+            numbers, column = np.repeat(np.arange(len(sizes)), sizes), self.column[self.terms[part]]
+            weights = self._plain(self.terms[part], self.times[part])
+            weights /= np.maximum(np.sqrt(np.bincount(numbers, weights**2, len(sizes))), 1e-12)[numbers]
+            seen = column >= 0
+            dense[start + numbers[seen], column[seen]] = weights[seen]
+            self.weights[part] = weights
+        # every class has blocks of its own
+        ends = np.cumsum(self.classes)
+        self.edges = np.cumsum([0, *(-(-n // BLOCK) for n in self.classes)])
+        self.blocks = np.zeros((self.edges[-1], BLOCK, len(frequent)), np.float32)
+        self.order = np.full(self.edges[-1] * BLOCK, -1)
+        for start, end, edge in zip(ends - self.classes, ends, self.edges, strict=False):
+            if start < end:
+                places = slice(edge * BLOCK, edge * BLOCK + end - start)
+                self.order[places] = start + alike(dense[start:end])
+                self.blocks.reshape(-1, len(frequent))[places] = dense[self.order[places]]
+        del dense
         self.maxima = self.blocks.max(1)
         # the others: postings by term
-        place = np.empty(size, np.int64)
-        place[self.order] = np.arange(size)
-        terms = self.terms[~seen]
+        place = np.empty(size, np.int32)
+        taken = np.flatnonzero(self.order >= 0)
+        place[self.order[taken]] = taken
+        rare = self.column[self.terms] < 0
+        terms = self.terms[rare]
         order = np.argsort(terms, kind="stable")
-        self.places, self.rare = place[numbers[~seen][order]], self.weights[~seen][order].astype(np.float32)
-        self.first = np.searchsorted(terms[order], np.arange(known + 1))
+        self.first = np.searchsorted(terms, np.arange(known + 1), sorter=order)
+        postings = np.empty(len(terms), POSTING)
+        postings["place"] = np.repeat(place, self.sizes)[rare][order]
+        postings["weight"] = self.weights.astype(np.float32)[rare][order]
+        self.postings = postings.view(np.int64)
+        self.lengths = np.diff(self.first)
+        self.long = {term: self.postings[self.first[term] : self.first[term + 1]] for term in np.flatnonzero(self.lengths >= COPIED).tolist()}
         # twice what sums of so many products of single precision can be off, as both vectors have length 1
         self.slack = 2 * (len(frequent) + 8) * 2.0**-24 + 1e-8
 
+    def _plain(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Weights before they are brought to length 1."""
+        return (1 + np.log(times)) * self.idf[terms] if len(terms) else np.zeros(0)
+
     def weighted(self, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Weights of a text's unit vector."""
-        weights = (1 + np.log(times)) * self.idf[terms] if len(terms) else np.zeros(0)
+        weights = self._plain(terms, times)
         return weights / max(np.linalg.norm(weights), 1e-12)
 
-    def _terms(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[slice]]:
-        """All terms of these examples, where each example's begin, and their places."""
-        starts, sizes = self.offsets[numbers], self.sizes[numbers]
-        parts = [slice(start, end) for start, end in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
-        return np.concatenate([self.terms[part] for part in parts]).astype(np.int64), np.cumsum(sizes) - sizes, parts
-
-    def _asked(self, own: np.ndarray, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """For each of `own`, a text's value of that term, 0 if the text lacks it."""
-        self.asked[terms] = values
-        found = self.asked[own]
-        self.asked[terms] = 0
-        return found
+    def _shared(self, numbers: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All terms that a text shares with these examples, example by example: which of the text's terms, their weights in the examples, and where each example's begin.
 
-    def _score(self, scores: np.ndarray, asked: np.ndarray, wanted: np.ndarray) -> None:
-        """Adds the frequent terms' part to the (text, block) pairs that are wanted."""
-        for block in np.flatnonzero(wanted.any(0)):
-            rows = np.flatnonzero(wanted[:, block])
-            scores[rows, block] += asked[rows] @ self.blocks[block].T
+        Each example shares one at least.
+        """
+        starts, sizes = self.offsets[numbers], self.sizes[numbers]
+        own = np.concatenate([self.terms[start:end] for start, end in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)])
+        self.slots[terms] = np.arange(1, len(terms) + 1)
+        found = self.slots.take(own)
+        self.slots[terms] = 0
+        at = np.flatnonzero(found != 0)
+        before = np.cumsum(sizes) - sizes
+        begins = at.searchsorted(before)
+        held = np.append(begins[1:], len(at)) - begins
+        return found.take(at) - 1, self.weights.take(at + np.repeat(starts - before, held)), begins
+
+    def _rare_terms(self, texts: int, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Rare terms and their weights, of each text those with long postings first; and where each text's begin, change and end."""
+        gathered = self.lengths[terms] < COPIED
+        order = np.argsort(2 * owner + gathered, kind="stable")
+        held = np.bincount(owner, minlength=texts)
+        ends = np.cumsum(held)
+        return terms[order], weights[order].astype(np.float32), ends - held, ends - np.bincount(owner[gathered], minlength=texts), ends
+
+    def _rare(self, terms: np.ndarray, weights: np.ndarray, middle: int) -> np.ndarray:
+        """The part of one text's rare terms in the cosine of every place; the first `middle` terms have long postings."""
+        lengths = self.lengths[terms]
+        short = lengths[middle:]
+        at = np.repeat(self.first[terms[middle:]] + short - np.cumsum(short), short)
+        at += np.arange(len(at))
+        held = np.concatenate([*map(self.long.__getitem__, terms[:middle].tolist()), self.postings.take(at)]).view(POSTING)
+        values = np.repeat(weights, lengths)
+        values *= held["weight"]
+        return np.bincount(held["place"], values, len(self.order))
+
+    def _frequent(self, scores: np.ndarray, asked: np.ndarray, wanted: np.ndarray) -> None:
+        """Adds the frequent terms' part to all (text, block) pairs that are wanted; neighbouring blocks share a product."""
+        for start in range(0, len(self.blocks), JOINED):
+            part = self.blocks[start : start + JOINED]
+            rows = np.flatnonzero(wanted[:, start : start + JOINED].any(1))
+            if len(rows):
+                scores[rows, start : start + JOINED] += (asked[rows] @ part.reshape(-1, part.shape[2]).T).reshape(len(rows), -1, BLOCK)
 
     def nearest(self, terms: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Those of one text, as `search` has them."""
         return self.search(np.array([len(terms)]), terms, times, k)[0][:2]
 
-    def search(self, sizes: np.ndarray, terms: np.ndarray, times: np.ndarray, k: int, signs: np.ndarray | None = None) -> list[tuple[np.ndarray, ...]]:
-        """For each text, numbers and cosines of the k nearest examples that share a term, nearest first; ties to the smaller number.
+    def search(self, sizes: np.ndarray, terms: np.ndarray, times: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
+        """For each text, what `search_classes` has for the first class: all examples, if they are of one."""
+        return [found[0] for found in self.search_classes(sizes, terms, times, k)]
 
-        With `signs`, also what `strongest` finds for each of them.
+    def search_classes(self, sizes: np.ndarray, terms: np.ndarray, times: np.ndarray, k: int, signs: list[np.ndarray] | None = None) -> list[list[tuple[np.ndarray, ...]]]:
+        """For each text and class, numbers and cosines of the k nearest examples that share a term, nearest first; ties to the smaller number.
+
+        With `signs` of each class, also what `strongest` finds for each of them.
 
         Postings give every example the rare terms' part of its cosine. A block's bound is the largest of these and its maxima's
-        part. The blocks with the highest bounds give a first k-th cosine; then every block whose bound reaches it is scored, in single
+        part. The blocks of a class with the highest bounds give a first k-th cosine; then every block whose bound reaches it is scored, in single
         precision. Whatever may be among the k by the error of that gets its cosine again in double precision.
         """
+        texts, nothing = len(sizes), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        if not texts or not len(self.sizes):
+            return [[nothing] * len(self.classes)] * texts
         if self.weights is None:
             self._build()
-        texts, nothing = len(sizes), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-        if not len(self.sizes):
-            return [nothing] * texts
         owner, ends = np.repeat(np.arange(texts), sizes), np.cumsum(sizes)
-        weights = (1 + np.log(times)) * self.idf[terms]
+        weights = self._plain(terms, times)
         weights /= np.sqrt(np.bincount(owner, weights**2, texts))[owner]
         blocks, _, columns = self.blocks.shape
-        scores = np.empty((texts, blocks, BLOCK), np.float32)
-        flat = scores.reshape(texts, -1)
         asked = np.zeros((texts, columns), np.float32)
         column = self.column[terms]
         seen = column >= 0
         asked[owner[seen], column[seen]] = weights[seen]
-        rare, rare_weights = terms[~seen], weights[~seen]
-        starts = self.first[rare]
-        lengths = self.first[rare + 1] - starts
-        rare_ends = np.cumsum(np.bincount(owner[~seen], minlength=texts))
-        for i, (start, end) in enumerate(zip([0, *rare_ends[:-1]], rare_ends, strict=True)):
-            part = slice(start, end)
-            at = ranges(starts[part], lengths[part])
-            flat[i] = np.bincount(self.places.take(at), np.repeat(rare_weights[part], lengths[part]) * self.rare.take(at), blocks * BLOCK)
-        bound = scores.max(2) + asked @ self.maxima.T
-        first = np.argsort(-bound, axis=1)[:, :FIRST_BLOCKS]
-        wanted = np.zeros(bound.shape, bool)
-        np.put_along_axis(wanted, first, True, 1)
-        self._score(scores, asked, wanted)
-        least = np.take_along_axis(scores, first[:, :, None], 1).reshape(texts, -1)
-        least = np.partition(least, -k, 1)[:, -k] - self.slack if least.shape[1] >= k else np.zeros(texts)
-        self._score(scores, asked, (bound >= least[:, None]) & ~wanted)
-        near = (flat >= least[:, None]) & (flat > 0)
-        found = []
-        for i, end in enumerate(ends):
-            places = np.flatnonzero(near[i])
-            if len(places) > k:
-                likely = flat[i, places]
-                places = places[likely >= np.partition(likely, -k)[-k] - self.slack]
-            if not len(places):
-                found.append(nothing)
-                continue
-            numbers, held = self.order[places], slice(end - sizes[i], end)
-            own, begins, parts = self._terms(numbers)
-            products = self._asked(own, terms[held], weights[held]) * np.concatenate([self.weights[part] for part in parts])
-            cosines = np.round(np.add.reduceat(products, begins), 9)
-            order = np.lexsort((numbers, -cosines))[:k]
-            strong = cosines if signs is None else np.maximum.reduceat(self._asked(own, terms[held], signs[terms[held]]), begins)
-            found.append((numbers[order], cosines[order], strong[order]))
+        rare, rare_weights, *parts = self._rare_terms(texts, owner[~seen], terms[~seen], weights[~seen])
+        parts = np.stack(parts, 1).tolist()
+        most = np.diff(self.edges).argmax()
+        likest = np.argsort((asked @ self.maxima[self.edges[most] : self.edges[most + 1]].T).argmax(1), kind="stable")  # texts near the same blocks are searched together
+        found = [[nothing] * len(self.classes)] * texts
+        for batch in np.split(likest, range(SEARCHED, texts, SEARCHED)):
+            scores = np.zeros((len(batch), blocks, BLOCK), np.float32)
+            for row, text in zip(scores.reshape(len(batch), -1), batch, strict=True):
+                start, middle, end = parts[text]
+                if start < end:
+                    row[:] = self._rare(rare[start:end], rare_weights[start:end], middle - start)
+            for text, sides in zip(batch.tolist(), self._near(scores, asked[batch], k), strict=True):
+                held = slice(ends[text] - sizes[text], ends[text])
+                if any(map(len, sides)):
+                    found[text] = self._nearest(sides, terms[held], weights[held], k, signs)
         return found
 
+    def _near(self, scores: np.ndarray, asked: np.ndarray, k: int) -> Iterator[list[np.ndarray]]:
+        """For each text and class, the places that may be among the k nearest; `scores` have the rare terms' part."""
+        texts, blocks, _ = scores.shape
+        flat = scores.reshape(texts, -1)
+        bound = scores.max(2) + asked @ self.maxima.T
+        least = np.zeros((texts, blocks), np.float32)
+        for start, end in zip(self.edges, self.edges[1:], strict=False):
+            first = np.argsort(-bound[:, start:end], axis=1)[:, :FIRST_BLOCKS] + start
+            likely = np.take_along_axis(scores, first[:, :, None], 1)
+            for block in np.unique(first):
+                rows, places = np.nonzero(first == block)
+                likely[rows, places] += asked[rows] @ self.blocks[block].T
+            likely = likely.reshape(texts, -1)
+            if likely.shape[1] >= k:
+                least[:, start:end] = (np.partition(likely, -k, 1)[:, -k] - self.slack)[:, None]
+        self._frequent(scores, asked, bound >= least)
+        near = (scores >= np.maximum(least, np.finfo(np.float32).tiny)[:, :, None]).reshape(texts, -1)
+        edges = (self.edges * BLOCK).tolist()
+        for i in range(texts):
+            sides = []
+            for start, end in zip(edges, edges[1:], strict=False):
+                places = start + np.flatnonzero(near[i, start:end])
+                if len(places) > k:
+                    likely = flat[i].take(places)
+                    places = places[likely >= np.partition(likely, -k)[-k] - self.slack]
+                sides.append(places)
+            yield sides
+
+    def _nearest(self, sides: list[np.ndarray], terms: np.ndarray, weights: np.ndarray, k: int, signs: list[np.ndarray] | None) -> list[tuple[np.ndarray, ...]]:
+        """Exact cosines of a text and the examples at these places of each class, and the k nearest of each class."""
+        numbers = self.order[np.concatenate(sides)]
+        own, products, begins = self._shared(numbers, terms)
+        products *= weights.take(own)
+        cosines = np.round(np.add.reduceat(products, begins), 9)
+        begins = np.append(begins, len(own))
+        nearest, start = [], 0
+        for i, places in enumerate(sides):
+            stop = start + len(places)
+            order = np.lexsort((numbers[start:stop], -cosines[start:stop]))[:k]
+            strong = cosines[start:stop]
+            if signs is not None and len(places):
+                first = begins[start]
+                strong = np.maximum.reduceat(signs[i][terms].take(own[first : begins[stop]]), begins[start:stop] - first)
+            nearest.append((numbers[start:stop][order], cosines[start:stop][order], strong[order]))
+            start = stop
+        return nearest
+
     def strongest(self, numbers: np.ndarray, terms: np.ndarray, signs: np.ndarray) -> np.ndarray:
         """For each of these examples, the largest of `signs` among the terms it shares with the text."""
-        own, begins, _ = self._terms(numbers)
-        return np.maximum.reduceat(self._asked(own, terms, signs[terms]), begins)
+        own, _, begins = self._shared(numbers, terms)
+        return np.maximum.reduceat(signs[terms].take(own), begins)
 
 
 class Voters:
@@ -234,25 +320,31 @@ class Voters:
     def __init__(self, examples: pa.Table, idf: np.ndarray, signs: np.ndarray):
         self.ids = examples["doc_id"].combine_chunks()
         self.copies = examples["copies"].to_numpy().astype(np.float64)
-        terms, times = (np.frombuffer(b"".join(examples[c].to_pylist()), np.int32) for c in ("terms", "times"))
-        self.index = BlockMaxIndex(examples["size"].to_numpy().astype(np.int32), terms, times, idf)
-        self.signs = signs
+        self.terms, self.times = (np.frombuffer(b"".join(examples[c].to_pylist()), np.int32) for c in ("terms", "times"))
+        self.sizes, self.idf, self.signs = examples["size"].to_numpy().astype(np.int32), idf, signs
+        self.index: BlockMaxIndex | None = None  # of the examples of all classes, kept with the first
+
 
-    def votes(self, sizes: np.ndarray, terms: np.ndarray, times: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """For each text the weight of all votes, and numbers and cosines of the neighbours."""
-        near = self.index.search(sizes, terms, times, NEIGHBOURS, self.signs)
-        return [(float((self.copies[numbers] * (1 + signs) / (1.05 - cosines)).sum()), numbers, cosines) for numbers, cosines, signs in near]
+def index_of(voters: tuple[Voters, Voters]) -> BlockMaxIndex:
+    """One index of both classes, made where the first search runs; it takes over their counts."""
+    if voters[0].index is None:
+        parts = [np.concatenate([getattr(side, name) for side in voters]) for name in ("sizes", "terms", "times")]
+        voters[0].index = BlockMaxIndex(*parts, voters[0].idf, tuple(len(side.sizes) for side in voters))
+        for side in voters:
+            side.sizes = side.terms = side.times = None
+    return voters[0].index
 
 
 def votes(voters: tuple[Voters, Voters], sizes: np.ndarray, terms: np.ndarray, times: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """For each text the toxic share of the votes (-1 without a neighbour), and the neighbours, nearest first: their places among the ids of both classes, and cosines."""
+    copies = np.concatenate([side.copies for side in voters])
     found = []
-    for sides in zip(*(side.votes(sizes, terms, times) for side in voters), strict=True):
-        weights, numbers, cosines = zip(*sides, strict=True)
-        label = np.repeat([0, 1], [len(x) for x in numbers])
-        number, cosine = np.concatenate(numbers), np.concatenate(cosines)
-        order = np.lexsort((number, -label, -cosine))
-        found.append((weights[1] / sum(weights) if len(order) else -1.0, (number + label * len(voters[0].ids))[order], cosine[order]))
+    for sides in index_of(voters).search_classes(sizes, terms, times, NEIGHBOURS, [side.signs for side in voters]):
+        weights = [float((copies[number] * (1 + sign) / (1.05 - cosine)).sum()) for number, cosine, sign in sides]
+        number, cosine = (np.concatenate([side[i] for side in sides]) for i in range(2))
+        toxic = np.repeat([0, 1], [len(side[0]) for side in sides])
+        order = np.lexsort((number, -toxic, -cosine))
+        found.append((weights[1] / sum(weights) if len(order) else -1.0, number[order], cosine[order]))
     return found
 
 
@@ -372,8 +464,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = shared()
         for batch in batches:
-            for start in range(0, batch.num_rows, SEARCHED):
-                part = batch.slice(start, SEARCHED)
+            for start in range(0, batch.num_rows, SORTED):
+                part = batch.slice(start, SORTED)
                 terms, times = (part.column(i).to_pylist() for i in (2, 3))
                 sizes = np.array([len(x) // 4 for x in terms])
                 shares = [x[0] for x in votes(voters, sizes, *(np.frombuffer(b"".join(x), np.int32) for x in (terms, times)))]
@@ -414,7 +506,7 @@ def score(docs: DataFrame, trained: dict[str, Any], id_column: str = "doc_id", t
                 known[key] = chance, numbers, cosines
 
         for batch in batches:
-            for part in (batch.slice(i, SEARCHED) for i in range(0, batch.num_rows, SEARCHED)):
+            for part in (batch.slice(i, SORTED) for i in range(0, batch.num_rows, SORTED)):
                 texts = [text or "" for text in part.column(1).to_pylist()]
                 for start, end in chunks(texts):
                     keys = [xxhash.xxh3_128_digest(text) for text in texts[start:end]]

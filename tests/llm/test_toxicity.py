@@ -189,3 +189,56 @@ def test_vectors_hold_the_words():
     for text, end, size in zip(texts, ends, sizes, strict=True):
         own = [w for w in toxicity.words_of(text) if w in terms]
         assert [(terms[t], n) for t, n in zip(found[end - size : end], times[end - size : end], strict=True)] == sorted((w, own.count(w)) for w in set(own))
+
+
+def test_plain_texts_need_one_lookup(monkeypatch):
+    """A lookup prepares all known words; without words in other letters there is nothing to look up again."""
+    asked = []
+    lookup = toxicity.Vocabulary._numbers
+    monkeypatch.setattr(toxicity.Vocabulary, "_numbers", lambda self, words: asked.append(len(words)) or lookup(self, words))
+    sizes, terms, times = toxicity.Vocabulary(["bad", "good"]).vectors(["good bad other", "Bad bad", None])
+    assert len(asked) == 1 and sizes.tolist() == [2, 1, 0] and terms.tolist() == [0, 1, 0] and times.tolist() == [1, 1, 2]
+    assert toxicity.Vocabulary(["bad", "été"]).vectors(["bad été’s"])[1].tolist() == [0, 1] and len(asked) == 3
+
+
+def test_classes_share_an_index(monkeypatch):
+    """Both classes are found in one pass, as in an index of each and by brute force; of two languages in turn, a batch holds one and asks for its blocks alone."""
+    rng = np.random.default_rng(4)
+    half, idf, signs = 2_000, rng.uniform(1, 5, 4_000), rng.uniform(0, 9, (2, 4_000))
+    held = lambda side: {int(t) + half * side: int(rng.integers(1, 4)) for t in np.minimum(rng.zipf(1.4, 80), half) - 1}
+    counts = [held(i % 2) for i in range(1800)]
+    ends = (1500, 1800)
+    arrays = lambda counts: (np.array(x, np.int32) for x in zip(*((t, c[t]) for c in counts for t in sorted(c)), strict=True))
+    both = BlockMaxIndex(np.array([len(c) for c in counts], np.int32), *arrays(counts), idf, (1500, 300))
+    alone = made_index(counts[:1500], idf), made_index(counts[1500:], idf)
+    texts = [held(i % 2) for i in range(2 * toxicity.SEARCHED)] + [{}]
+    share, frequent = [], BlockMaxIndex._frequent
+    wide = lambda wanted: wanted[~wanted.all(1)].any(0).mean()  # noqa: E731  a text without a neighbour asks for all
+    monkeypatch.setattr(BlockMaxIndex, "_frequent", lambda self, scores, asked, wanted: share.append(wide(wanted)) or frequent(self, scores, asked, wanted))
+    found = both.search_classes(np.array([len(c) for c in texts]), *arrays(texts), 15, list(signs))
+    assert len(share) == 3 and min(share[:2]) < 0.8
+    dense = np.zeros((1800, 4_000))
+    for i, c in enumerate(counts):
+        dense[i, sorted(c)] = both.weighted(np.array(sorted(c)), np.array([c[t] for t in sorted(c)]))
+    assert found[-1][0][0].tolist() == found[-1][1][0].tolist() == []
+    for c, sides in list(zip(texts, found, strict=True))[:-1:9]:
+        terms = np.array(sorted(c))
+        times = np.array([c[t] for t in terms])
+        cosines = dense[:, terms] @ both.weighted(terms, times)
+        for label, (numbers, near, strong) in enumerate(sides):
+            start = ends[0] * label
+            assert np.allclose(near, np.sort(cosines[start : ends[label]])[::-1][:15], atol=2e-9) and np.allclose(cosines[numbers], near, atol=2e-9)
+            single = alone[label].nearest(terms, times, 15)
+            assert single[0].tolist() == (numbers - start).tolist() and single[1].tolist() == near.tolist()
+            assert strong.tolist() == [max(signs[label][t] for t in counts[n].keys() & c.keys()) for n in numbers]
+
+
+def test_copies_and_a_class_without_examples(spark, tables, trained):
+    """A batch that holds nothing new is no search; a class may have no examples."""
+    docs, _ = tables
+    row = docs.where("doc_id = 7").first()
+    copies = spark.range(3_000, numPartitions=1).select("id", toxicity.F.lit(row["text"]).alias("text"))
+    assert {r["score"] for r in score(copies, trained, "id").collect()} == {score(docs.where("doc_id = 7"), trained).first()["score"]}
+    held = pa.table({"doc_id": [1], "copies": [1], "size": pa.array([1], pa.int32()), "terms": [np.int32([0]).tobytes()], "times": [np.int32([1]).tobytes()]})
+    side = lambda rows: toxicity.Voters(held.slice(0, rows), np.ones(1), np.zeros(1))
+    assert [toxicity.vote((side(a), side(b)), np.array([0]), np.array([1]))[0] for a, b in ((1, 0), (0, 1), (0, 0))] == [0, 1, -1]
