@@ -5,6 +5,7 @@ import os
 import pandas as pd
 from pyspark.sql import functions as F
 
+from checks import inputs as I
 from linkweave import constants as C
 from linkweave import schemas
 from linkweave.operators import lemmas as L
@@ -230,3 +231,17 @@ def test_readers_use_fixed_schemas(spark, tmp_path):
     pages_of(spark).write.parquet(str(tmp_path / "p"))
     assert read_links(spark, str(tmp_path / "l")).schema == schemas.LINKS
     assert read_pages(spark, str(tmp_path / "p")).count() == 3
+
+
+def test_a_table_is_a_stream_as_a_file_and_as_a_folder(spark, tmp_path):
+    rows = spark.range(20).withColumn("text", F.concat(F.lit("t"), "id"))
+    rows.repartition(3).write.parquet(str(tmp_path / "folder/documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "parts").glob("part-*")).rename(tmp_path / "file/documents.parquet")
+    for kind in ("folder", "file"):
+        got = []
+        stream = I.table_stream(spark, str(tmp_path / kind), "documents")
+        running = stream.writeStream.foreachBatch(lambda batch, number: got.extend(r.id for r in batch.collect()))
+        running.option("checkpointLocation", str(tmp_path / f"checkpoint-{kind}")).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(got) == list(range(20))
