@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from linkweave import constants as C
 from linkweave import schemas
-from linkweave.operators import lemmas as L
+from linkweave.operators import generation, lemmas as L, matching
 from linkweave.operators import tags as TG
+from linkweave.plans import create
 from linkweave.plans.create import create_links, link_key
 from linkweave.sources.commands import read_commands, requests_from_commands, stream_commands
 from linkweave.sources.links import LinkStore, read_links
@@ -245,3 +246,21 @@ def test_a_table_is_a_stream_as_a_file_and_as_a_folder(spark, tmp_path):
         running = stream.writeStream.foreachBatch(lambda batch, number: got.extend(r.id for r in batch.collect()))
         running.option("checkpointLocation", str(tmp_path / f"checkpoint-{kind}")).trigger(availableNow=True).start().awaitTermination()
         assert sorted(got) == list(range(20))
+
+
+def exchanges(df):
+    return sum(line.lstrip(" :+-").startswith(("Exchange", "BroadcastExchange")) for line in df._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_no_job_of_the_driver_holds_many_exchanges(spark, monkeypatch):
+    """The driver describes a job's whole plan after each of its exchanges, so one large job costs it much memory."""
+    found = {}
+
+    def counted(df, name):
+        found[name] = max(found.get(name, 0), exchanges(df))
+        return written(df, name)
+
+    for module in (create, generation, matching):
+        monkeypatch.setattr(module, "written", counted)
+    result = run(spark, [(1, "https://example.com", None, "u1", "T1"), (2, "https://other.org/doc.pdf", None, "u2", "T1")])
+    assert result.changed.count() == 2 and max(found.values()) <= 8, found
